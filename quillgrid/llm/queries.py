@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import suffix_dedup
+from quillgrid.llm import minhash_dedup, suffix_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=3, similarity=0.85)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_minhash_dedup)}
 
 ORACLES: dict[str, str] = {}
