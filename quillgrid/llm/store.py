@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Raw text bytes of a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Stands for a null document id inside numpy arrays.
 NULL_ID = -(1 << 63)
 MESSAGE = "dst long, src long, data binary"
