@@ -4,25 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import minhash_dedup, store
+from quillgrid.llm import decontaminate, language_id, minhash_dedup, mixing, queries, sharding, store
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Stages on word shingles: five words, a similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without any text in a language (null, blank, or without a letter). lang stays as it was declared."""
+    found = language_id.identify(docs, carry=[c for c in docs.columns if c != "text"] + ["text"])
+    return found.where("lang_pred <> 'und'").select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the smallest id."""
+    """Keeps of each group of near copies the document with the smallest id (of rows with that id, one)."""
     found = minhash_dedup.near_duplicates(docs, width=SHINGLE_WORDS, similarity=SIMILARITY)
-    return docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    again = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).union(rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+
+
+def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a copy, edited or not, of a benchmark item."""
+    leaks = decontaminate.find_leaks(docs, queries.read(spark, sf_dir, "benchmark"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Brings sources to their target weights: every document once, those of lighter sources again until the heaviest one is through."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of every row."""
+    return sharding.reshard(docs)
 
 
-STAGES = [("minhash_dedup", near_dedup)]
+STAGES = [
+    ("language_id", identify_language),
+    ("minhash_dedup", near_dedup),
+    ("decontaminate", remove_leaks),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = queries.read(spark, sf_dir, "documents")
     work = store.Work(spark, "pipeline")
     for _, stage in STAGES[:-1]:
         docs = work.save(stage(spark, docs, sf_dir))

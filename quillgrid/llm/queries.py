@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import chat_format, language_id, maxent_lm, minhash_dedup, suffix_dedup
+from quillgrid.llm import chat_format, decontaminate, embedding_dedup, language_id, maxent_lm, minhash_dedup, mixing, sharding, suffix_dedup, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,29 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", "epoch", "block", "slot", "position")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read_archives(warc.write_archives(read(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.reshard(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=3, similarity=0.85)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.similar_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
@@ -37,6 +56,25 @@ def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_minhash_dedup, op7_language_id, op8_chat_format, op9_maxent_lm)}
-
-ORACLES: dict[str, str] = {}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op2_mixing,
+        op3_warc,
+        op4_sharding,
+        op5_minhash_dedup,
+        op6_embedding_dedup,
+        op7_language_id,
+        op8_chat_format,
+        op9_maxent_lm,
+        op10_decontaminate,
+    )
+}
+
+#: SQL can express the schedule; the other methods are held against brute force in the tests.
+ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle()}
