@@ -5,12 +5,14 @@ in the set. Documents with equal sets form a class first, and the smallest id of
 representative is posted under its coordinate-value pairs. A pair of documents of the wanted similarity agrees in at least
 MATCHES(similarity) coordinates, but for a chance below about 1e-5; such a pair must share one of the
 N_HASHES - MATCHES + 1 rarest pairs of each (the prefix), all others being skipped, so the lists of frequent passages
-are never read. In a list, documents are first compared with one leader (two rounds with different leaders), and only documents
-that are still in different components with each other, so a family of copies costs a comparison for each member.
+are never read. In a list, documents are first compared with one leader, the one that shares most of its signature with
+others; then, as far as they are still in different components, with leaders drawn for each list; then with each other. So a family of copies
+costs a comparison for each member. Before the last two rounds the shingles of the documents left over are counted: those that no other
+of them has cannot be common to a pair, and pairs whose remaining shingles are too few for the similarity are left out, which loses none.
 Candidates that agree in enough coordinates are confirmed on their full shingle sets.
 
-Defined results: without words or with a null text a document has no shingles, is linked with nothing and kept; equal
-ids are one document to components but each row is returned; a null id gets the row (null, ..., component null, kept true) and links nothing;
+Defined results: without words or with a null text a document has no shingles, is linked with nothing and kept; rows with an equal
+id and equal shingles are one document to components but each is returned; of rows with an equal id and different shingles, one takes part in links; a null id gets the row (null, ..., component null, kept true) and links nothing;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -99,16 +101,25 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, SIGNED)
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, work, documents: int) -> DataFrame:
-    """Those pairs (a, b) that agree in enough coordinates and whose whole sets are similar enough."""
-    percent = round(similarity * 100)
-    least = matches_needed(similarity)
-    arrow = {"doc_id": pa.int64(), "items": pa.binary()}
+def sets_table(docs: DataFrame, ids: DataFrame, width: int, documents: int, reps: DataFrame | None) -> DataFrame:
+    """doc_id and the sorted shingle hashes (8 bytes each) of the documents named in column doc_id of ids. reps tells which set counts where an id has several."""
+    arrow = {"doc_id": pa.int64(), "items": pa.binary(), "set_hash": pa.int64()}
 
     def collect(batches):
         for batch in batches:
-            for ids, sets in batches_of_sets(batch, width):
-                yield table(arrow, [ids, [s.astype("<u8").tobytes() for s in sets]])
+            for found, sets in batches_of_sets(batch, width):
+                yield table(arrow, [found, [s.astype("<u8").tobytes() for s in sets], np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)])
+
+    out = docs.join(F.broadcast(ids) if documents <= BROADCAST_IDS else ids, "doc_id", "left_semi").mapInArrow(collect, "doc_id long, items binary, set_hash long")
+    if reps is not None:
+        out = out.join(reps.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"])
+    return out.dropDuplicates(["doc_id"]).select("doc_id", "items")
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, work, documents: int, reps: DataFrame | None) -> DataFrame:
+    """Those pairs (a, b) that agree in enough coordinates and whose whole sets are similar enough."""
+    percent = round(similarity * 100)
+    least = matches_needed(similarity)
 
     def compare(batches):
         for batch in batches:
@@ -129,10 +140,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, wo
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if documents <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    items = work.save(docs.join(wanted, "doc_id", "left_semi").mapInArrow(collect, "doc_id long, items binary").dropDuplicates(["doc_id"]), compression="none")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    items = work.save(sets_table(docs, wanted, width, documents, reps), compression="none")
     a = items.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a"))
     b = items.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b"))
     found = work.save(pairs.join(a, "a").join(b, "b").select("a", "b", "items_a", "items_b").mapInArrow(compare, "a long, b long"))
@@ -148,48 +157,90 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = work.save(sign(docs, width))
     key = ["set_hash", "set_hash2", "n_shingles"]
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    # rows with an id that has several sets: the one with the least hash takes part
+    several = some.groupBy("doc_id").agg(F.min("set_hash").alias("__h"), F.max("set_hash").alias("__g")).where("__h <> __g").drop("__g")
+    ambiguous = not several.isEmpty()
+    odd = None
+    if ambiguous:
+        several = work.save(several)
+        marked = some.join(several, "doc_id", "left").withColumn("__odd", F.coalesce(F.col("set_hash") != F.col("__h"), F.lit(False)))
+        odd, some = marked.where("__odd").select(*signed.columns), marked.where("NOT __odd").select(*signed.columns)
     reps = work.save(some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
     documents = reps.count()
+    which = reps if ambiguous else None
 
-    tokens = reps.select("rep", F.explode("signature").alias("token"))
+    tokens = reps.select("rep", "n_shingles", F.explode("signature").alias("token"))
     frequent = work.save(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     prefix = N_HASHES - matches_needed(similarity) + 1
-    shared = tokens.join(frequent, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    shared = tokens.join(frequent, "token").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     # tokens that no other document has come first in the order of rarity and need no posting
     rarest = F.slice("shared", F.lit(1), F.greatest(F.lit(0), prefix - (N_HASHES - F.size("shared"))))
-    postings = work.save(shared.select("rep", F.explode(rarest).alias("t")).select("rep", F.col("t.token").alias("token")))
+    postings = shared.select("rep", "n_shingles", (N_HASHES - F.size("shared")).alias("alone"), F.explode(rarest).alias("t"))
+    postings = work.save(postings.select("rep", "n_shingles", "alone", F.col("t.token").alias("token")))
     work.drop(frequent)
 
-    label = None
-    links = None
-    tried = None
-    for turn in range(3):
-        members = postings if label is None else postings.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        if label is not None:
-            mixed = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-            members = work.save(members.join(work.save(mixed), "token"))
-        if turn < 2:
-            order = F.struct(F.xxhash64(F.lit(turn), "rep").alias("o"), F.col("rep").alias("leader"), *([F.col("component").alias("of")] if label is not None else []))
+    pair = [F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")]
+    first = F.min(F.struct("alone", F.xxhash64("rep").alias("o"), F.col("rep").alias("leader"))).alias("l")
+    leaders = work.save(postings.groupBy("token").agg(first, F.count("*").alias("n")).where("n > 1").select("token", "l.leader"))
+    tried = work.save(postings.join(leaders, "token").where("rep <> leader").select(*pair).distinct())
+    links = confirm(docs, tried, width, similarity, work, documents, which)
+    label = components(links, work)
+    members = bounds = None
+    for turn in (1, 2):
+        source = postings if members is None else members.drop("component")
+        found = source.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = found.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+        members = work.save(found.join(work.save(mixed), "token"))
+        if bounds is None:
+            # what each document's shingles that others of these documents have are at most
+            left = members.select(F.col("rep").alias("doc_id")).distinct()
+            counted = _common(sets_table(docs, work.save(left), width, documents, which))
+            bounds = work.save(counted)
+            members = work.save(members.join(bounds, "rep").where(100 * F.col("common") >= round(similarity * 100) * F.col("n_shingles")))
+        if turn == 1:
+            order = F.struct(F.xxhash64("token", "rep").alias("o"), F.col("rep").alias("leader"), F.col("component").alias("of"), F.col("n_shingles").alias("n_leader"), F.col("common").alias("c_leader"))
             leaders = work.save(members.groupBy("token").agg(F.min(order).alias("l"), F.count("*").alias("n")).where("n > 1").select("token", "l.*"))
-            pairs = members.join(leaders, "token").where("rep <> leader" if label is None else "component <> of")
-            pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
+            pairs = members.join(leaders, "token").where("component <> of").where(_possible("n_shingles", "common", "n_leader", "c_leader", similarity)).select(*pair)
         else:
-            x = members.select("token", F.col("rep").alias("a"), F.col("component").alias("of_a"))
-            y = members.select("token", F.col("rep").alias("b"), F.col("component").alias("of_b"))
-            pairs = x.join(y, "token").where("a < b AND of_a <> of_b").select("a", "b")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = work.save(pairs)
-        if turn and pairs.isEmpty():
-            break
-        found = confirm(docs, pairs, width, similarity, work, documents)
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
+            x = members.select("token", F.col("rep").alias("a"), F.col("component").alias("of_a"), F.col("n_shingles").alias("n_a"), F.col("common").alias("c_a"))
+            y = members.select("token", F.col("rep").alias("b"), F.col("component").alias("of_b"), F.col("n_shingles").alias("n_b"), F.col("common").alias("c_b"))
+            meet = (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _possible("n_a", "c_a", "n_b", "c_b", similarity)
+            pairs = x.join(y, meet).select("a", "b")
+        pairs = work.save(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        tried = tried.union(pairs)
+        links = links.union(confirm(docs, pairs, width, similarity, work, documents, which))
         label = components(links, work)
     classes = reps.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
     classes = work.save(classes.select(*key, F.coalesce("component", "rep").alias("component_id")))
     work.drop(reps)
     plain = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes, key).select("doc_id", "n_shingles", "component_id")
+    if odd is not None:
+        plain = plain.union(odd.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = some.join(classes, key).select("doc_id", "n_shingles", "component_id")
     return out.union(plain).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _common(items: DataFrame) -> DataFrame:
+    """rep and common: how many of a document's shingles some other of these documents has as well."""
+
+    def spread(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                raw, offsets, _ = texts_of(part.column(1))
+                n = np.diff(offsets) // 8
+                yield table({"rep": pa.int64(), "shingle": pa.int64()}, [np.repeat(ids_of(part.column(0)), n), np.frombuffer(raw.tobytes(), "<i8")])
+
+    counted = items.mapInArrow(spread, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+    alone = counted.where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    sizes = items.select(F.col("doc_id").alias("rep"), (F.octet_length("items") / 8).cast("long").alias("size"))
+    return sizes.join(alone, "rep", "left").select("rep", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
+def _possible(n_a: str, c_a: str, n_b: str, c_b: str, similarity: float):
+    """Whether sets of these sizes can be similar enough with no more than the smaller of these counts in common."""
+    percent = round(similarity * 100)
+    both = F.least(c_a, c_b, n_a, n_b)
+    return (100 + percent) * both >= percent * (F.col(n_a) + F.col(n_b))

@@ -65,5 +65,25 @@ def test_empty_null_and_repeated(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, 2, None, True), (3, 2, 3, True), (3, 2, 3, True), (5, 2, 3, False)]))
 
 
+def test_family_without_a_hub(spark):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for d in range(150):  # heavy edits, and copies of copies
+        copy = list(rng.choice(rows)[1].split()) if rows and rng.random() < 0.5 else list(base)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+        rows.append((d, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in minhash_dedup.near_duplicates(df, width=3, similarity=0.85).collect())
+    assert got == brute(rows, 3, 85)
+
+
+def test_an_id_with_two_texts(spark):
+    rows = [(1, "a b c d e f g"), (1, "p q r s t u v"), (2, "a b c d e f g"), (3, "p q r s t u v")]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.component_id for r in got if r.doc_id == 1) == [1, 1] and sorted(r.component_id for r in got if r.doc_id > 1) in ([1, 2], [1, 3])
+
+
 def test_matches_needed():
     assert minhash_dedup.matches_needed(0.85) == 29 or 26 <= minhash_dedup.matches_needed(0.85) <= 31
