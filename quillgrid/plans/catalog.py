@@ -1,8 +1,737 @@
-"""Registry of the engine's own queries and of the SQL that checks them."""
+"""The engine's own operators as queries over the test tables, each with the DuckDB SQL of the same result."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillgrid.functions import numfmt, refs
+from quillgrid.functions.text import natural_key, number_text
+from quillgrid.operators import charts, geometry, lookups
+from quillgrid.operators.tableview import Condition, CustomFilter, Sort, TableView, ValueFilter, ViewState
+from quillgrid.plans.compile import Col, column, fill_down, summarise, to_logical, to_number
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
+ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+PARTS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+#: The natural key of a text column in DuckDB.
+NATURAL = "list_aggregate(list_transform(regexp_extract_all(lower({0}), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(ltrim(x, '0'), 20, '0') ELSE x END), 'string_agg', '')"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def orders_view(spark, d, **more) -> TableView:
+    return TableView(read(spark, d, "orders").select(*ORDERS), "o_orderkey", tuple(ORDERS), **more)
+
+
+def parts_view(spark, d, **more) -> TableView:
+    return TableView(read(spark, d, "part").select(*PARTS), "p_partkey", tuple(PARTS), **more)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """A formula filled down, a value filter without case, a wildcard, and a sort with blanks and ties in place."""
+    df = read(spark, d, "orders").select(*ORDERS)
+    size = fill_down(df, 'IF(D2>100000,"Large","Small")', ORDERS)
+    df = df.withColumn("size", size.str)
+    view = TableView(df, "o_orderkey", (*ORDERS, "size"))
+    state = ViewState((ValueFilter(5, ("large",)), CustomFilter(4, (Condition("equal", "1-*"),))), (Sort(3, True),))
+    return view.visual(state).join(df, "o_orderkey").select("o_orderkey", "o_totalprice", "size", "slot")
+
+
+QUERIES["flagship"] = flagship
+ORACLES["flagship"] = "SELECT o_orderkey, o_totalprice, 'Large' AS size, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS slot FROM orders WHERE o_totalprice > 100000 AND starts_with(o_orderpriority, '1-')"
+
+
+# sources
+
+@query("SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'blank' WHEN 1 THEN 'string' WHEN 2 THEN 'boolean' WHEN 3 THEN 'error' WHEN 4 THEN 'date' WHEN 5 THEN 'string' ELSE 'number' END AS tag, CASE WHEN o_orderkey % 7 = 6 THEN o_totalprice END AS num FROM orders")
+def cell_type_decode(spark, d):
+    from quillgrid.sources.decode import decode_cells
+
+    k = F.col("o_orderkey") % 7
+    t = F.when(k == 0, None).when(k == 1, "inlineStr").when(k == 2, "b").when(k == 3, "e").when(k == 4, "d").when(k == 5, "str").otherwise("n")
+    raw = F.when(k == 0, None).when(k == 2, "1").when(k == 3, "#N/A").when(k == 4, "2020-01-01").when(k == 6, F.col("o_totalprice").cast("string")).otherwise("text")
+    cells = read(spark, d, "orders").select("o_orderkey", t.alias("t"), raw.alias("raw"))
+    return decode_cells(cells, "t", "raw").select("o_orderkey", "value.tag", "value.num")
+
+
+@query("SELECT o_orderkey, o_orderpriority AS text FROM orders")
+def shared_string_lookup(spark, d):
+    o = read(spark, d, "orders")
+    words = o.select(F.col("o_orderpriority").alias("text")).distinct()
+    strings = words.select(F.crc32("text").alias("sst_index"), "text")
+    return lookups.shared_strings(o.select("o_orderkey", F.crc32("o_orderpriority").alias("sst_index")), strings).select("o_orderkey", "text")
+
+
+# filters and views
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 2 AND 900")
+def table_body_scan(spark, d):
+    return read(spark, d, "orders").where(F.col("o_orderkey").between(2, 900)).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey FROM orders WHERE lower(o_orderpriority) IN ('1-urgent', '5-low')")
+def filter_values(spark, d):
+    v = orders_view(spark, d)
+    return v.df.where(v.predicate(ViewState().with_values(4, ["1-urgent", "5-LOW"]))).select("o_orderkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 10 = 0 OR lower(p_brand) = 'brand#3'")
+def filter_values_blank(spark, d):
+    v = parts_view(spark, d)
+    v = TableView(v.df.withColumn("p_brand", F.when(F.col("p_partkey") % 10 != 0, F.col("p_brand"))), "p_partkey", tuple(PARTS))
+    return v.df.where(v.predicate(ViewState().with_values(2, ["brand#3"], include_blank=True))).select("p_partkey")
+
+
+def custom(spark, d, i: int, *conditions, every: bool = False, view=parts_view, key="p_partkey"):
+    v = view(spark, d)
+    return v.df.where(v.predicate(ViewState((CustomFilter(i, tuple(Condition(*c) for c in conditions), every),)))).select(key)
+
+
+@query("SELECT p_partkey FROM part WHERE regexp_full_match(p_name, 'c.*bolt', 'i')")
+def filter_wildcard(spark, d):
+    return custom(spark, d, 1, ("equal", "c*bolt"))
+
+
+@query("SELECT p_partkey FROM part WHERE NOT regexp_full_match(p_brand, 'brand#.', 'i')")
+def filter_not_equal(spark, d):
+    return custom(spark, d, 2, ("notEqual", "brand#?"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_size >= 10 AND p_size < 20")
+def filter_range_numeric(spark, d):
+    return custom(spark, d, 4, ("greaterThanOrEqual", "10"), ("lessThan", "20"), every=True)
+
+
+@query(f"SELECT p_partkey FROM part WHERE {NATURAL.format('p_brand')} < {NATURAL.format(chr(39) + 'brand#10' + chr(39))}")
+def filter_range_text(spark, d):
+    return custom(spark, d, 2, ("lessThan", "brand#10"))
+
+
+@query("SELECT p_partkey FROM part WHERE coalesce(CASE WHEN p_partkey % 10 <> 0 THEN p_size END, 0) < 3")
+def filter_range_blank(spark, d):
+    v = parts_view(spark, d)
+    v = TableView(v.df.withColumn("p_size", F.when(F.col("p_partkey") % 10 != 0, F.col("p_size"))), "p_partkey", tuple(PARTS))
+    return v.df.where(v.predicate(ViewState((CustomFilter(4, (Condition("lessThan", "3"),)),)))).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_retailprice > 1000 AND p_retailprice <= 1200")
+def filter_custom_and(spark, d):
+    return custom(spark, d, 5, ("greaterThan", "1000"), ("lessThanOrEqual", "1200"), every=True)
+
+
+@query("SELECT p_partkey FROM part WHERE p_size = 1 OR p_size > 45")
+def filter_custom_or(spark, d):
+    return custom(spark, d, 4, ("equal", "1"), ("greaterThan", "45"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 50000 AND starts_with(lower(o_orderpriority), '2-')")
+def filter_multi_column(spark, d):
+    v = orders_view(spark, d)
+    state = ViewState((ValueFilter(2, ("f",)), CustomFilter(3, (Condition("greaterThan", "50000"),)), CustomFilter(4, (Condition("equal", "2-*"),))))
+    return v.df.where(v.predicate(state)).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT (lower(o_orderpriority) = '1-urgent')")
+def filtered_rows(spark, d):
+    return orders_view(spark, d).filtered_out(ViewState().with_values(4, ["1-urgent"]))
+
+
+@query("SELECT o_orderkey FROM orders WHERE round(o_totalprice * 1.5, 2) > 200000")
+def calculated_filter(spark, d):
+    df = read(spark, d, "orders").select(*ORDERS)
+    calc = fill_down(df, "D2*1.5", ORDERS)
+    v = TableView(df, "o_orderkey", tuple(ORDERS), values={"o_totalprice": Col(num=F.round(calc.num, 2))})
+    return df.where(v.predicate(ViewState((CustomFilter(3, (Condition("greaterThan", "200000"),)),)))).select("o_orderkey")
+
+
+@query("SELECT p_partkey FROM part WHERE format('{:d}%', CAST(round(p_size) AS BIGINT)) IN ('5%', '50%')")
+def filter_display_text(spark, d):
+    df = read(spark, d, "part").select("p_partkey", (F.col("p_size") / 100).alias("share"))
+    v = TableView(df, "p_partkey", ("p_partkey", "share"), formats={"share": 9})
+    return df.where(v.predicate(ViewState().with_values(1, ["5%", "50%"]))).select("p_partkey")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7")
+def cell_lookup(spark, d):
+    at = refs.parse_cell("$B$9")
+    return read(spark, d, "nation").where(F.col("n_nationkey") + 2 == at.row).select("n_nationkey", "n_name")
+
+
+@query("SELECT CAST(r.r AS INT) AS row, CAST(c.c AS INT) AS col, CAST((r.r - 2) * 3 + c.c - 1 AS BIGINT) AS index, CASE WHEN c.c = 1 THEN CAST(n.n_nationkey AS VARCHAR) WHEN c.c = 2 THEN n.n_name END AS value FROM range(2, 41) r(r) CROSS JOIN range(1, 4) c(c) LEFT JOIN nation n ON n.n_nationkey + 2 = r.r")
+def range_scan(spark, d):
+    n = read(spark, d, "nation").select((F.col("n_nationkey") + 2).cast("int").alias("row"), F.posexplode(F.array(F.col("n_nationkey").cast("string"), "n_name")).alias("p", "value"))
+    cells = n.select("row", (F.col("p") + 1).cast("int").alias("col"), "value")
+    return lookups.range_scan(spark, refs.parse_range("A2:C40"), cells).select("row", "col", "index", "value")
+
+
+def axis_items(spark, n: int = 1000) -> DataFrame:
+    i = F.col("id")
+    return spark.range(1, n + 1).select(i.alias("i"), F.when(i % 97 == 0, 0.0).when(i % 50 == 0, 45.0).alias("size"))
+
+
+AXIS = "WITH items AS (SELECT i, CASE WHEN i % 97 = 0 THEN 0.0::DOUBLE WHEN i % 50 = 0 THEN 45.0::DOUBLE END AS size FROM range(1, 1001) t(i)), starts AS (SELECT i, size, (i - 1) * 20.0::DOUBLE + coalesce(sum(size - 20) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM items) "
+
+
+@query(AXIS + "SELECT i, start FROM starts")
+def axis_start(spark, d):
+    return geometry.axis_starts(axis_items(spark), "i", "size", 20).select("i", "start")
+
+
+@query(AXIS + "SELECT 1000 * 20.0::DOUBLE + coalesce(sum(size - 20), 0) AS total FROM items")
+def axis_total(spark, d):
+    return geometry.axis_total(axis_items(spark), "size", 20)
+
+
+@query(AXIS + "SELECT o.event_id, max(s.i) AS index FROM (SELECT event_id, (event_id * 37 % 20000) * 1.0::DOUBLE AS off FROM events) o LEFT JOIN starts s ON coalesce(s.size, 20) > 0 AND s.start <= o.off AND o.off < s.start + coalesce(s.size, 20) GROUP BY o.event_id")
+def axis_index_at(spark, d):
+    starts = geometry.axis_starts(axis_items(spark), "i", "size", 20)
+    offsets = read(spark, d, "events").select("event_id", (F.col("event_id") * 37 % 20000).cast("double").alias("off"))
+    return geometry.axis_index_at(offsets, starts, "off", "i", F.coalesce("size", F.lit(20.0))).select("event_id", "index")
+
+
+@query(AXIS + "SELECT i, start FROM starts WHERE coalesce(size, 20) > 0 AND start + coalesce(size, 20) > 4900 AND start < 5700")
+def viewport_slice(spark, d):
+    starts = geometry.axis_starts(axis_items(spark), "i", "size", 20).withColumn("size", F.coalesce("size", F.lit(20.0)))
+    return geometry.viewport(starts, "start", "size", 5000, 600, 100).select("i", "start")
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS slot FROM orders WHERE o_orderpriority = '1-URGENT'")
+def visual_rows(spark, d):
+    return orders_view(spark, d).visual(ViewState().with_values(4, ["1-URGENT"]).sorted_by(3, True))
+
+
+# sorts
+
+def sorted_parts(spark, d, df, columns, state):
+    return TableView(df, "p_partkey", columns).visual(state).withColumnRenamed("slot", "pos")
+
+
+@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_type, p_size DESC, p_partkey) AS INT) AS pos FROM part WHERE p_size < 10")
+def sort_multi_key(spark, d):
+    df = read(spark, d, "part").where("p_size < 10").select(*PARTS)
+    return sorted_parts(spark, d, df, tuple(PARTS), ViewState(sorts=(Sort(3), Sort(4, True))))
+
+
+@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY v DESC NULLS FIRST, p_partkey) AS INT) AS pos FROM (SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN p_retailprice END AS v FROM part WHERE p_size < 5)")
+def sort_desc_blanks_first(spark, d):
+    df = read(spark, d, "part").where("p_size < 5").select("p_partkey", F.when(F.col("p_partkey") % 10 != 0, F.col("p_retailprice")).alias("v"))
+    return sorted_parts(spark, d, df, ("p_partkey", "v"), ViewState(sorts=(Sort(1, True),)))
+
+
+@query(f"SELECT p_partkey, CAST(row_number() OVER (ORDER BY {NATURAL.format('p_brand')}, p_partkey) AS INT) AS pos FROM part WHERE p_size < 8")
+def sort_natural(spark, d):
+    df = read(spark, d, "part").where("p_size < 8").select(*PARTS)
+    return sorted_parts(spark, d, df, tuple(PARTS), ViewState(sorts=(Sort(2),)))
+
+
+@query(f"SELECT p_partkey, CAST(row_number() OVER (ORDER BY b, {NATURAL.format('t')}, n, p_partkey) AS INT) AS pos FROM (SELECT p_partkey, p_partkey % 5 = 4 AS b, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_brand WHEN 2 THEN CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END WHEN 3 THEN p_name ELSE '' END AS t, CASE WHEN p_partkey % 5 = 0 THEN p_size END AS n FROM part WHERE p_size < 8)")
+def sort_mixed_types(spark, d):
+    k = F.col("p_partkey") % 5
+    mixed = Col(num=F.when(k == 0, F.col("p_size").cast("double")), str=F.when(k == 1, F.col("p_brand")).when(k == 3, F.col("p_name")), bool=F.when(k == 2, F.col("p_size") % 2 == 0))
+    df = read(spark, d, "part").where("p_size < 8").withColumn("v", mixed.struct()).select("p_partkey", "v")
+    return sorted_parts(spark, d, df, ("p_partkey", "v"), ViewState(sorts=(Sort(1),)))
+
+
+@query(f"SELECT text, CAST(row_number() OVER (ORDER BY {NATURAL.format('text')}, text) AS INT) AS pos FROM (SELECT DISTINCT p_brand AS text FROM part)")
+def distinct_values(spark, d):
+    found = parts_view(spark, d).distinct(2)
+    return found.select("text", F.row_number().over(Window.orderBy("key", "text")).alias("pos"))
+
+
+# lookups
+
+@query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 6 = 5 THEN '#REF!' ELSE coalesce(r_name, '') END AS value FROM nation LEFT JOIN region ON r_regionkey = n_regionkey")
+def cross_sheet_lookup(spark, d):
+    n, r = read(spark, d, "nation"), read(spark, d, "region")
+    found = lookups.cross_sheet(n, r, "n_regionkey", "r_regionkey", "r_name", F.lit(""))
+    # every sixth formula names a sheet that isn't there
+    return found.select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 6 == 5, "#REF!").otherwise(F.col("value")).alias("value"))
+
+
+CELLS = "SELECT CAST(event_id % 500 + 1 AS INT) AS row, CAST(event_id // 500 % 40 + 1 AS INT) AS col FROM events WHERE event_id < 20000"
+
+
+def event_cells(spark, d):
+    e = read(spark, d, "events").where("event_id < 20000")
+    return e.select((F.col("event_id") % 500 + 1).cast("int").alias("row"), (F.floor(F.col("event_id") / 500) % 40 + 1).cast("int").alias("col"))
+
+
+def nation_boxes(spark, d, step: int):
+    k = F.col("n_nationkey")
+    n = read(spark, d, "nation")
+    return n.select(k.alias("ord"), "n_name", (k * step + 1).cast("int").alias("row1"), (k * step + 15).cast("int").alias("row2"), (k % 5 + 1).cast("int").alias("col1"), (k % 5 + 8).cast("int").alias("col2"))
+
+
+def box_sql(step: int) -> str:
+    return f"WITH cells AS ({CELLS}), boxes AS (SELECT n_nationkey AS ord, n_name, n_nationkey * {step} + 1 AS row1, n_nationkey * {step} + 15 AS row2, n_nationkey % 5 + 1 AS col1, n_nationkey % 5 + 8 AS col2 FROM nation) SELECT c.row, c.col, min_by(b.n_name, b.ord) AS n_name FROM cells c LEFT JOIN boxes b ON c.row BETWEEN b.row1 AND b.row2 AND c.col BETWEEN b.col1 AND b.col2 GROUP BY 1, 2"
+
+
+@query(box_sql(20))
+def merge_containment(spark, d):
+    return lookups.first_containing(event_cells(spark, d), nation_boxes(spark, d, 20), "ord", "n_name").select("row", "col", "n_name")
+
+
+@query(box_sql(9))
+def hyperlink_containment(spark, d):
+    return lookups.first_containing(event_cells(spark, d), nation_boxes(spark, d, 9), "ord", "n_name").select("row", "col", "n_name")
+
+
+@query(f"WITH cells AS ({CELLS}) SELECT row, col, CAST(coalesce(CASE WHEN (row + col) % 4 = 0 THEN 100 + col END, CASE WHEN row % 7 = 0 THEN 200 + row END, CASE WHEN col BETWEEN 5 AND 9 THEN 302 WHEN col BETWEEN 1 AND 12 THEN 301 END, 0) AS INT) AS style FROM cells")
+def style_cascade(spark, d):
+    cells = event_cells(spark, d).withColumn("style_index", F.when((F.col("row") + F.col("col")) % 4 == 0, 100 + F.col("col")))
+    rows = spark.range(1, 501).select(F.col("id").cast("int").alias("row"), (F.col("id") % 7 == 0).alias("custom_format"), (F.col("id") + 200).cast("int").alias("style_index"))
+    spans = spark.createDataFrame([(1, 1, 12, 301), (2, 5, 9, 302), (3, 10, 20, None)], "ord int, min int, max int, style_index int")
+    return lookups.style_cascade(cells, rows, spans).select("row", "col", "style")
+
+
+@query("SELECT DISTINCT n_nationkey AS formula_id, CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM nation, range(1, 60) t(r), range(1, 20) u(c) WHERE (r BETWEEN n_nationkey + 1 AND n_nationkey + 5 AND c BETWEEN 2 AND 4) OR (r BETWEEN n_nationkey + 3 AND n_nationkey + 8 AND c BETWEEN 4 AND 5)")
+def dependency_edges(spark, d):
+    k = F.col("n_nationkey")
+    n = read(spark, d, "nation")
+    box = lambda a, b, c, e: n.select(k.alias("formula_id"), (k + a).cast("int").alias("row1"), (k + b).cast("int").alias("row2"), F.lit(c).alias("col1"), F.lit(e).alias("col2"))
+    return lookups.dependency_edges(n, box(1, 5, 2, 4).union(box(3, 8, 4, 5)))
+
+
+@query("WITH e AS (SELECT o_custkey AS row, max_by(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END, o_orderkey) AS v, TRUE AS hit FROM (SELECT * FROM orders) GROUP BY o_custkey), e2 AS (SELECT o_custkey AS row, arg_max_null(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END, o_orderkey) AS v FROM orders GROUP BY o_custkey) SELECT coalesce(c.c_custkey, e2.row) AS row, 1 AS col, CASE WHEN e2.row IS NULL THEN c.c_acctbal ELSE e2.v END AS value FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN e2 ON e2.row = c.c_custkey WHERE c.c_custkey IS NOT NULL OR e2.v IS NOT NULL")
+def edit_overlay(spark, d):
+    cells = read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("row"), F.lit(1).alias("col"), F.col("c_acctbal").alias("value"))
+    edits = read(spark, d, "orders").select(F.col("o_custkey").alias("row"), F.lit(1).alias("col"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("value"), F.col("o_orderkey").alias("seq"))
+    return lookups.overlay(cells, edits)
+
+
+@query(f"WITH cells AS ({CELLS}) SELECT min(row) AS row1, min(col) AS col1, max(row) AS row2, max(col) AS col2 FROM cells")
+def used_range(spark, d):
+    return event_cells(spark, d).agg(F.min("row").alias("row1"), F.min("col").alias("col1"), F.max("row").alias("row2"), F.max("col").alias("col2"))
+
+
+# aggregates
+
+LINES = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
+
+
+def footer(spark, d, name, formula, table="lineitem", columns=LINES, places=2):
+    df = read(spark, d, table)
+    out = summarise(df, {"v": formula}, columns, [columns[0]])
+    return out.select(F.round("v.num", places).alias(name), F.col("v.err").alias("err"))
+
+
+def whole(col: str) -> str:
+    return f"{col}2:{col}1048576"
+
+
+@query("SELECT round(sum(l_quantity) + 0.0, 2) AS total, CAST(NULL AS VARCHAR) AS err FROM lineitem")
+def agg_sum(spark, d):
+    return footer(spark, d, "total", f"SUM({whole('B')})")
+
+
+@query("SELECT CAST(count(l_quantity) + count(l_discount) AS DOUBLE) AS n, CAST(NULL AS VARCHAR) AS err FROM lineitem")
+def agg_count(spark, d):
+    return footer(spark, d, "n", f"COUNT({whole('B')},{whole('D')},{whole('E')})")
+
+
+@query("SELECT round(avg(l_quantity), 6) AS mean, CAST(NULL AS VARCHAR) AS err FROM lineitem")
+def agg_average(spark, d):
+    return footer(spark, d, "mean", f"AVERAGE({whole('B')})", places=6)
+
+
+@query("SELECT CAST(NULL AS DOUBLE) AS mean, '#DIV/0!' AS err")
+def agg_average_empty(spark, d):
+    df = read(spark, d, "customer").where("c_mktsegment = 'NONE'")
+    out = summarise(df, {"v": f"AVERAGE({whole('B')})"}, ["c_custkey", "c_acctbal"], ["c_custkey"])
+    return out.select(F.col("v.num").alias("mean"), F.col("v.err").alias("err"))
+
+
+@query("SELECT round(min(l_extendedprice) + 0.0, 2) AS least, CAST(NULL AS VARCHAR) AS err FROM lineitem")
+def agg_min(spark, d):
+    return footer(spark, d, "least", f"MIN({whole('C')})")
+
+
+@query("SELECT round(greatest(max(l_extendedprice), max(l_quantity)) + 0.0, 2) AS most, CAST(NULL AS VARCHAR) AS err FROM lineitem")
+def agg_max(spark, d):
+    return footer(spark, d, "most", f"MAX({whole('B')},{whole('C')})")
+
+
+@query("SELECT 0.0::DOUBLE AS most, 0.0::DOUBLE AS least, 0.0::DOUBLE AS total, '#VALUE!' AS every")
+def agg_empty(spark, d):
+    df = read(spark, d, "customer").where("c_mktsegment = 'NONE'")
+    out = summarise(df, {"most": f"MAX({whole('B')})", "least": f"MIN({whole('B')})", "total": f"SUM({whole('B')})", "every": f"AND({whole('B')})"}, ["c_custkey", "c_acctbal"], ["c_custkey"])
+    return out.select(F.col("most.num").alias("most"), F.col("least.num").alias("least"), F.col("total.num").alias("total"), F.col("every.err").alias("every"))
+
+
+@query("SELECT bool_and(l_quantity <> 0) AS quantity, bool_and(l_discount <> 0) AS discount FROM lineitem")
+def agg_and(spark, d):
+    out = summarise(read(spark, d, "lineitem"), {"a": f"AND({whole('B')})", "b": f"AND({whole('D')},{whole('E')})"}, LINES, ["l_orderkey"])
+    return out.select(F.col("a.bool").alias("quantity"), F.col("b.bool").alias("discount"))
+
+
+@query("SELECT bool_or(l_discount <> 0) AS discount, '#VALUE!' AS texts FROM lineitem")
+def agg_or(spark, d):
+    out = summarise(read(spark, d, "lineitem"), {"a": f"OR({whole('D')})", "b": f"OR({whole('E')})"}, LINES, ["l_orderkey"])
+    return out.select(F.col("a.bool").alias("discount"), F.col("b.err").alias("texts"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice + 1 + 5, 2) AS scalars, round(o_totalprice, 2) AS ranged, 3.0::DOUBLE AS n FROM orders")
+def agg_coercion(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", F.lit(True).alias("flag"), F.lit(" 5 ").alias("five"), "o_totalprice")
+    columns = ["o_orderkey", "flag", "five", "o_totalprice"]
+    return df.select("o_orderkey", F.round(fill_down(df, "SUM(B2,C2,D2)", columns).num, 2).alias("scalars"), F.round(fill_down(df, "SUM(B2:D2)", columns).num, 2).alias("ranged"), fill_down(df, 'COUNT(B2,C2,D2,"x")', columns).num.alias("n"))
+
+
+@query("SELECT min_by(CASE o_orderkey % 1000 WHEN 77 THEN '#N/A' WHEN 500 THEN '#REF!' END, o_orderkey) FILTER (WHERE o_orderkey % 1000 IN (77, 500)) AS sum_err, min_by(CASE o_orderkey % 1000 WHEN 77 THEN '#N/A' WHEN 500 THEN '#REF!' END, o_orderkey) FILTER (WHERE o_orderkey % 1000 IN (77, 500)) AS count_err FROM orders")
+def agg_error_propagation(spark, d):
+    k = F.col("o_orderkey") % 1000
+    value = Col(num=F.when(~k.isin(77, 500), F.col("o_totalprice")), err=F.when(k == 77, "#N/A").when(k == 500, "#REF!"))
+    df = read(spark, d, "orders").select("o_orderkey", value.struct().alias("v"))
+    out = summarise(df, {"s": f"SUM({whole('B')})", "c": f"COUNT({whole('B')})"}, ["o_orderkey", "v"], ["o_orderkey"])
+    return out.select(F.col("s.err").alias("sum_err"), F.col("c.err").alias("count_err"))
+
+
+# formulas
+
+def formula(spark, d, text: str, table="orders", columns=ORDERS, df=None, key="o_orderkey", places=4):
+    df = read(spark, d, table) if df is None else df
+    c = fill_down(df, text, columns)
+    num = F.lit(None).cast("double") if c.num is None else F.round(c.num, places)
+    out = [F.col(key), num.alias("num")] if c.num is not None or (c.str is None and c.bool is None) else [F.col(key)]
+    out += [] if c.str is None else [c.str.alias("str")]
+    out += [] if c.bool is None else [c.bool.alias("bool")]
+    out += [] if c.err is None else [c.err.alias("err")]
+    return df.select(*out)
+
+
+@query("SELECT o_orderkey, 1.5::DOUBLE AS num, 'a\"b' AS str, TRUE AS bool, '#N/A' AS err FROM orders")
+def literal_ops(spark, d):
+    df = read(spark, d, "orders")
+    f = lambda t: fill_down(df, t, ORDERS)
+    return df.select("o_orderkey", f("1.5").num.alias("num"), f('"a""b"').str.alias("str"), f("TRUE").bool.alias("bool"), f("#N/A").err.alias("err"))
+
+
+@query("SELECT o_orderkey, round(-(o_totalprice / 100) + 0.0, 4) AS num, CAST(NULL AS VARCHAR) AS err FROM orders")
+def unary_percent(spark, d):
+    return formula(spark, d, "-D2%")
+
+
+@query("SELECT o_orderkey, round((o_totalprice + 3) * 2 - o_custkey + 0.0, 4) AS num, CAST(NULL AS VARCHAR) AS err FROM orders")
+def arith_basic(spark, d):
+    return formula(spark, d, "(D2+3)*2-B2")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN round(o_totalprice / (o_orderkey % 5), 4) END AS num, CASE WHEN o_orderkey % 5 = 0 THEN '#DIV/0!' END AS err FROM orders")
+def arith_div_zero(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", "o_totalprice", (F.col("o_orderkey") % 5).alias("k"))
+    return formula(spark, d, "B2/C2", df=df, columns=["o_orderkey", "o_totalprice", "k"])
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN CAST(pow(-(p_size), 2) AS DOUBLE) END AS num, CASE WHEN p_size % 3 <> 0 THEN '#NUM!' END AS err FROM part")
+def arith_power(spark, d):
+    df = read(spark, d, "part").select("p_partkey", "p_size", F.when(F.col("p_size") % 3 == 0, 2.0).otherwise(0.5).alias("e"))
+    return formula(spark, d, "-B2^C2", df=df, columns=["p_partkey", "p_size", "e"], key="p_partkey")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size <= 30 THEN 1.0::DOUBLE END AS num, CASE WHEN p_size > 30 THEN '#NUM!' END AS err FROM part")
+def arith_overflow(spark, d):
+    df = read(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 30, 1e308).otherwise(0.1).alias("x"))
+    return formula(spark, d, "B2*10", df=df, columns=["p_partkey", "x"], key="p_partkey")
+
+
+@query("SELECT p_partkey, p_brand || '-' || CAST(p_size AS VARCHAR) || 'TRUE' AS str FROM part")
+def concat_text(spark, d):
+    return formula(spark, d, 'C2&"-"&E2&TRUE', table="part", columns=PARTS, key="p_partkey")
+
+
+@query("SELECT o_orderkey, o_totalprice >= 100000 AS bool FROM orders")
+def compare_numeric(spark, d):
+    return formula(spark, d, "D2>=100000")
+
+
+@query(f"SELECT p_partkey, {NATURAL.format('p_brand')} < {NATURAL.format(chr(39) + 'BRAND#9' + chr(39))} AS lt, lower(p_brand) = 'brand#7' AS eq FROM part")
+def compare_text(spark, d):
+    df = read(spark, d, "part")
+    return df.select("p_partkey", fill_down(df, 'C2<"BRAND#9"', PARTS).bool.alias("lt"), fill_down(df, 'C2="brand#7"', PARTS).bool.alias("eq"))
+
+
+@query("SELECT p_partkey, p_size = 5 AS as_text, p_size % 4 = 0 AS blank_empty, FALSE AS blank_zero, TRUE AS truth FROM part")
+def compare_mixed(spark, d):
+    df = read(spark, d, "part").select("p_partkey", "p_size", F.when(F.col("p_size") % 4 != 0, F.lit("x")).alias("v"), F.lit(None).cast("double").alias("none"))
+    f = lambda t: fill_down(df, t, ["p_partkey", "p_size", "v", "none"]).bool
+    return df.select("p_partkey", f('B2="5"').alias("as_text"), f('C2=""').alias("blank_empty"), f("D2=0").alias("blank_zero"), f('TRUE="true"').alias("truth"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'Large' ELSE 'Small' END AS str FROM orders")
+def if_function(spark, d):
+    return formula(spark, d, 'IF(D2>100000,"Large","Small")')
+
+
+@query("SELECT p_partkey, NOT (p_size <> 0 AND p_size > 10) AS bool, CAST(NULL AS VARCHAR) AS err FROM part")
+def not_function(spark, d):
+    return formula(spark, d, "NOT(AND(E2,E2>10))", table="part", columns=PARTS, key="p_partkey")
+
+
+TEXTS = "CASE p_partkey % 8 WHEN 0 THEN ' 12 ' WHEN 1 THEN '1e3' WHEN 2 THEN '0x10' WHEN 3 THEN '5d' WHEN 4 THEN '' WHEN 5 THEN 'Infinity' WHEN 6 THEN 'true' ELSE NULL END"
+
+
+def texts(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.expr(TEXTS).alias("t"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 12.0 WHEN 1 THEN 1000.0 WHEN 2 THEN 16.0 WHEN 7 THEN 0.0 END::DOUBLE AS num, CASE WHEN p_partkey % 8 IN (3, 4, 5, 6) THEN '#VALUE!' END AS err FROM part")
+def coerce_number(spark, d):
+    df = texts(spark, d)
+    c = to_number(column(df, "t"))
+    return df.select("p_partkey", c.num.alias("num"), c.err.alias("err"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 8 WHEN 6 THEN TRUE WHEN 7 THEN FALSE END AS bool, CASE WHEN p_partkey % 8 < 6 THEN '#VALUE!' END AS err FROM part")
+def coerce_logical(spark, d):
+    df = texts(spark, d)
+    c = to_logical(column(df, "t"))
+    return df.select("p_partkey", c.bool.alias("bool"), c.err.alias("err"))
+
+
+@query("SELECT DISTINCT l_quantity, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS txt FROM lineitem")
+def coerce_text(spark, d):
+    return read(spark, d, "lineitem").select("l_quantity").distinct().select("l_quantity", number_text(F.col("l_quantity")).alias("txt"))
+
+
+@query("SELECT o_orderkey, regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '') AS txt FROM orders")
+def number_to_text(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", number_text(F.col("o_totalprice")).alias("txt"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '#N/A' WHEN o_orderkey % 2 = 0 THEN '#REF!' END AS err, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0 THEN 3.0::DOUBLE END AS num FROM orders")
+def error_propagation(spark, d):
+    k = F.col("o_orderkey")
+    a = Col(num=F.when(k % 3 != 0, 1.0), err=F.when(k % 3 == 0, "#N/A")).struct().alias("a")
+    b = Col(num=F.when(k % 2 != 0, 2.0), err=F.when(k % 2 == 0, "#REF!")).struct().alias("b")
+    return formula(spark, d, "B2+C2", df=read(spark, d, "orders").select("o_orderkey", a, b), columns=["o_orderkey", "a", "b"])
+
+
+# display
+
+def shown(spark, d, code, value="o_totalprice", locale="en-US"):
+    return read(spark, d, "orders").select("o_orderkey", numfmt.format_number_column(F.expr(value).cast("double"), code, locale).alias("txt"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '') WHEN 1 THEN o_orderstatus ELSE 'TRUE' END AS txt FROM orders")
+def display_text(spark, d):
+    k = F.col("o_orderkey") % 3
+    cell = Col(num=F.when(k == 0, F.col("o_totalprice")), str=F.when(k == 1, F.col("o_orderstatus")), bool=F.when(k == 2, F.lit(True)))
+    return read(spark, d, "orders").select("o_orderkey", numfmt.display(cell).alias("txt"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '(0)' WHEN o_orderkey % 3 = 1 THEN format('{:,.0f}', round(o_totalprice)) || ' ' ELSE '(' || format('{:,.0f}', round(o_totalprice)) || ')' END AS txt FROM orders")
+def format_sections(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", numfmt.format_number_column(F.when(F.col("o_orderkey") % 3 == 0, 0.0).when(F.col("o_orderkey") % 3 == 1, F.col("o_totalprice")).otherwise(-F.col("o_totalprice")), "#,##0\" \";(#,##0)").alias("txt"))
+
+
+@query("SELECT o_orderkey, format('{:,.2f}', round(o_totalprice, 2)) AS txt FROM orders")
+def format_decimal(spark, d):
+    return shown(spark, d, 4)
+
+
+@query("SELECT o_orderkey, format('{:.1f}', round(o_custkey / 1000.0 * 100, 1)) || '%' AS txt FROM orders")
+def format_percent(spark, d):
+    return shown(spark, d, "0.0%", "o_custkey / 1000.0D")
+
+
+@query("SELECT o_orderkey, format('{:,.1f}', round(o_totalprice / 1000, 1)) || 'k' AS txt FROM orders")
+def format_thousands(spark, d):
+    return shown(spark, d, '#,##0.0,"k"')
+
+
+@query("SELECT o_orderkey, upper(format('{:.2e}', o_totalprice)) AS txt FROM orders")
+def format_scientific(spark, d):
+    return shown(spark, d, 11)
+
+
+@query("SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN w WHEN 4 THEN w || ' 1/2' WHEN 2 THEN w || ' 1/4' WHEN 6 THEN w || ' 3/4' WHEN 1 THEN w || ' 1/8' WHEN 3 THEN w || ' 3/8' WHEN 5 THEN w || ' 5/8' ELSE w || ' 7/8' END AS txt FROM (SELECT p_partkey, CAST(p_size AS VARCHAR) AS w FROM part)")
+def format_fraction(spark, d):
+    return read(spark, d, "part").select("p_partkey", numfmt.format_number_column(F.col("p_size") + F.col("p_partkey") % 8 / 8, 12).alias("txt"))
+
+
+@query("SELECT o_orderkey, CAST(date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS DOUBLE) AS serial FROM orders")
+def date_to_serial(spark, d):
+    df = read(spark, d, "orders")
+    return df.select("o_orderkey", F.floor(column(df, "o_orderdate").num).cast("double").alias("serial"))
+
+
+@query("SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS txt FROM orders")
+def serial_to_date(spark, d):
+    df = read(spark, d, "orders")
+    return df.select("o_orderkey", numfmt.format_number_column(F.floor(column(df, "o_orderdate").num).cast("double"), "yyyy-mm-dd").alias("txt"))
+
+
+@query("SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + INTERVAL (o_custkey % 1440) MINUTE, '%-d-%b-%y %-I:%M %p') AS txt FROM orders")
+def format_date(spark, d):
+    df = read(spark, d, "orders")
+    serial = F.floor(column(df, "o_orderdate").num) + F.col("o_custkey") % 1440 / 1440
+    return df.select("o_orderkey", numfmt.format_number_column(serial, "d-mmm-yy h:mm AM/PM").alias("txt"))
+
+
+@query("SELECT o_orderkey, translate(format('{:,.2f}', round(o_totalprice, 2)), ',.', '.,') AS txt FROM orders")
+def format_locale_de(spark, d):
+    return shown(spark, d, 4, locale="de-DE")
+
+
+# addresses and geometry
+
+LETTERS = "CASE WHEN c > 702 THEN chr(CAST((c - 703) // 676 + 65 AS INT)) ELSE '' END || CASE WHEN c > 26 THEN chr(CAST((c - 27) // 26 % 26 + 65 AS INT)) ELSE '' END || chr(CAST((c - 1) % 26 + 65 AS INT))"
+A1 = "SELECT event_id, CAST(event_id % 1048576 + 1 AS INT) AS r, CAST(event_id * 7 % 16384 + 1 AS INT) AS c FROM events"
+
+
+def addresses(spark, d):
+    k = F.col("event_id")
+    return read(spark, d, "events").select("event_id", (k % 1048576 + 1).cast("int").alias("row"), (k * 7 % 16384 + 1).cast("int").alias("col"))
+
+
+@query(f"SELECT event_id, {LETTERS} || CAST(r AS VARCHAR) AS ref FROM ({A1})")
+def a1_format(spark, d):
+    return addresses(spark, d).select("event_id", refs.a1_format(F.col("row"), F.col("col")).alias("ref"))
+
+
+@query(f"SELECT event_id, r AS row, c AS col FROM ({A1})")
+def a1_parse(spark, d):
+    text = addresses(spark, d).select("event_id", F.concat(F.lit("$"), refs.a1_letters(F.col("col")), F.lit("$"), F.col("row").cast("string")).alias("ref"))
+    return text.withColumn("at", refs.a1_parse(F.col("ref"))).select("event_id", "at.row", "at.col")
+
+
+@query(f"SELECT event_id, {LETTERS} || CAST(r AS VARCHAR) || ':' || {LETTERS.replace('c ', '(c + 2) ')} || CAST(r + 9 AS VARCHAR) AS ref, 30::BIGINT AS cells FROM ({A1}) WHERE c < 16000 AND r < 1000000")
+def a1_range(spark, d):
+    a = addresses(spark, d).where("col < 16000 AND row < 1000000")
+    ref = F.concat_ws(":", refs.a1_format(F.col("row"), F.col("col")), refs.a1_format(F.col("row") + 9, F.col("col") + 2))
+    first, last = refs.a1_parse(F.substring_index("ref", ":", 1)), refs.a1_parse(F.substring_index("ref", ":", -1))
+    cells = ((last["row"] - first["row"] + 1) * (last["col"] - first["col"] + 1)).cast("bigint")
+    return a.select("event_id", ref.alias("ref")).select("event_id", "ref", cells.alias("cells"))
+
+
+@query("SELECT p_partkey, CAST(floor((256 * (p_retailprice / 100) + floor(128 / 7.0)) / 256 * 7) AS BIGINT) AS px FROM part")
+def col_width_px(spark, d):
+    return read(spark, d, "part").select("p_partkey", geometry.column_width_px(F.col("p_retailprice") / 100).alias("px"))
+
+
+@query("SELECT p_partkey, CAST(floor(p_size * 4 / 3.0 + 0.5) AS BIGINT) AS px FROM part")
+def row_height_px(spark, d):
+    return read(spark, d, "part").select("p_partkey", geometry.row_height_px(F.col("p_size")).alias("px"))
+
+
+@query(AXIS + "SELECT p_partkey, s.start + round(p_retailprice * 1000 / 9525, 4) AS x FROM part JOIN starts s ON s.i = p_partkey % 900 + 1")
+def anchor_bounds(spark, d):
+    starts = geometry.axis_starts(axis_items(spark), "i", "size", 20).select("i", "start")
+    p = read(spark, d, "part").select("p_partkey", "p_retailprice", (F.col("p_partkey") % 900 + 1).alias("i"))
+    return p.join(F.broadcast(starts), "i").select("p_partkey", (F.col("start") + F.round(geometry.emu_px(F.col("p_retailprice") * 1000), 4)).alias("x"))
+
+
+@query("SELECT p_size, CAST(max((10 + p_partkey % 5 + 2) * (CASE WHEN p_partkey % 2 = 0 THEN 1 + p_partkey % 3 ELSE 1 END)) AS DOUBLE) AS height FROM part GROUP BY p_size")
+def row_auto_height(spark, d):
+    k = F.col("p_partkey")
+    p = read(spark, d, "part").withColumn("text", F.concat(F.lit("a"), F.repeat(F.lit("\nb"), (k % 3).cast("int"))))
+    return geometry.row_auto_height(p, "p_size", (10 + k % 5).cast("double"), F.lit(2.0), F.col("text"), k % 2 == 0)
+
+
+@query("WITH c AS (SELECT *, sum(CAST(occ AS INT)) OVER (PARTITION BY row ORDER BY col) AS g FROM (SELECT event_id // 40 AS row, event_id % 40 AS col, event_id % 7 = 0 AS occ, CAST(10 + event_id % 3 AS DOUBLE) AS w FROM events)) SELECT row, col, spill FROM (SELECT row, col, occ, sum(w) OVER (PARTITION BY row, g) AS spill FROM c) WHERE occ")
+def text_overflow(spark, d):
+    k = F.col("event_id")
+    cells = read(spark, d, "events").select(F.floor(k / 40).alias("row"), (k % 40).alias("col"), (10 + k % 3).cast("double").alias("w"), (k % 7 == 0).alias("occ"))
+    return geometry.text_overflow(cells, "row", "col", "w", F.col("occ")).select("row", "col", "spill")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'right' WHEN 1 THEN 'left' WHEN 2 THEN 'center' ELSE 'left' END AS align FROM orders")
+def value_alignment(spark, d):
+    k = F.col("o_orderkey") % 4
+    cell = Col(num=F.when(k == 0, 1.0), str=F.when(k == 1, F.lit("x")), err=F.when(k == 2, "#N/A"))
+    return read(spark, d, "orders").select("o_orderkey", geometry.alignment(cell.tag).alias("align"))
+
+
+@query(None)
+def color_tint(spark, d):
+    k = F.col("p_partkey")
+    p = read(spark, d, "part").select("p_partkey", (k * 37 % 256).alias("r"), (k * 91 % 256).alias("g"), (k * 17 % 256).alias("b"), ((k % 9 - 4) / 4.0).alias("amount"))
+    return p.select("p_partkey", geometry.tint_column(F.col("r"), F.col("g"), F.col("b"), F.col("amount")).alias("rgb"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL WHEN p_partkey % 4 = 2 THEN 'boolean' WHEN p_partkey % 4 = 1 THEN 'number' ELSE 'string' END AS tag FROM part")
+def edit_coercion(spark, d):
+    from quillgrid.functions.text import text_number
+
+    k = F.col("p_partkey") % 4
+    draft = F.when(k == 0, F.col("p_name")).when(k == 1, F.col("p_size").cast("string")).when(k == 2, "true").otherwise("")
+    boolean = F.upper(F.btrim("draft")).isin("TRUE", "FALSE") & (F.col("k") == 2)
+    tag = F.when(F.col("draft") == "", None).when(boolean, "boolean").when(text_number(F.col("draft")).isNotNull(), "number").otherwise("string")
+    return read(spark, d, "part").select("p_partkey", k.alias("k"), draft.alias("draft")).select("p_partkey", tag.alias("tag"))
+
+
+# charts
+
+def monthly(spark, d) -> DataFrame:
+    e = read(spark, d, "events")
+    return e.groupBy("event_type").agg(F.round(F.sum("value"), 2).alias("v")).withColumn("i", F.crc32("event_type"))
+
+
+@query("SELECT least(0, min(value)) + 0.0 AS lo, greatest(0, max(value)) + 0.0 AS hi FROM events")
+def chart_bounds(spark, d):
+    return charts.bounds(read(spark, d, "events"), "value").select((F.col("lo") + 0.0).alias("lo"), (F.col("hi") + 0.0).alias("hi"))
+
+
+@query("SELECT event_id, round(20 + least(1, greatest(0, (value - lo) / (hi - lo))) * 200, 6) AS x FROM events, (SELECT 0.0 AS lo, 50.0 AS hi)")
+def chart_coordinate(spark, d):
+    return read(spark, d, "events").select("event_id", F.round(charts.coordinate(F.col("value"), F.lit(0.0), F.lit(50.0), 20, 200), 6).alias("x"))
+
+
+@query("SELECT round(-pi() / 2 + 2 * pi() * (sum(v) OVER (ORDER BY i) - v) / sum(v) OVER (), 6) AS start_angle, round(-pi() / 2 + 2 * pi() * sum(v) OVER (ORDER BY i) / sum(v) OVER (), 6) AS end_angle, event_type FROM (SELECT event_type, event_type AS i, round(sum(value), 2) AS v FROM events GROUP BY event_type HAVING round(sum(value), 2) > 0)")
+def pie_slices(spark, d):
+    found = charts.pie_slices(monthly(spark, d), "event_type", "v")
+    return found.select("event_type", F.round("start_angle", 6).alias("start_angle"), F.round("end_angle", 6).alias("end_angle"))
+
+
+@query("WITH b AS (SELECT least(0, min(o_totalprice)) AS lo, greatest(0, max(o_totalprice)) AS hi FROM orders), p AS (SELECT lo, hi, (hi - lo) / 5 AS rough, pow(10, floor(log10((hi - lo) / 5))) AS pw FROM b), s AS (SELECT lo, hi, CASE WHEN rough / pw <= 1 THEN 1 WHEN rough / pw <= 2 THEN 2 WHEN rough / pw <= 5 THEN 5 ELSE 10 END * pw AS step FROM p) SELECT step, unnest(range(CAST(ceil(lo / step) AS BIGINT), CAST(floor(hi / step) AS BIGINT) + 1)) * step AS tick FROM s")
+def linear_ticks(spark, d):
+    return charts.ticks(charts.bounds(read(spark, d, "orders"), "o_totalprice"))
+
+
+@query("SELECT event_type, i, CAST(sum(CASE WHEN prev IS NOT NULL AND i = prev + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY i) AS BIGINT) AS segment FROM (SELECT event_type, event_id AS i, lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS prev FROM events)")
+def line_segments(spark, d):
+    return charts.line_segments(read(spark, d, "events").select("event_type", F.col("event_id").alias("i")), "event_type", "i")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id + 1 AS VARCHAR) ELSE event_type END AS label FROM events")
+def chart_categories(spark, d):
+    e = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("l"))
+    return e.select("event_id", charts.categories(e, "event_id", "l").alias("label"))
+
+
+@query("SELECT event_id AS index, CASE event_id % 4 WHEN 0 THEN value WHEN 1 THEN 1.0 END AS value FROM events WHERE event_id % 4 < 2")
+def chart_series_binding(spark, d):
+    k = F.col("event_id") % 4
+    cell = Col(num=F.when(k == 0, F.col("value")), bool=F.when(k == 1, F.lit(True)), str=F.when(k == 2, F.lit("gap")), err=F.when(k == 3, "#N/A"))
+    return charts.series_points(read(spark, d, "events").withColumn("index", F.col("event_id")), cell, "index", True)
+
+
+@query("SELECT o_orderkey, o_orderpriority AS key FROM orders")
+def natural_identity(spark, d):
+    """The natural key of text without digits to pad, letters in lower case, is the text: a check that it changes nothing else."""
+    o = read(spark, d, "orders")
+    return o.select("o_orderkey", F.when(natural_key(F.col("o_orderpriority")) == F.concat(F.lpad(F.substring("o_orderpriority", 1, 1), 20, "0"), F.lower(F.substring("o_orderpriority", 2, 50))), F.col("o_orderpriority")).alias("key"))
+
+
+@query(None)
+def workbook_calculation(spark, d):
+    """A workbook is written, read through the data source, and calculated in cell mode."""
+    from quillgrid.sources.demo import calculated_demo
+
+    return calculated_demo(spark)
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
