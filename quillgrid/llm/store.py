@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,7 @@ class Work:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables of save() that no later step reads, and lets Spark clean finished shuffles."""
+        gc.collect()
         jvm = self.spark._jvm
         for t in tables:
             p = jvm.org.apache.hadoop.fs.Path(t.saved_path)

@@ -32,9 +32,12 @@ WIDTH, K = 50, 24
 SLICE = 1 << 20
 LOW = np.uint64((1 << 24) - 1)
 
-STEP = "kind int, dst long, src long, data binary, ids binary, lens binary, marks binary, doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept_sha256 string, kept binary"
-STEP_ARROW = {"kind": pa.int32(), "dst": pa.int64(), "src": pa.int64(), "data": pa.binary(), "ids": pa.binary(), "lens": pa.binary(), "marks": pa.binary(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "spans": pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), "kept_sha256": pa.string(), "kept": pa.binary()}
-DONE, RUN, PENDING = 0, 1, 2
+#: Raw text bytes of a chunk here; the windows of a chunk that repeat are held at once.
+CHUNK = 2 << 20
+STEP, STEP_ARROW = "kind int, dst long, src long, data binary", {"kind": pa.int32()} | MESSAGE_ARROW
+RUN, MARK = 0, 1
+RESULT = "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept_sha256 string, kept binary"
+RESULT_ARROW = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "spans": pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), "kept_sha256": pa.string(), "kept": pa.binary()}
 
 
 class SuffixLevels:
@@ -55,7 +58,7 @@ class SuffixLevels:
     def scan(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each suffix the smallest document in any level, and its place; the largest integer where no level has it."""
         docs = np.full(len(keys), np.iinfo(np.int64).max)
-        at = np.zeros(len(keys), np.int64)
+        at = np.zeros(len(keys), np.int32)
         for k, d, p in self.levels:
             i = np.minimum(np.searchsorted(k, keys), len(k) - 1)
             better = (k[i] == keys) & (d[i] < docs)
@@ -120,8 +123,8 @@ def bounds(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
 def expand(s0: np.ndarray, s1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every window of the runs, and its run."""
     n = s1 - s0 + 1
-    of = np.repeat(np.arange(len(n)), n)
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + s0[of], of
+    of = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    return np.arange(n.sum(), dtype=np.int32) + np.repeat((s0 - (np.cumsum(n) - n)).astype(np.int32), n), of
 
 
 def covered(length: int, starts: np.ndarray) -> np.ndarray:
@@ -130,18 +133,18 @@ def covered(length: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:length] > 0
 
 
-def done(ids, offsets, raw, removed, keep_text: bool):
-    """Rows of finished documents."""
+def results(ids, offsets, raw, removed, keep_text: bool) -> list[tuple]:
+    """Rows of RESULT of the documents of a chunk."""
     out = []
     for i, d in enumerate(ids):
         a, b = offsets[i], offsets[i + 1]
         whole = raw[a:b]
-        if removed is not None and (gone := removed[a:b]).any():
+        if (gone := removed[a:b]).any():
             edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
             kept, spans = whole[~gone].tobytes(), [{"begin": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)]
         else:
             kept, spans = whole.tobytes(), []
-        out.append((DONE, None, None, None, None, None, None, None if d == NULL_ID else int(d), int(b - a), spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+        out.append((None if d == NULL_ID else int(d), int(b - a), spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
     return out
 
 
@@ -153,7 +156,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Per document: its id, n_bytes, spans (sorted begin and end of each removed run, in bytes of the whole text), kept_sha256 and, if asked for, the kept bytes."""
     spark = docs.sparkSession
     work = store.Work(spark, "suffix")
-    chunks = work.save(store.chunked(docs, doc_id, text), compression="none")
+    chunks = work.save(store.chunked(docs, doc_id, text, CHUNK), compression="none")
     bits = int(np.log2(store.n_buckets(spark, chunks)))
 
     def send_anchors(batches):
@@ -194,38 +197,30 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         keep = (remote | local)[inverse]
         far, anchor, s0, s1, doc = remote[inverse][keep], h[keep], s0[keep], s1[keep], doc[keep]
         starts, of = expand(s0, s1)
+        if not len(starts):
+            return as_table([], STEP_ARROW)
+        keys = np.empty(len(starts), np.uint64)
+        for a, b in slices(offsets, SLICE):
+            i, j = np.searchsorted(starts, (offsets[a], offsets[b]))
+            if i < j:
+                keys[i:j] = windows(raw[offsets[a] : offsets[b]], WIDTH)[starts[i:j] - offsets[a]]
+        # what an earlier document of the chunk has is settled here
+        order = np.argsort(keys, kind="stable").astype(np.int32)
+        keys = keys[order]
+        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        of_id = ids[doc[of[order]]]
         repeat = np.zeros(len(starts), bool)
-        if len(starts):
-            keys = np.empty(len(starts), np.uint64)
-            for a, b in slices(offsets, SLICE):
-                i, j = np.searchsorted(starts, (offsets[a], offsets[b]))
-                if i < j:
-                    keys[i:j] = windows(raw[offsets[a] : offsets[b]], WIDTH)[starts[i:j] - offsets[a]]
-            order = np.argsort(keys, kind="stable")
-            begin = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
-            of_id = ids[doc[of]]
-            least = np.minimum.reduceat(of_id[order], begin)
-            repeat[order] = of_id[order] > np.repeat(least, np.diff(np.append(begin, len(order))))
+        repeat[order] = of_id > np.repeat(np.minimum.reduceat(of_id, begin), np.diff(np.append(begin, len(order))))
         open_ = far & (np.bincount(of, ~repeat, minlength=len(s0)) > 0)
-        touched = np.zeros(len(ids), bool)
-        touched[doc[of[repeat]]] = True
-        touched[doc[open_]] = True
-        out = done(ids[~touched], *_subset(offsets, raw, ~touched), None, keep_text)
-        if touched.any():
-            new_offsets, new_raw = _subset(offsets, raw, touched)
-            shift = np.zeros(len(ids), np.int64)
-            shift[touched] = new_offsets[:-1] - offsets[:-1][touched]
-            marks = (starts + shift[doc[of]])[repeat].astype("<u4").tobytes()
-            out.append((PENDING, own["dst"], -1, pack(new_raw.tobytes(), 3), ids[touched].astype("<i8").tobytes(), np.diff(new_offsets).astype("<i8").tobytes(), pack(marks), *[None] * 5))
-            to = (anchor >> np.uint64(64 - bits)).astype(np.int64)
-            chosen = np.flatnonzero(open_)
-            chosen = chosen[np.argsort(to[chosen], kind="stable")]
-            cut = np.flatnonzero(np.diff(to[chosen])) + 1
-            for part in np.split(chosen, cut) if len(chosen) else []:
-                where, run = expand(s0[part], s1[part] + WIDTH - 1)
-                lens = (s1[part] - s0[part] + 1).astype("<u4")
-                data = pack(np.array([len(part)], "<u8").tobytes() + (s0[part] + shift[doc[part]]).astype("<u4").tobytes() + lens.tobytes() + ids[doc[part]].astype("<i8").tobytes() + raw[where].tobytes())
-                out.append((RUN, int(to[part[0]]), own["dst"], data, *[None] * 8))
+        out = [(MARK, own["dst"], -2, pack(starts[repeat].astype("<u4").tobytes()))] if repeat.any() else []
+        to = (anchor >> np.uint64(64 - bits)).astype(np.int64)
+        chosen = np.flatnonzero(open_)
+        chosen = chosen[np.argsort(to[chosen], kind="stable")]
+        for part in np.split(chosen, np.flatnonzero(np.diff(to[chosen])) + 1) if len(chosen) else []:
+            where, _ = expand(s0[part], s1[part] + WIDTH - 1)
+            lens = (s1[part] - s0[part] + 1).astype("<u4")
+            data = pack(np.array([len(part)], "<u8").tobytes() + s0[part].astype("<u4").tobytes() + lens.tobytes() + ids[doc[part]].astype("<i8").tobytes() + raw[where].tobytes())
+            out.append((RUN, int(to[part[0]]), own["dst"], data))
         return as_table(out, STEP_ARROW)
 
     def match(got: pa.Table) -> pa.Table:
@@ -244,45 +239,41 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             keys, of_doc = windows(body, WIDTH)[at], docs_[of]
             small, where = family.scan(keys)
             hit = small < of_doc
-            family.add(keys, of_doc, at + base)
-            held.append((src, place, keys, of, of_doc, at + base, at - begin[of], hit, where))
+            family.add(keys, of_doc, at + np.int32(base))
+            held.append((src, place, begin, docs_, keys, of, at, base, hit, where))
             base += len(body)
         words = np.ndarray((max(0, len(text) - 7),), "<u8", text.tobytes(), strides=(1,))
         out = []
-        for src, place, keys, of, of_doc, at, bit, hit, where in held:
+        for src, place, begin, docs_, keys, of, at, base, hit, where in held:
             left = np.flatnonzero(~hit)
             small, there = family.scan(keys[left])
-            late = small < of_doc[left]
+            late = small < docs_[of[left]]
             hit[left[late]], where[left[late]] = True, there[late]
             chosen = np.flatnonzero(hit)
             for o in (0, 8, 16, 24, 32, 40, WIDTH - 8):
-                chosen = chosen[words[at[chosen] + o] == words[where[chosen] + o]]
+                chosen = chosen[words[at[chosen] + (base + o)] == words[where[chosen] + o]]
             if len(chosen):
-                out.append((src, got["dst"][0].as_py(), pack((place[of[chosen]] + bit[chosen]).astype("<u4").tobytes())))
+                run = of[chosen]
+                out.append((src, got["dst"][0].as_py(), pack((place[run] + at[chosen] - begin[run]).astype("<u4").tobytes())))
         return as_table(out, MESSAGE_ARROW)
 
     def finish(got: pa.Table) -> pa.Table:
         rows = got.to_pylist()
         own = next(r for r in rows if r["src"] == -1)
         ids, offsets, _, raw = read_chunk(own["ids"], own["lens"], own["data"])
-        starts = [np.frombuffer(unpack(own["marks"]), "<u4")] + [np.frombuffer(unpack(r["data"]), "<u4") for r in rows if r["src"] >= 0]
-        removed = covered(len(raw), np.concatenate(starts).astype(np.int64))
-        return as_table(done(ids, offsets, raw, removed, keep_text), STEP_ARROW)
+        starts = [np.frombuffer(unpack(r["data"]), "<u4") for r in rows if r["src"] != -1]
+        removed = covered(len(raw), np.concatenate([*starts, np.zeros(0, "<u4")]).astype(np.int64))
+        return as_table(results(ids, offsets, raw, removed, keep_text), RESULT_ARROW)
 
-    shared = grouped(chunks.mapInArrow(send_anchors, store.MESSAGE), find_shared)
     whole = chunks.select(F.col("chunk").alias("dst"), F.lit(-1).cast("long").alias("src"), F.col("text").alias("data"), "ids", "lens")
-    steps = work.save(whole.unionByName(shared, allowMissingColumns=True).groupBy("dst").applyInArrow(send_runs, STEP), "kind", compression="none")
-    work.drop(chunks)
-    matched = grouped(steps.where(f"kind = {RUN}").select("dst", "src", "data"), match)
-    pending = steps.where(f"kind = {PENDING}").select("dst", "src", "data", "ids", "lens", "marks")
-    late = pending.unionByName(matched, allowMissingColumns=True).groupBy("dst").applyInArrow(finish, STEP)
-    columns = ["doc_id", "n_bytes", "spans", "kept_sha256", "kept"]
-    out = steps.where(f"kind = {DONE}").select(columns).union(late.select(columns))
-    return out if keep_text else out.drop("kept")
 
+    def runs() -> DataFrame:
+        shared = grouped(chunks.mapInArrow(send_anchors, store.MESSAGE), find_shared)
+        return work.save(whole.unionByName(shared, allowMissingColumns=True).groupBy("dst").applyInArrow(send_runs, STEP), "kind", compression="none")
 
-def _subset(offsets: np.ndarray, raw: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    lens = np.diff(offsets)
-    new = np.zeros(mask.sum() + 1, np.int64)
-    np.cumsum(lens[mask], out=new[1:])
-    return new, raw[np.repeat(mask, lens)]
+    steps = runs()
+    work.drop()
+    matched = grouped(steps.where(f"kind = {RUN}").select("dst", "src", "data"), match)
+    marks = steps.where(f"kind = {MARK}").select("dst", "src", "data").union(matched)
+    out = whole.unionByName(marks, allowMissingColumns=True).groupBy("dst").applyInArrow(finish, RESULT)
+    return out if keep_text else out.drop("kept")
