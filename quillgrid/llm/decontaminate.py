@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters, digits and bytes beyond ASCII, A-Z as a-z. A first pass counts in how many documents each n-gram of the
-test items occurs; an item's seeds are the rarer half of its own n-grams, whatever their counts, so no item is without seeds. In
+test items occurs; an item's seeds are the rarest RAREST of its own n-grams, whatever their counts, so no item is without seeds. In
 a second pass every document that holds a seed is aligned with the item around it: the Smith-Waterman score of the words
 (match 2, other words and gaps -1) over twice the item's length is 1 for a copy and falls with edits. Both passes only map: documents are never
 shuffled. Test items are taken in blocks of BLOCK_ITEMS, so what the tasks get has a bound.
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from quillgrid.llm.kernels import shingles, words
 from quillgrid.llm.store import slices, table, texts_of
 
-SEED, THRESHOLD, BLOCK_ITEMS, SLICE, BITS = 3, 0.5, 20_000, 1 << 20, 20
+SEED, THRESHOLD, BLOCK_ITEMS, SLICE, BITS = 3, 0.4, 20_000, 1 << 20, 20
+#: The part of an item's n-grams, the rarest ones, that are its seeds.
+RAREST = 0.75
 LEAK = "doc_id long, item_id long, score double, begin_word long, end_word long"
 LEAK_ARROW = {"doc_id": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "begin_word": pa.int64(), "end_word": pa.int64()}
 
@@ -67,13 +69,13 @@ class Seeds:
         self.map = np.zeros(1 << BITS, bool)
         self.map[(self.grams >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
-    def rarer_half(self, df: np.ndarray) -> None:
-        """Keeps of each item the n-grams that are not more frequent than its median one."""
+    def keep_rarest(self, df: np.ndarray) -> None:
+        """Keeps of each item the n-grams that are not more frequent than its RAREST quantile."""
         mine = df[np.searchsorted(self.grams, self.posted)]
         keep = np.zeros(len(mine), bool)
         order = np.argsort(self.item, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1) if len(order) else []:
-            keep[part] = mine[part] <= np.median(mine[part])
+            keep[part] = mine[part] <= np.quantile(mine[part], RAREST)
         self._take(self.posted[keep], self.item[keep], self.at[keep])
 
     def hits(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +154,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         for r in docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
             df[r["gram"]] = r["n"]
         shared.unpersist()
-        seeds.rarer_half(df)
+        seeds.keep_rarest(df)
         chosen = spark.sparkContext.broadcast(seeds)
 
         def search(batches, chosen=chosen):

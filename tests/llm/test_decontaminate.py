@@ -32,7 +32,7 @@ def test_finds_planted_and_only_them(spark):
         if d % 4 == 0:
             i, passage = rng.choice(items)
             p = list(passage)
-            for _ in range(len(p) // 8):
+            for _ in range(len(p) // 4):
                 at = rng.randrange(len(p))
                 p[at : at + 1] = rng.choice(([], ["new"], [p[at], "more"]))
             w[(at := rng.randint(0, len(w))) : at] = [x.title() + rng.choice(("", ",", ".")) for x in p]
