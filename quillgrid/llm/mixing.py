@@ -66,19 +66,19 @@ def slot_of_block(q: Column) -> Column:
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights: dict[str | None, int] | None = None, block: int = BLOCK, slots: int = SLOTS, power: float = POWER) -> DataFrame:
     """The rows of docs, each as often as the schedule takes its block, with columns epoch, block, slot and position (of the row in the mixed stream)."""
     sources = plan(docs, source, weights, block, slots, power)
+    # a key that is never null, so that numbering and both joins share one shuffle
+    name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
     # a source's order is that of the hash, so its rows are numbered in small groups of equal hash prefix
-    keyed = docs.withColumns({"__source": F.col(source).cast("string"), "__key": key, "__part": F.substring(key, 1, 3)})
+    keyed = docs.withColumns({"__source": name(F.col(source).cast("string")), "__key": key, "__part": F.substring(key, 1, 3)})
     parts = keyed.groupBy("__source", "__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("__source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # the table of parts has a row for each source and prefix; the plan's row of the source goes with it
-    sources = F.broadcast(sources) if sources_bounded(docs, source) else sources
-    parts = parts.withColumn("__before", before).join(sources.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s", "__n")
-    parts = parts.withColumnsRenamed({"__source": "__s", "__part": "__p"})
+    parts = parts.select("__source", "__part", before.alias("__before"))
     others = [F.xxhash64(*[F.col(c) for c in docs.columns])]
     nth = F.row_number().over(Window.partitionBy("__source", "__part").orderBy("__key", doc_id, *others)) - 1
-    rows = keyed.withColumn("__nth", nth)
-    rows = rows.join(parts, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__part") == F.col("__p")))
+    rows = keyed.withColumn("__nth", nth).join(parts, ["__source", "__part"])
+    sources = sources.withColumn("__source", name(F.col("__source")))
+    rows = rows.join(F.broadcast(sources) if sources_bounded(docs, source) else sources, "__source")
     rank = F.col("__nth") + F.col("__before")
     rows = rows.withColumn("__rank", rank).withColumn("__block", F.floor(F.col("__rank") / block))
     epochs = F.floor((F.col("__total") - 1 - F.col("__block")) / F.col("__blocks"))
