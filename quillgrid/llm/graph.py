@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of two ids up to which a label table is broadcast (8 MB); larger ones are joined by shuffles.
+BROADCAST_LABELS = 500_000
+
+
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """table, with a broadcast hint if it has few enough rows."""
+    return F.broadcast(table) if rows <= BROADCAST_LABELS else table
+
 
 def components(links: DataFrame, work) -> DataFrame:
     """links has columns a and b; the result has a row (id, component) for each of their ids, component being the smallest id reachable.
@@ -14,11 +22,12 @@ def components(links: DataFrame, work) -> DataFrame:
     """
     both = work.save(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
     labels = work.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
+    n = labels.count()
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("low"))
+        near = both.join(small(labels.select(F.col("id").alias("b"), "component"), n), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        lower = near.join(small(labels, n), "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("low"))
         up = labels.select(F.col("id").alias("low"), F.col("component").alias("jump"))
-        step = lower.join(up, "low", "left").select("id", F.least("low", "jump").alias("component"), (F.least("low", "jump") < F.col("old")).cast("long").alias("changed"))
+        step = lower.join(small(up, n), "low", "left").select("id", F.least("low", "jump").alias("component"), (F.least("low", "jump") < F.col("old")).cast("long").alias("changed"))
         new = work.save(step)
         changed = new.agg(F.sum("changed")).first()[0]
         work.drop(labels)

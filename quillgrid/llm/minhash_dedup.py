@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm import store
-from quillgrid.llm.graph import components
+from quillgrid.llm.graph import components, small
 from quillgrid.llm.kernels import mix, shingles, words
 from quillgrid.llm.store import ids_of, slices, table, texts_of
 
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = bounds = None
     for turn in (1, 2):
         source = postings if members is None else members.drop("component")
-        found = source.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        found = source.join(small(label.select(F.col("id").alias("rep"), "component"), label.count()), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = found.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
         members = work.save(found.join(work.save(mixed), "token"))
         if bounds is None:
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             left = members.select(F.col("rep").alias("doc_id")).distinct()
             counted = _common(sets_table(docs, work.save(left), width, documents, which))
             bounds = work.save(counted)
-            members = work.save(members.join(bounds, "rep").where(100 * F.col("common") >= round(similarity * 100) * F.col("n_shingles")))
+            members = work.save(members.join(small(bounds, bounds.count()), "rep").where(100 * F.col("common") >= round(similarity * 100) * F.col("n_shingles")))
         if turn == 1:
             order = F.struct(F.xxhash64("token", "rep").alias("o"), F.col("rep").alias("leader"), F.col("component").alias("of"), F.col("n_shingles").alias("n_leader"), F.col("common").alias("c_leader"))
             leaders = work.save(members.groupBy("token").agg(F.min(order).alias("l"), F.count("*").alias("n")).where("n > 1").select("token", "l.*"))
