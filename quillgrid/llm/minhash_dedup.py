@@ -183,8 +183,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = F.min(F.struct("alone", F.xxhash64("rep").alias("o"), F.col("rep").alias("leader"))).alias("l")
     leaders = work.save(postings.groupBy("token").agg(first, F.count("*").alias("n")).where("n > 1").select("token", "l.leader"))
     tried = work.save(postings.join(leaders, "token").where("rep <> leader").select(*pair).distinct())
-    links = confirm(docs, tried, width, similarity, work, documents, which)
-    label = components(links, work)
+    label = components(confirm(docs, tried, width, similarity, work, documents, which), work)
     members = bounds = None
     for turn in (1, 2):
         source = postings if members is None else members.drop("component")
@@ -210,8 +209,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if pairs.isEmpty():
             continue
         tried = tried.union(pairs)
-        links = links.union(confirm(docs, pairs, width, similarity, work, documents, which))
-        label = components(links, work)
+        label = components(confirm(docs, pairs, width, similarity, work, documents, which), work, label)
     classes = reps.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
     classes = work.save(classes.select(*key, F.coalesce("component", "rep").alias("component_id")))
     work.drop(reps)
