@@ -1,9 +1,10 @@
 """Removal of byte strings that repeat across documents, by a logarithmic family of suffix indices.
 
 The suffixes that matter are the starts of WIDTH bytes inside one document. Every such window has an
-anchor, the K bytes with the least hash in it, and windows in a row with one anchor form a run. Chunks of
-documents first tell buckets of the hash space which anchors they hold; only runs whose anchor another
-document holds as well are then indexed. A bucket takes the runs of one chunk after another as batches: it sorts a
+anchor, the K bytes with the least hash in it, and windows in a row with one anchor form a run. Of the WIDTH - K
+bytes around an anchor in a window, half or more lie on one side of it; so equal windows have equal anchors with equal
+SIDE bytes to the left or to the right. Chunks of documents first tell buckets of the hash space their anchors with a byte of hash for
+either side; only runs whose anchor another document holds with an equal side are then indexed. A bucket takes the runs of one chunk after another as batches: it sorts a
 batch's suffixes by a fingerprint of their first WIDTH bytes, merge-scans them against the levels that exist for an
 equal suffix in a document with a smaller id, and adds them as a level; levels of equal size merge, so that there are
 never more than log2(batches) of them. Equal fingerprints are compared byte by byte before anything is removed.
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm import store
-from quillgrid.llm.kernels import sliding_min, windows
+from quillgrid.llm.kernels import mix, powers, prefix, sliding_min, windows
 from quillgrid.llm.store import MESSAGE_ARROW, NULL_ID, grouped, pack, read_chunk, slices, table, unpack
 
 WIDTH, K = 50, 24
+SIDE = (WIDTH - K) // 2
 SLICE = 1 << 20
+SIDES, RIGHT = np.uint64(0xFFFF), np.uint64(0xFF)
 LOW = np.uint64((1 << 24) - 1)
 
 #: Raw text bytes of a chunk here; the windows of a chunk that repeat are held at once.
@@ -76,43 +79,64 @@ class SuffixLevels:
 
 
 def runs_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window, last window and document of each run of windows with one anchor."""
+    """Anchor entry, first window, last window and document of each run of windows with one anchor. An entry is the anchor's hash, its last two bytes replaced by hashes of the SIDE bytes to the left and right (0 where the document has fewer)."""
     found = []
     for a, b in slices(offsets, SLICE):
         part, base = raw[offsets[a] : offsets[b]], offsets[a]
-        h = windows(part, K)
         if len(part) < WIDTH:
             continue
+        p, (_, down) = prefix(part), powers(len(part) + 1)
+        n = len(part) - K + 1
+        h = mix((p[K : K + n] - p[:n]) * down[:n])
         here = np.arange(len(h), dtype=np.uint64)
         low = sliding_min((h & ~LOW) | (LOW - (here & LOW)), WIDTH - K + 1) & LOW
         start = here[: len(low)]
         anchor = (start + ((LOW - low - start) & LOW)).astype(np.int64)
         lens = np.diff(offsets[a : b + 1])
         ends = np.repeat(offsets[a + 1 : b + 1] - base, lens)[: len(low)]
-        start = start.astype(np.int64)
-        ok = start + WIDTH <= ends
+        ok = np.arange(len(low)) + WIDTH <= ends
         first = ok.copy()
         first[1:] &= ~ok[:-1] | (anchor[1:] != anchor[:-1])
         last = ok.copy()
         last[:-1] &= ~ok[1:] | (anchor[1:] != anchor[:-1])
         s0, s1 = np.flatnonzero(first), np.flatnonzero(last)
         doc = np.searchsorted(offsets, s0 + base, "right") - 1
-        found.append((h[anchor[s0]], s0 + base, s1 + base, doc))
+        at = anchor[s0]
+        left, right = np.maximum(at - SIDE, 0), np.minimum(at + K + SIDE, len(part))
+        has_left, has_right = at - SIDE >= offsets[doc] - base, at + K + SIDE <= offsets[doc + 1] - base
+        entry = h[at] & ~SIDES
+        entry |= np.where(has_left, mix((p[at] - p[left]) * down[left]) >> np.uint64(56), np.uint64(0)) << np.uint64(8)
+        entry |= np.where(has_right, mix((p[right] - p[at + K]) * down[at + K]) >> np.uint64(56), np.uint64(0))
+        found.append((entry, s0 + base, s1 + base, doc))
     if not found:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def sides(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor with left side, and anchor with right side."""
+    return entries & ~RIGHT, entries & ~(SIDES ^ RIGHT)
+
+
 def planes(values: np.ndarray) -> bytes:
-    return pack(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes())
+    return pack(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    got = np.frombuffer(unpack(data), np.uint8).reshape(5, -1)
-    out = np.zeros((got.shape[1], 8), np.uint8)
-    out[:, :5] = got.T
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+    return np.ascontiguousarray(np.frombuffer(unpack(data), np.uint8).reshape(8, -1).T).reshape(-1).view("<u8").astype(np.uint64)
+
+
+def in_several(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each key, whether rows with different ids have it."""
+    if not len(keys):
+        return np.zeros(0, bool)
+    order = np.argsort(keys, kind="stable")
+    begin = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+    several = np.minimum.reduceat(ids[order], begin) < np.maximum.reduceat(ids[order], begin)
+    out = np.empty(len(keys), bool)
+    out[order] = np.repeat(several, np.diff(np.append(begin, len(keys))))
+    return out
 
 
 def bounds(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -165,16 +189,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 _, offsets, _, raw = read_chunk(ids, lens, data)
                 h = np.unique(runs_of(raw, offsets)[0])
                 at = bounds(h, bits)
-                low = (h << np.uint64(bits)) >> np.uint64(24)
+                low = h & np.uint64((1 << (64 - bits)) - 1)
                 full = np.flatnonzero(np.diff(at))
                 yield table(MESSAGE_ARROW, [full, np.full(len(full), chunk), [planes(low[at[i] : at[i + 1]]) for i in full]])
 
     def find_shared(got: pa.Table) -> pa.Table:
         lists = [from_planes(x) for x in got["data"].to_pylist()]
-        values, count = np.unique(np.concatenate(lists), return_counts=True)
-        shared = count > 1
-        rows = [(src, dst, np.packbits(shared[np.searchsorted(values, x)]).tobytes()) for src, dst, x in zip(got["src"].to_pylist(), got["dst"].to_pylist(), lists, strict=True)]
-        return as_table([r for r in rows if any(r[2])], MESSAGE_ARROW)
+        shared = [np.zeros(len(x), bool) for x in lists]
+        for side in (0, 1):
+            values, count = np.unique(np.concatenate([np.unique(sides(x)[side]) for x in lists]), return_counts=True)
+            values = values[count > 1]
+            if len(values):
+                for x, mark in zip(lists, shared, strict=True):
+                    mine = sides(x)[side]
+                    mark |= values[np.minimum(np.searchsorted(values, mine), len(values) - 1)] == mine
+        rows = [(src, dst, np.packbits(mark).tobytes()) for src, dst, mark in zip(got["src"].to_pylist(), got["dst"].to_pylist(), shared, strict=True) if mark.any()]
+        return as_table(rows, MESSAGE_ARROW)
 
     def send_runs(got: pa.Table) -> pa.Table:
         rows = got.to_pylist()
@@ -188,13 +218,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             if r["src"] >= 0:
                 a, b = at[r["src"]], at[r["src"] + 1]
                 remote[a:b] = np.unpackbits(np.frombuffer(r["data"], np.uint8), count=b - a).astype(bool)
-        local = np.zeros(len(unique), bool)
-        if len(h):
-            order = np.argsort(inverse, kind="stable")
-            begin = np.searchsorted(inverse[order], np.arange(len(unique)))
-            of = ids[doc][order]
-            local = np.minimum.reduceat(of, begin) < np.maximum.reduceat(of, begin)
-        keep = (remote | local)[inverse]
+        left, right = sides(h)
+        local = in_several(left, ids[doc]) | in_several(right, ids[doc])
+        keep = remote[inverse] | local
         far, anchor, s0, s1, doc = remote[inverse][keep], h[keep], s0[keep], s1[keep], doc[keep]
         starts, of = expand(s0, s1)
         if not len(starts):
