@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm import kernels
 from quillgrid.llm.kernels import shingles, words
 from quillgrid.llm.store import slices, table, texts_of
 
@@ -139,6 +140,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = part.collect()
         seeds = Seeds([r["item_id"] for r in rows], [r["text"] for r in rows])
+        kernels.forget()  # else the tables of powers would travel with every task
         shared = spark.sparkContext.broadcast(seeds)
 
         def count(batches, shared=shared):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -51,6 +52,17 @@ class Work:
         jvm.System.gc()
 
 
+def lean() -> None:
+    """Makes this worker give large arrays back to the system as soon as they are free, and what Arrow holds unused."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: no longer raised by what was freed before
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -147,12 +159,17 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", target:
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, CHUNK)
 
 
-def n_buckets(spark: SparkSession, chunks: DataFrame) -> int:
-    """A power of two: buckets for what all chunks send, so that each gets what about two chunks hold."""
+def n_buckets(spark: SparkSession, chunks: DataFrame, of: float = 2) -> int:
+    """A power of two: buckets for what all chunks send, so that each gets what about that many chunks hold."""
     rows = chunks.select("chunk").count()
-    return 1 << max(6, int(np.ceil(np.log2(max(1, rows / 2, partitions(spark))))))
+    return 1 << max(6, int(np.ceil(np.log2(max(1, rows / of, partitions(spark))))))
 
 
 def grouped(messages: DataFrame, fn, schema: str = MESSAGE) -> DataFrame:
     """fn gets an Arrow table of all messages of one receiver."""
-    return messages.groupBy("dst").applyInArrow(fn, schema)
+
+    def run(got: pa.Table) -> pa.Table:
+        lean()
+        return fn(got)
+
+    return messages.groupBy("dst").applyInArrow(run, schema)

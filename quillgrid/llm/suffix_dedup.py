@@ -181,7 +181,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     work = store.Work(spark, "suffix")
     chunks = work.save(store.chunked(docs, doc_id, text, CHUNK), compression="none")
-    bits = int(np.log2(store.n_buckets(spark, chunks)))
+    bits = int(np.log2(store.n_buckets(spark, chunks, 1)))
 
     def send_anchors(batches):
         for batch in batches:
@@ -257,9 +257,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             place, lens = (np.frombuffer(b, "<u4", n, at).astype(np.int64) for at in (8, 8 + 4 * n))
             batches.append((src, place, lens, np.frombuffer(b, "<i8", n, 8 + 8 * n), np.frombuffer(b, np.uint8, -1, 8 + 16 * n)))
         batches.sort(key=lambda x: (x[3].min(), x[0]))
-        text = np.concatenate([x[4] for x in batches])
+        text = np.concatenate([x[4] for x in batches]).tobytes()
         family, base, held = SuffixLevels(), 0, []
-        for src, place, lens, docs_, body in batches:
+        while batches:
+            src, place, lens, docs_, body = batches.pop(0)
             begin = np.cumsum(lens + WIDTH - 1) - (lens + WIDTH - 1)
             at, of = expand(begin, begin + lens - 1)
             keys, of_doc = windows(body, WIDTH)[at], docs_[of]
@@ -268,7 +269,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             family.add(keys, of_doc, at + np.int32(base))
             held.append((src, place, begin, docs_, keys, of, at, base, hit, where))
             base += len(body)
-        words = np.ndarray((max(0, len(text) - 7),), "<u8", text.tobytes(), strides=(1,))
+        words = np.ndarray((max(0, len(text) - 7),), "<u8", text, strides=(1,))
         out = []
         for src, place, begin, docs_, keys, of, at, base, hit, where in held:
             left = np.flatnonzero(~hit)
@@ -295,11 +296,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def runs() -> DataFrame:
         shared = grouped(chunks.mapInArrow(send_anchors, store.MESSAGE), find_shared)
-        return work.save(whole.unionByName(shared, allowMissingColumns=True).groupBy("dst").applyInArrow(send_runs, STEP), "kind", compression="none")
+        return work.save(grouped(whole.unionByName(shared, allowMissingColumns=True), send_runs, STEP), "kind", compression="none")
 
     steps = runs()
     work.drop()
     matched = grouped(steps.where(f"kind = {RUN}").select("dst", "src", "data"), match)
     marks = steps.where(f"kind = {MARK}").select("dst", "src", "data").union(matched)
-    out = whole.unionByName(marks, allowMissingColumns=True).groupBy("dst").applyInArrow(finish, RESULT)
+    out = grouped(whole.unionByName(marks, allowMissingColumns=True), finish, RESULT)
     return out if keep_text else out.drop("kept")
