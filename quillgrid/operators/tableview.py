@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -169,9 +170,13 @@ class TableView:
         """Row numbers that the filters hide, in source order."""
         return self.df.where(~self.predicate(state)).select(self.row).orderBy(self.row)
 
-    def visual(self, state: ViewState, work=None) -> DataFrame:
-        """row and slot: the k-th body slot shows the k-th projected row. Slots are numbered over sorted ranges, not in one task, when a work folder is given."""
+    def visual(self, state: ViewState, spread: bool = False) -> DataFrame:
+        """row and slot: the k-th body slot shows the k-th projected row.
+
+        A sheet has at most 1 048 576 rows, which one window numbers; spread numbers any number of rows, each task its own range of the order."""
         kept = self.df.where(self.predicate(state))
+        if spread:
+            return numbered(kept, self.order(state), "slot").select(self.row, "slot")
         return kept.select(self.row, F.row_number().over(Window.orderBy(*self.order(state))).alias("slot"))
 
     def distinct(self, i: int) -> DataFrame:
@@ -182,3 +187,17 @@ class TableView:
 def _swapped(text: Column) -> Column:
     lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(text, lower + upper, upper + lower)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with 1, 2, ... in the given order. The sorted ranges are checkpointed in spark.checkpoint.dir; only a row for each task is summed up in one place."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillgrid-')}")
+    ranges = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    task = F.shiftright("__at", 33)
+    counts = ranges.groupBy(task.alias("__task")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__task", before.alias("__before"))
+    within = F.col("__at") - F.shiftleft(F.col("__task"), 33)
+    return ranges.withColumn("__task", task).join(F.broadcast(starts), "__task").withColumn(name, within + F.col("__before") + 1).drop("__at", "__task", "__before")

@@ -56,6 +56,13 @@ def test_table_view(table):
         rows(table, ViewState(sorts=(Sort(9),)))
 
 
+def test_spread_numbering(spark):
+    df = spark.range(1000).selectExpr("CAST(id AS INT) AS r", "CAST(id * 37 % 101 AS DOUBLE) AS v").repartition(7)
+    v = TableView(df, "r", ("r", "v"))
+    state = ViewState(sorts=(Sort(1, True),))
+    assert sorted(map(tuple, v.visual(state, spread=True).collect())) == sorted(map(tuple, v.visual(state).collect()))
+
+
 def test_accents_and_blanks(spark):
     df = spark.createDataFrame([(1, "É"), (2, None), (3, ""), (4, "b")], "r int, t string")
     v = TableView(df, "r", ("t",))
