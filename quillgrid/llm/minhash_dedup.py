@@ -6,7 +6,7 @@ representative is posted under its coordinate-value pairs. A pair of documents o
 MATCHES(similarity) coordinates, but for a chance below about 1e-5; such a pair must share one of the
 N_HASHES - MATCHES + 1 rarest pairs of each (the prefix), all others being skipped, so the lists of frequent passages
 are never read. In a list, documents are first compared with one leader, the one that shares most of its signature with
-others; then, as far as they are still in different components, with leaders drawn for each list; then with each other. So a family of copies
+others; then, as far as they are still in different components, with the one that has the fewest shingles of its own; then with each other. So a family of copies
 costs a comparison for each member. Before the last two rounds the shingles of the documents left over are counted: those that no other
 of them has cannot be common to a pair, and pairs whose remaining shingles are too few for the similarity are left out, which loses none.
 Candidates that agree in enough coordinates are confirmed on their full shingle sets.
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             bounds = work.save(counted)
             members = work.save(members.join(small(bounds, bounds.count()), "rep").where(100 * F.col("common") >= round(similarity * 100) * F.col("n_shingles")))
         if turn == 1:
-            order = F.struct(F.xxhash64("token", "rep").alias("o"), F.col("rep").alias("leader"), F.col("component").alias("of"), F.col("n_shingles").alias("n_leader"), F.col("common").alias("c_leader"))
+            order = F.struct((F.col("n_shingles") - F.col("common")).alias("lone"), F.xxhash64("rep").alias("o"), F.col("rep").alias("leader"), F.col("component").alias("of"), F.col("n_shingles").alias("n_leader"), F.col("common").alias("c_leader"))
             leaders = work.save(members.groupBy("token").agg(F.min(order).alias("l"), F.count("*").alias("n")).where("n > 1").select("token", "l.*"))
             pairs = members.join(leaders, "token").where("component <> of").where(_possible("n_shingles", "common", "n_leader", "c_leader", similarity)).select(*pair)
         else:
