@@ -1,3 +1,10 @@
 """Spreadsheet query semantics on PySpark: formulas, table views, display formats, charts and .xlsx files."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors by value, so that workers need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
