@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm import kernels
 from quillgrid.llm.kernels import shingles, words
-from quillgrid.llm.store import slices, table, texts_of
+from quillgrid.llm.store import ship, slices, table, texts_of
 
 SEED, THRESHOLD, BLOCK_ITEMS, SLICE, BITS = 3, 0.4, 20_000, 1 << 20, 20
 #: The part of an item's n-grams, the rarest ones, that are its seeds.
@@ -141,12 +141,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         rows = part.collect()
         seeds = Seeds([r["item_id"] for r in rows], [r["text"] for r in rows])
         kernels.forget()  # else the tables of powers would travel with every task
-        shared = spark.sparkContext.broadcast(seeds)
+        load = ship(spark, seeds)
 
-        def count(batches, shared=shared):
-            total = np.zeros(len(shared.value.grams), np.int64)
+        def count(batches, load=load):
+            known = load()
+            total = np.zeros(len(known.grams), np.int64)
             for ids, _, _, s, s_at in documents(batches):
-                where, gram = shared.value.hits(s)
+                where, gram = known.hits(s)
                 pairs = np.unique(gram * np.int64(len(ids)) + np.searchsorted(s_at, where, "right") - 1)
                 total += np.bincount(pairs // len(ids), minlength=len(total))
             full = np.flatnonzero(total)
@@ -155,13 +156,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         df = np.zeros(len(seeds.grams), np.int64)
         for r in docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
             df[r["gram"]] = r["n"]
-        shared.unpersist()
         seeds.keep_rarest(df)
-        chosen = spark.sparkContext.broadcast(seeds)
+        load = ship(spark, seeds)
 
-        def search(batches, chosen=chosen):
+        def search(batches, load=load):
+            chosen = load()
             for ids, h, h_at, s, s_at in documents(batches):
-                found = [(ids[d], item, score, int(b), int(e)) for d, item, score, b, e in leaks_of(chosen.value, h, h_at, s, s_at, threshold)]
+                found = [(ids[d], item, score, int(b), int(e)) for d, item, score, b, e in leaks_of(chosen, h, h_at, s, s_at, threshold)]
                 if found:
                     yield table(LEAK_ARROW, list(zip(*found, strict=True)))
 

@@ -102,15 +102,16 @@ def _pairs(spark, classes: DataFrame, count: int, cosine: float, work) -> DataFr
     """Pairs (a, b), a < b, of class representatives that the tables find and whose cosine is large enough."""
     sample = classes.orderBy(F.xxhash64("v", "label")).limit(SAMPLE).select("v").collect()
     quantiser = Quantiser(np.stack([unit(np.frombuffer(r["v"], "<f8")) for r in sample]))
-    shared = spark.sparkContext.broadcast(quantiser)
+    load = store.ship(spark, quantiser)
     width = int(np.clip(np.ceil(np.log2(max(2, count))), 8, 21))
     cuts = [(a, min(width, quantiser.bits - a)) for a in range(0, quantiser.bits, width)]
 
     def code(batches):
+        learned = load()
         for batch in batches:
             if batch.num_rows:
                 x = np.stack([unit(np.frombuffer(v.as_buffer(), "<f8")) for v in batch.column(2)])
-                codes = shared.value.codes(x)
+                codes = learned.codes(x)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(codes), pa.list_(pa.int64()))], names=["rep", "label", "codes"])
 
     coded = work.save(classes.select("rep", "label", "v").mapInArrow(code, "rep long, label string, codes array<long>"))

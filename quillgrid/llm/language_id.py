@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.store import slices, table, texts_of
+from quillgrid.llm.store import ship, slices, table, texts_of
 
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES, TOTAL_BYTES = 64, 600, 24_000, 400_000
 LANE, SLICE = 512, 2 << 20
@@ -151,15 +151,16 @@ def fit(docs: DataFrame, doc_id: str, text: str, lang: str, folds: int, fold: in
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, fold: int = 0, carry: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row, after the columns named in carry."""
     spark = docs.sparkSession
-    parser = spark.sparkContext.broadcast(fit(docs, doc_id, text, lang, folds, fold))
+    load = ship(spark, fit(docs, doc_id, text, lang, folds, fold))
     carry = carry or []
     kept = docs.select(F.col(text).cast("string").alias("__text"), F.col(doc_id).cast("long").alias("__id"), *carry)
 
     def run(batches):
+        parser = load()
         for batch in batches:
             raw, offsets, null = texts_of(batch.column(0))
             for a, b in slices(offsets, SLICE):
-                pred, score = parser.value.predict(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], null[a:b])
+                pred, score = parser.predict(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], null[a:b])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(1, part.num_columns)] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names[1:], "__lang", "__score"])
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,12 @@ def lean() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def ship(spark: SparkSession, value):
+    """Broadcasts a value whose class travels by value, as workers may not have this library; the result loads it."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
