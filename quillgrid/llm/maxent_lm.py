@@ -7,9 +7,10 @@ base estimate gives them. The model is log P(class | history) + log P(word | cla
 tokens, P(class | history) a softmax over weights of hashed features of the history - the previous word, the word before it (skip)
 and both together. In training, a token's class is that of its count without itself, so that words seen once teach what unknown words look like.
 
-The weights are fitted on a bounded sample: TRAIN_CHUNKS chunks picked by hash, TRAIN_TOKENS tokens of whole training documents of
-each. In each of ROUNDS rounds every task takes the current weights, makes sparse minibatch gradient updates on its
-own tokens and returns the difference; the differences are averaged.
+The weights are fitted on every training token. In each of ROUNDS rounds every task takes the current weights, makes sparse minibatch
+gradient updates over its share of the chunks and returns the rows it changed in blocks; a row's new value is the mean over the tasks that
+met it, weighted by how often, so that what only one task sees is learned in full. The table of weights grows with the square root of the distinct features (words are counted, pairs estimated
+from the least hashes): a row is dense over the classes, and each worker holds the whole table.
 
 Defined results: a null or blank text is one token, the end; the rows of an equal id are scored one by one; a null id
 counts as the empty text in the hold-out rule; an empty table gives an empty result; other columns are ignored.
@@ -21,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,9 @@ from quillgrid.llm.suffix_dedup import as_table, bounds
 
 SLICE = 1 << 20
 CLASSES, TABLE = 64, 4096
-TRAIN_CHUNKS, TRAIN_TOKENS, ROUNDS, BATCH, RATE = 6, 300_000, 3, 4096, 0.5
+ROUNDS, BATCH, RATE = 3, 4096, 0.5
+#: Rows of the weight table in a block; hashes kept for the estimate of distinct pairs.
+BLOCK, LEAST = 1024, 256
 END = np.uint64(0x2545F4914F6CDD1D)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 SCORED_ARROW = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
@@ -60,16 +64,34 @@ def class_of(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.minimum(CLASSES - 1, 1 + np.floor(1.5 * np.log2(np.maximum(count, 1)))), 0).astype(np.int64)
 
 
-def features(tokens: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """Rows of the weight table for each token: previous word, the word before it, both together."""
+def histories(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each token's previous word, the word before it, both together."""
     before = np.full(len(tokens), END, np.uint64)
     before[1:] = tokens[:-1]
     before[at[:-1]] = END
     skip = np.full(len(tokens), END, np.uint64)
     skip[1:] = before[:-1]
     skip[at[:-1]] = END
-    both = mix(before * np.uint64(3) + skip)
-    return [(x >> np.uint64(20)).astype(np.int64) % TABLE + i * TABLE for i, x in enumerate((before, skip, both))]
+    return before, skip, mix(before * np.uint64(3) + skip)
+
+
+def features(tokens: np.ndarray, at: np.ndarray, sizes: tuple[int, int, int]) -> list[np.ndarray]:
+    """Rows of the weight table for each token: previous word, the word before it, both together."""
+    return [(x >> np.uint64(20)).astype(np.int64) % n + sum(sizes[:i]) for i, (x, n) in enumerate(zip(histories(tokens, at), sizes, strict=True))]
+
+
+def table_rows(distinct: float) -> int:
+    """Rows for so many distinct features."""
+    return max(TABLE, 1 << int(np.ceil(np.log2(4 * np.sqrt(max(distinct, 1))))))
+
+
+def least(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes)[:LEAST]
+
+
+def distinct_of(hashes: np.ndarray) -> float:
+    """Estimated number of distinct hashes, from the least ones of all."""
+    return len(hashes) if len(hashes) < LEAST else (LEAST - 1) * 2.0**64 / float(hashes[LEAST - 1])
 
 
 def log_softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -81,21 +103,29 @@ def log_softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def descend(weights: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
-    """Weights after one pass of sparse minibatch updates, each row's rate falling with the size of its past gradients."""
-    weights = weights.copy()
-    past = np.full(len(weights), 1e-6, np.float32)
+def descend(weights: np.ndarray, past: np.ndarray, hits: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> None:
+    """One pass of sparse minibatch updates in place, each row's rate falling with the size of its past gradients; hits counts the tokens that met a row."""
     for a in range(0, len(target), BATCH):
         part = [r[a : a + BATCH] for r in rows]
-        wrong = np.exp(log_softmax(weights, part))
+        wrong = weights[part[0]] + weights[-1]
+        for r in part[1:]:
+            wrong += weights[r]
+        wrong -= wrong.max(axis=1, keepdims=True)
+        np.exp(wrong, out=wrong)
+        wrong /= wrong.sum(axis=1, keepdims=True)
         wrong[np.arange(len(wrong)), target[a : a + BATCH]] -= 1
-        for r in [*part, np.full(len(wrong), len(weights) - 1)]:
-            order = np.argsort(r, kind="stable")
-            begin = np.flatnonzero(np.concatenate(([True], np.diff(r[order]) > 0)))
-            grad, row = np.add.reduceat(wrong[order], begin), r[order][begin]
-            past[row] += (grad * grad).sum(axis=1)
-            weights[row] -= RATE * grad / np.sqrt(past[row])[:, None]
-    return weights
+        for r in part:
+            key = np.sort(r * BATCH + np.arange(len(r)))
+            order, key = key % BATCH, key // BATCH
+            begin = np.flatnonzero(np.concatenate(([True], np.diff(key) > 0)))
+            grad, row = np.add.reduceat(wrong[order], begin), key[begin]
+            past[row] += np.einsum("ij,ij->i", grad, grad)
+            hits[row] += np.diff(begin, append=len(r))
+            weights[row] -= grad * (RATE / np.sqrt(past[row]))[:, None]
+        grad = wrong.sum(axis=0)
+        past[-1] += (grad * grad).sum()
+        hits[-1] += len(wrong)
+        weights[-1] -= RATE * grad / np.sqrt(past[-1])
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
@@ -146,6 +176,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     for r in totals:
         mass[r["pos"]] = r["mass"]
     n_train, n_types = sum(r["mass"] for r in totals), sum(r["types"] for r in totals)
+    # above the highest class that holds tokens, all are empty
+    classes = int(np.flatnonzero(mass).max(initial=0)) + 1
     answers = counted.where("dst >= 0").select("dst", "src", "data")
     whole = chunks.select(F.col("chunk").alias("dst"), F.lit(-1).cast("long").alias("src"), F.col("text").alias("data"), "ids", "lens")
 
@@ -161,37 +193,74 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
             mine, inverse = np.unique(t, return_inverse=True)
             yield ids[a:b], t, at, total[np.searchsorted(u, mine)][inverse]
 
-    examples_arrow = {"target": pa.binary(), "rows": pa.binary()}
+    examples_arrow = {"words": pa.binary(), "kinds": pa.binary(), "tokens": pa.binary(), "lens": pa.binary(), "least": pa.binary()}
 
     def examples(got: pa.Table) -> pa.Table:
-        target, rows, n = [], [], 0
+        """The training documents of a chunk: its words with their classes, the tokens as numbers of words (two lower bytes, then the upper ones), and the least hashes of pairs."""
+        tokens, counts, lens = [], [], []
         for ids, t, at, count in looked_up(got):
-            use = np.repeat(~held_out(ids, folds, fold), np.diff(at))
-            use &= np.repeat(at[:-1] + n < TRAIN_TOKENS, np.diff(at))
-            target.append(class_of(count[use] - 1))
-            rows.append(np.stack([f[use] for f in features(t, at)]))
-            n += len(t)
-        return as_table([(np.concatenate(target).astype("u1").tobytes(), np.concatenate(rows, axis=1).astype("<u2").tobytes())], examples_arrow)
-
-    weights = np.zeros((3 * TABLE + 1, CLASSES), np.float32)
-    picked = [r[0] for r in chunks.select("chunk").orderBy(F.xxhash64("chunk"), "chunk").limit(TRAIN_CHUNKS).collect()]
-    if picked and n_train:
-        both = whole.where(F.col("dst").isin(picked)).unionByName(answers.where(F.col("dst").isin(picked)), allowMissingColumns=True)
-        learned = work.save(both.groupBy("dst").applyInArrow(examples, "target binary, rows binary"))
+            learn = ~held_out(ids, folds, fold)
+            use = np.repeat(learn, np.diff(at))
+            tokens.append(t[use])
+            counts.append(count[use])
+            lens.append(np.diff(at)[learn])
+        t, count, lens = np.concatenate(tokens), np.concatenate(counts), np.concatenate(lens)
+        if not len(t):
+            return as_table([], examples_arrow)
+        u, first, inverse = np.unique(t, return_index=True, return_inverse=True)
+        pairs = histories(t, np.concatenate(([0], np.cumsum(lens))))[2]
+        planes = (inverse & 0xFFFF).astype("<u2").tobytes() + (inverse >> 16).astype("<u2").tobytes()
+        return as_table([(u.tobytes(), class_of(count[first] - 1).astype("u1").tobytes(), pack(planes), lens.astype("<i8").tobytes(), least(pairs).tobytes())], examples_arrow)
+
+    sizes = (TABLE, TABLE, TABLE)
+    weights = np.zeros((sum(sizes) + 1, classes), np.float32)
+    if n_train:
+        learned = work.save(whole.unionByName(answers, allowMissingColumns=True).groupBy("dst").applyInArrow(examples, "words binary, kinds binary, tokens binary, lens binary, least binary"), compression="none")
+        work.drop()
+
+        def merge_least(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([least(np.frombuffer(b"".join(batch["least"].to_pylist()), "<u8")).tobytes()])], names=["least"])
+
+        pairs = least(np.frombuffer(b"".join(r[0] for r in learned.select("least").mapInArrow(merge_least, "least binary").collect()), "<u8"))
+        sizes = (table_rows(n_types), table_rows(n_types), table_rows(distinct_of(pairs)))
+        weights = np.zeros((sum(sizes) + 1, classes), np.float32)
         for _ in range(ROUNDS):
             shared = spark.sparkContext.broadcast(weights)
 
             def update(batches):
+                start = shared.value
+                mine, past, hits = start.copy(), np.full(len(start), 1e-6, np.float32), np.zeros(len(start), np.int64)
                 for batch in batches:
-                    for target, rows in zip(*batch.to_pydict().values(), strict=True):
-                        target, rows = np.frombuffer(target, "u1").astype(np.int64), np.frombuffer(rows, "<u2").reshape(3, -1).astype(np.int64)
-                        if len(target):
-                            yield pa.RecordBatch.from_arrays([pa.array([(descend(shared.value, list(rows), target) - shared.value).tobytes()])], names=["delta"])
-
-            deltas = [np.frombuffer(r[0], np.float32).reshape(weights.shape) for r in learned.repartition(TRAIN_CHUNKS).mapInArrow(update, "delta binary").collect()]
-            if deltas:
-                weights = weights + np.mean(deltas, axis=0)
+                    for u, kinds, tokens, lens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        low, high = np.frombuffer(unpack(tokens), "<u2").reshape(2, -1).astype(np.int64)
+                        u, tokens, kinds = np.frombuffer(u, "<u8"), low + (high << 16), np.frombuffer(kinds, "u1").astype(np.int64)
+                        at = np.concatenate(([0], np.cumsum(np.frombuffer(lens, "<i8"))))
+                        descend(mine, past, hits, features(u[tokens], at, sizes), kinds[tokens])
+                task = TaskContext.get().partitionId()
+                for a in range(0, len(mine), BLOCK):
+                    n = hits[a : a + BLOCK]
+                    if n.any():
+                        delta = (mine[a : a + BLOCK] - start[a : a + BLOCK]).astype("<f2")
+                        yield table({"block": pa.int64(), "task": pa.int64(), "delta": pa.binary(), "hits": pa.binary()}, [[a], [task], [delta.tobytes()], [n.astype("<i8").tobytes()]])
+
+            def average(got: pa.Table) -> pa.Table:
+                total, n = 0.0, 0
+                for r in sorted(got.to_pylist(), key=lambda r: r["task"]):
+                    hits = np.frombuffer(r["hits"], "<i8")
+                    total = total + np.frombuffer(r["delta"], "<f2").reshape(-1, classes).astype(np.float64) * hits[:, None]
+                    n = n + hits
+                return as_table([(got["block"][0].as_py(), (total / np.maximum(n, 1)[:, None]).astype("<f4").tobytes())], {"block": pa.int64(), "delta": pa.binary()})
+
+            deltas = learned.select("words", "kinds", "tokens", "lens").mapInArrow(update, "block long, task long, delta binary, hits binary")
+            found = deltas.groupBy("block").applyInArrow(average, "block long, delta binary").collect()
+            weights = weights.copy()
+            for r in found:
+                delta = np.frombuffer(r["delta"], "<f4").reshape(-1, classes)
+                weights[r["block"] : r["block"] + len(delta)] += delta
             shared.unpersist()
+            del deltas, found
+            work.drop()
         work.drop(learned)
     model = spark.sparkContext.broadcast(weights)
 
@@ -203,7 +272,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
             within = np.zeros(len(t))
             known = count > 0
             within[known] = np.log10(count[known] / mass[kind[known]])
-            rows, chosen = features(t, at), np.empty(len(t))
+            rows, chosen = features(t, at, sizes), np.empty(len(t))
             for a in range(0, len(t), BATCH):
                 part = log_softmax(model.value, [r[a : a + BATCH] for r in rows])
                 chosen[a : a + BATCH] = part[np.arange(len(part)), kind[a : a + BATCH]]

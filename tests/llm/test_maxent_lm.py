@@ -47,3 +47,21 @@ def test_probabilities_sum_to_one():
 
 def test_empty(spark):
     assert maxent_lm.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_weights_learn_from_all_training_text(spark):
+    # a source that comes after 330 000 tokens of another one; in it, a word seen once follows each "z"
+    rng = random.Random(5)
+    first = [(d, "a b c " * 1000) for d in range(110)]
+    last = [(d, " ".join(f"z u{rng.randrange(10**9)}" for _ in range(40))) for d in range(1000, 1200)]
+    df = spark.createDataFrame(first + last, "doc_id long, text string").coalesce(1)
+    got = [r for r in maxent_lm.score(df).collect() if r.doc_id >= 1000 and r.held_out]
+    # weights of the first 300 000 tokens only give -2.1 digits a token, the base estimate -3.6
+    assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > -0.5
+
+
+def test_table_grows_with_distinct_features():
+    sizes = [maxent_lm.table_rows(n) for n in (0, 1, 10**6, 10**8, 10**10)]
+    assert sizes[0] == sizes[1] == maxent_lm.TABLE and sizes[2] < sizes[3] < sizes[4]
+    hashes = np.random.default_rng(1).integers(0, 1 << 64, 50_000, np.uint64)
+    assert abs(maxent_lm.distinct_of(maxent_lm.least(np.concatenate([hashes, hashes]))) / 50_000 - 1) < 0.25
