@@ -267,8 +267,10 @@ CELLS = "SELECT CAST(event_id % 500 + 1 AS INT) AS row, CAST(event_id // 500 % 4
 
 
 def event_cells(spark, d):
-    e = read(spark, d, "events").where("event_id < 20000")
-    return e.select((F.col("event_id") % 500 + 1).cast("int").alias("row"), (F.floor(F.col("event_id") / 500) % 40 + 1).cast("int").alias("col"))
+    """A cell for each event: blocks of 500 rows and 40 columns, one below the other. CELLS has the first block only, so the two agree up to 20 000 events."""
+    e = read(spark, d, "events")
+    row = F.col("event_id") % 500 + 1 + F.floor(F.col("event_id") / 20000) * 500
+    return e.select(row.cast("int").alias("row"), (F.floor(F.col("event_id") / 500) % 40 + 1).cast("int").alias("col"))
 
 
 def nation_boxes(spark, d, step: int):
@@ -294,7 +296,7 @@ def hyperlink_containment(spark, d):
 @query(f"WITH cells AS ({CELLS}) SELECT row, col, CAST(coalesce(CASE WHEN (row + col) % 4 = 0 THEN 100 + col END, CASE WHEN row % 7 = 0 THEN 200 + row END, CASE WHEN col BETWEEN 5 AND 9 THEN 302 WHEN col BETWEEN 1 AND 12 THEN 301 END, 0) AS INT) AS style FROM cells")
 def style_cascade(spark, d):
     cells = event_cells(spark, d).withColumn("style_index", F.when((F.col("row") + F.col("col")) % 4 == 0, 100 + F.col("col")))
-    rows = spark.range(1, 501).select(F.col("id").cast("int").alias("row"), (F.col("id") % 7 == 0).alias("custom_format"), (F.col("id") + 200).cast("int").alias("style_index"))
+    rows = cells.select("row").distinct().select("row", (F.col("row") % 7 == 0).alias("custom_format"), (F.col("row") + 200).alias("style_index"))
     spans = spark.createDataFrame([(1, 1, 12, 301), (2, 5, 9, 302), (3, 10, 20, None)], "ord int, min int, max int, style_index int")
     return lookups.style_cascade(cells, rows, spans).select("row", "col", "style")
 
