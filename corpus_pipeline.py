@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every row."""
-    return sharding.reshard(docs)
+    """Writes the new shards; the size, checksum, shard and slot of every row as the files have them."""
+    return sharding.reshard_files(docs)
 
 
 STAGES = [

@@ -4,7 +4,8 @@ Rows lie in old shards; the new shards must hold counts at most one apart (the l
 shard in one size class. In the flow network every block may stay in its shard at no cost, or leave it at its mean size a row; new shards take
 their even share, and as many as are left over take one row more. The cheapest flow tells how many rows of each block go, and how
 many each new shard takes in. The network has a node for a shard and an arc for a block (size classes times shards), so
-it is solved on the driver whatever the number of rows. Of a block that goes in part, its smallest rows go.
+it is solved on the driver whatever the number of rows. Of a block that goes in part, its smallest rows go. Then the shards that
+lose or take in rows are written with their texts; each row has a number of its own, so ids may be null or come again.
 
 Defined results: a null text has size 1 and the checksum of the empty text; rows with an equal id are rows of their own; a null id is hashed like any other;
 fewer rows than shards leave shards empty; an empty table gives an empty result; other columns are ignored.
@@ -97,8 +98,9 @@ def hashed_shard(doc_id: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("old")), F.lit(shards)).cast("int")
 
 
-def reshard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", old_shard: Column | None = None, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard and slot (0, 1, ... within the shard) of every row. old_shard is where rows lie now; without it, a hash over OLD_SHARDS."""
+def reshard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", old_shard: Column | None = None, shards: int = SHARDS, key: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, shard and slot (0, 1, ... within the shard) of every row. old_shard is where rows lie now; without it, a hash over OLD_SHARDS. A column key that tells rows apart is passed through."""
+    own = [key] if key else []
     work = store.Work(docs.sparkSession, "reshard")
     kind = F.floor(F.log2("size") * CLASSES_PER_OCTAVE).cast("int").alias("kind")
     rows = docs.select(
@@ -106,6 +108,7 @@ def reshard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", old_sha
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_crc32"),
         (hashed_shard(F.col(doc_id), OLD_SHARDS) if old_shard is None else old_shard).cast("int").alias("old_shard"),
+        *own,
     )
     rows = work.save(rows.withColumn("kind", kind).withColumn("order", F.xxhash64("doc_id", "text_crc32")))
     found = rows.groupBy("old_shard", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()
@@ -113,7 +116,7 @@ def reshard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", old_sha
     if leave:
         leaving = F.create_map(*[F.lit(x) for (old, k), n in leave.items() for x in (f"{old}/{k}", n)])[F.concat_ws("/", "old_shard", "kind")]
         some = rows.withColumn("leaving", F.coalesce(leaving, F.lit(0)))
-        part = ranked(some.where("leaving > 0"), ["old_shard", "kind"], ["size", "order", "doc_id"], "nth", work)
+        part = ranked(some.where("leaving > 0"), ["old_shard", "kind"], ["size", "order", "doc_id", *own], "nth", work)
         stay = some.where("leaving = 0").withColumn("nth", F.lit(0).cast("long"))
         # the rows that go are numbered block after block, and each new shard takes a run of these numbers
         first, at = {}, 0
@@ -129,14 +132,67 @@ def reshard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", old_sha
         rows = moved.union(stay.withColumn("shard", F.col("old_shard")).select(*moved.columns))
     else:
         rows = rows.withColumn("shard", F.col("old_shard"))
-    rows = rows.select("doc_id", "size", "text_crc32", "old_shard", F.col("shard").cast("int").alias("shard"), "order")
-    return ranked(rows, ["shard"], ["order", "doc_id", "size", "text_crc32"], "slot", work).drop("order")
+    rows = rows.select("doc_id", "size", "text_crc32", "old_shard", F.col("shard").cast("int").alias("shard"), "order", *own)
+    return ranked(rows, ["shard"], ["order", "doc_id", "size", "text_crc32", *own], "slot", work).drop("order")
 
 
-def rewrite(docs: DataFrame, assigned: DataFrame, path: str, doc_id: str = "doc_id") -> list[int]:
-    """Writes the shards that lose or take in rows, as folders shard=N under path; files of the others stay. doc_id must be unique. Gives the shards written."""
+def changed(assigned: DataFrame) -> list[int]:
     gone = assigned.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
-    shards = sorted(r["s"] for r in gone.collect())
-    rows = docs.join(assigned.where(F.col("shard").isin(shards)).select(F.col("doc_id").alias(doc_id), "shard", "slot"), doc_id)
-    rows.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    return sorted(r["s"] for r in gone.collect())
+
+
+def placed(docs: DataFrame, assigned: DataFrame, shards: list[int], key: str) -> DataFrame:
+    """Rows of docs that lie in these new shards, with their old_shard, shard and slot."""
+    into = assigned.where(F.col("shard").isin(shards)).select(F.col(key if key in assigned.columns else "doc_id").alias(key), "old_shard", "shard", "slot")
+    return docs.select(*[c for c in docs.columns if c not in ("old_shard", "shard", "slot")]).join(into, key)
+
+
+def write_shards(rows: DataFrame, shards: list[int], filled: set[int], path: str) -> None:
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    spark = rows.sparkSession
+    for s in set(shards) - filled:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={s}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def filled(assigned: DataFrame) -> set[int]:
+    return {r["shard"] for r in assigned.select("shard").distinct().collect()}
+
+
+def rewrite(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> list[int]:
+    """Writes the shards that lose or take in rows, as folders shard=N under path, rows by slot; files of the others stay, those of a shard left empty go. key must be unique and not null. Gives the shards changed."""
+    shards = changed(assigned)
+    if shards:
+        write_shards(placed(docs, assigned, shards, key), shards, filled(assigned), path)
     return shards
+
+
+def reshard_files(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", old_shard: Column | None = None, shards: int = SHARDS, path: str | None = None) -> DataFrame:
+    """Assigns rows as reshard does, writes the changed shards (under path, else in the shared folder) and gives the columns of reshard as the files have them; rows of unchanged shards stay as they are."""
+    spark = docs.sparkSession
+    work = store.Work(spark, "shards")
+    rows = docs if old_shard is None else docs.withColumn("__old", old_shard)
+    rows = work.save(rows.withColumn("__row", F.monotonically_increasing_id()))
+    assigned = work.save(reshard(rows, doc_id, text, None if old_shard is None else F.col("__old"), shards, "__row"))
+    work.drop()
+    columns = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot"]
+    shards_changed = changed(assigned)
+    if not shards_changed:
+        return assigned.select(*columns)
+    # saved between the two shuffles, so that the first one can be cleaned before the second
+    texts = work.save(placed(rows.drop("__old"), assigned, shards_changed, "__row"))
+    work.drop(rows)
+    path = path or f"{work.root}/files"
+    write_shards(texts, shards_changed, filled(assigned), path)
+    work.drop(texts)
+    stay = assigned.where(~F.col("shard").isin(shards_changed))
+    files = spark.read.parquet(path).where(F.col("shard").isin(shards_changed))
+    found = files.select(
+        F.col(doc_id).alias("doc_id"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_crc32"),
+        "old_shard",
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
+    )
+    return found.select(*columns).union(stay.select(*columns))

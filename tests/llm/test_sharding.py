@@ -66,3 +66,21 @@ def test_rewrite_touches_only_what_changes(spark, tmp_path):
     path = str(tmp_path / "shards")
     assert sharding.rewrite(df, plan, path) == [2, 3]
     assert spark.read.parquet(path).groupBy("shard").count().orderBy("shard").collect() == [(2, 10), (3, 10)]
+
+
+def test_files_hold_every_row_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    # repeated and null ids in shards that change; shard 0 stays, shard 4 is given up
+    rows = [(i % 3 if i % 2 else None, f"t{i}", 0 if i < 10 else 4 if i < 13 else 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lies int")
+    path = str(tmp_path / "shards")
+    df.withColumn("old_shard", F.col("lies")).withColumn("slot", F.lit(0).cast("long")).withColumnRenamed("lies", "shard").where("shard = 4").write.partitionBy("shard").parquet(path)
+    got = sharding.reshard_files(df, old_shard=F.col("lies"), shards=4, path=path).collect()
+    assert sorted((str(r.doc_id), r.text_crc32, r.old_shard) for r in got) == sorted((str(d), zlib.crc32(t.encode()), s) for d, t, s in rows)
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(4) for i in range(10)]
+    files = spark.read.parquet(path).collect()
+    assert {r.shard for r in files} == {1, 2, 3}
+    assert sorted(r.text for r in files) == sorted(t for _, t, _ in rows[10:])
+    where = {(r.shard, r.slot): r.text_crc32 for r in got}
+    assert all(where[r.shard, r.slot] == zlib.crc32(r.text.encode()) for r in files)
