@@ -6,6 +6,7 @@ import ctypes
 import gc
 import pickle
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -29,6 +30,8 @@ class Work:
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = f"file://{tempfile.mkdtemp(prefix='quillgrid-')}"
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root, self.n = spark, f"{base}/{name}-{uuid.uuid4().hex[:12]}", 0
@@ -44,13 +47,19 @@ class Work:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables of save() that no later step reads, and lets Spark clean finished shuffles."""
-        gc.collect()
+        """Deletes tables of save() that no later step reads."""
         jvm = self.spark._jvm
         for t in tables:
             p = jvm.org.apache.hadoop.fs.Path(t.saved_path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        jvm.System.gc()
+
+    def clean(self) -> None:
+        """Lets Spark delete the files of finished shuffles. It takes two rounds: the first one frees what Python holds of the plans, the second one the plans."""
+        for _ in range(2):
+            gc.collect()
+            time.sleep(0.05)
+            self.spark._jvm.System.gc()
+            time.sleep(0.05)
 
 
 def lean() -> None:
@@ -135,7 +144,7 @@ MESSAGE_ARROW = {"dst": pa.int64(), "src": pa.int64(), "data": pa.binary()}
 
 
 def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", target: int = CHUNK_BYTES) -> DataFrame:
-    """Documents packed into rows of about target bytes: one pass without a shuffle. Save the result before using it twice: a chunk's number tells its task."""
+    """Documents packed into rows of target bytes and as many more as the last document has: one pass without a shuffle. Save the result before using it twice: a chunk's number tells its task."""
 
     def run(batches):
         number = TaskContext.get().partitionId() << 24
@@ -155,10 +164,14 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", target:
         for batch in batches:
             ids = ids_of(batch.column(0))
             raw, offsets, null = texts_of(batch.column(1))
-            for a, b in slices(offsets, target):
+            a = 0
+            while a < len(ids):
+                # cut by bytes alone, wherever batches end
+                b = min(len(ids), int(np.searchsorted(offsets, offsets[a] + target - size, "left")))
                 held.append((ids[a:b], np.diff(offsets[a : b + 1]), null[a:b], raw[offsets[a] : offsets[b]].copy()))
                 size += offsets[b] - offsets[a]
-                if size >= target // 2:
+                a = b
+                if size >= target:
                     yield row()
         if held:
             yield row()
@@ -166,6 +179,14 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", target:
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, CHUNK)
 
 
+def dealt_by_content(docs: DataFrame, doc_id: str, text: str, part: int) -> DataFrame:
+    """doc_id and text dealt by a hash of both to as many partitions as hold about part bytes each, in the order of the hash: what lies where depends on the rows alone."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text")).repartition(max(1, -(-total // part)), "key")
+    return keyed.sortWithinPartitions("key", "doc_id").select("doc_id", "text")
+
+
 def n_buckets(spark: SparkSession, chunks: DataFrame, of: float = 2) -> int:
     """A power of two: buckets for what all chunks send, so that each gets what about that many chunks hold."""
     rows = chunks.select("chunk").count()

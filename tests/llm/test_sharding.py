@@ -19,12 +19,22 @@ def test_reshard(spark):
     assert sorted(slots) == list(range(16))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    sizes = [[r["size"] for r in got if r.old_shard == i] for i in range(sharding.OLD_SHARDS)]
+    assert sum(r["size"] for r in got if r.shard != r.old_shard) == cheapest(sizes, 16)
     # no old shard with room loses a row, and every row that moves is among the smallest of its shard's size class
     for r in got:
         if r.shard != r.old_shard:
             assert sum(x.old_shard == r.old_shard for x in got) > len(rows) // 16
 
 
+def cheapest(sizes, shards):
+    """Every shard keeps an even share, and the rows left over go to the shards whose next row is largest."""
+    n = sum(map(len, sizes))
+    moved = sum(sum(sorted(s)[: max(0, len(s) - n // shards)]) for s in sizes)
+    spared = sorted((sorted(s, reverse=True)[n // shards] for s in sizes if len(s) > n // shards), reverse=True)
+    return moved - sum(spared[: n % shards])
+
+
 def brute(sizes, shards):
     n = sum(map(len, sizes))
     best = None
@@ -42,14 +52,11 @@ def test_fewest_bytes():
     for _ in range(30):
         sizes = [[rng.randint(1, 9) for _ in range(rng.randint(0, 12))] for _ in range(rng.randint(1, 5))]
         shards = rng.randint(1, 5)
-        blocks = {}
-        for i, s in enumerate(sizes):
-            for x in s:
-                n, b = blocks.get((i, x), (0, 0))
-                blocks[i, x] = (n + 1, b + x)
-        leave, into = sharding.transfers(blocks, shards)
-        assert sum(leave.values()) == sum(into)
-        assert sum(k * n for (_, k), n in leave.items()) == brute(sizes, shards)
+        even = sum(map(len, sizes)) // shards
+        shares = {i: (len(s), sorted(s, reverse=True)[even] if len(s) > even else 0) for i, s in enumerate(sizes) if s}
+        keep, into = sharding.transfers(shares, shards)
+        assert sum(len(s) - keep.get(i, 0) for i, s in enumerate(sizes)) == sum(into)
+        assert sum(sum(sorted(s)[: len(s) - keep.get(i, 0)]) for i, s in enumerate(sizes)) == brute(sizes, shards)
 
 
 def test_empty_and_few(spark):
