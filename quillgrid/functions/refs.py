@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed values of the format.
 MAX_ROWS, MAX_COLUMNS = 1_048_576, 16_384
 CELL = re.compile(r"\$?([A-Za-z]{1,3})\$?([1-9][0-9]{0,6})\Z")
 
@@ -119,6 +120,19 @@ def a1_parse(ref: Column) -> Column:
     return F.when(ok & (row <= MAX_ROWS) & (col <= MAX_COLUMNS), F.struct(row.alias("row"), col.alias("col")))
 
 
+def a1_range(ref: Column) -> Column:
+    """Struct first, last (each row, col) and cells of a range or cell; null where it is none or its corners are reversed."""
+    first, last = a1_parse(F.substring_index(ref, ":", 1)), a1_parse(F.substring_index(ref, ":", -1))
+    box = F.struct(first.alias("first"), last.alias("last"))
+
+    def sized(b):
+        height, width = b["last"]["row"] - b["first"]["row"] + 1, b["last"]["col"] - b["first"]["col"] + 1
+        ok = (height > 0) & (width > 0)
+        return F.when(ok, F.struct(b["first"].alias("first"), b["last"].alias("last"), (height.cast("long") * width).alias("cells")))
+
+    return F.transform(F.array(box), sized)[0]
+
+
 def a1_letters(n: Column) -> Column:
     """Letters of a column's number, bijective in base 26."""
     digit = lambda x: F.chr(F.pmod(x - 1, F.lit(26)) + 65)

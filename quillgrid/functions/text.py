@@ -19,8 +19,9 @@ def base_letters(text: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Text whose order is that of the text without case and accents, numbers by value (up to 20 digits)."""
-    pad = lambda x: F.when(x.rlike("^[0-9]"), F.lpad(F.regexp_replace(x, "^0+(?=[0-9])", ""), 20, "0")).otherwise(x)
+    """Text whose order is that of the text without case and accents, numbers by value: each has its number of digits in front."""
+    count = lambda digits: F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+    pad = lambda x: F.when(x.rlike("^[0-9]"), count(F.regexp_replace(x, "^0+(?=[0-9])", ""))).otherwise(x)
     return F.array_join(F.transform(F.regexp_extract_all(base_letters(text), F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), pad), "")
 
 
@@ -39,11 +40,11 @@ def once(value: Column, f) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """The shortest text that reads back as the same number; exponents from 1e21 and below 1e-6."""
+    """The shortest text that reads back as the same number, null for null; exponents from 1e21 and below 1e-6."""
     a = F.abs(x)
     whole = (a < 1e15) & (x == F.floor(x))
     plain = F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return F.when(whole, x.cast("bigint").cast("string")).when((a >= 1e-3) & (a < 1e7), plain).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), once(_shortest(a), _exponent_text)))
+    return F.when(x.isNull(), None).when(whole, x.cast("bigint").cast("string")).when((a >= 1e-3) & (a < 1e7), plain).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), once(_shortest(a), _exponent_text)))
 
 
 def _shortest(a: Column) -> Column:

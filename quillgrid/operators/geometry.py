@@ -9,6 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid.functions.refs import MAX_ROWS
+from quillgrid.functions.text import text_number as text_number_column
+
 EMU_PER_PIXEL = 9525
 
 
@@ -49,25 +52,54 @@ class SparseAxis:
         return lo
 
 
-def axis_starts(items: DataFrame, index: str, size: str, default: float) -> DataFrame:
-    """start of every item: default sizes, plus what the overrides before it add. size is null where there is no override.
+#: Items of an axis whose sizes are summed up together.
+AXIS_BLOCK = 4096
+#: Blocks that the rows of a sheet make.
+MOST_BLOCKS = -(-MAX_ROWS // AXIS_BLOCK)
+
 
-    Only overrides are summed in order (a sheet has few); the items themselves are joined by range of overrides."""
-    extra = items.where(F.col(size).isNotNull()).select(F.col(index).alias("__i"), (F.col(size) - default).alias("__delta"))
-    run = extra.select("__i", F.sum("__delta").over(Window.orderBy("__i")).alias("__sum"), F.lead("__i", 1, 1 << 40).over(Window.orderBy("__i")).alias("__next"))
-    hit = (F.col(index) > F.col("__i")) & (F.col(index) <= F.col("__next"))
-    out = items.join(F.broadcast(run.hint("broadcast")), hit, "left")
-    return out.withColumn("start", (F.col(index) - 1) * F.lit(float(default)) + F.coalesce("__sum", F.lit(0.0))).drop("__i", "__sum", "__next")
+def axis_starts(items: DataFrame, index: str, size: str, default: float) -> DataFrame:
+    """start of every item (1, 2, ...): default sizes, plus what the overrides before it add. size is null where there is no override.
+
+    Items are summed in order within blocks; only a row for each block is summed in one place."""
+    block = F.floor((F.col(index) - 1) / AXIS_BLOCK)
+    delta = F.coalesce(F.col(size) - default, F.lit(0.0))
+    sums = items.where(F.col(size).isNotNull()).groupBy(block.alias("__block")).agg(F.sum(delta).alias("__sum"))
+    upto = F.sum("__sum").over(Window.orderBy("__block"))
+    after = F.lead("__block", 1, 1 << 40).over(Window.orderBy("__block"))
+    # blocks without overrides have what the last one before them has
+    sums = sums.select("__block", upto.alias("__upto"), after.alias("__next"))
+    sums = sums.select("__upto", F.explode(F.sequence(F.col("__block") + 1, F.least("__next", F.lit(MOST_BLOCKS)))).alias("__block"))
+    within = F.sum(delta).over(Window.partitionBy("__block").orderBy(index).rowsBetween(Window.unboundedPreceding, -1))
+    out = items.withColumn("__block", block).withColumn("__within", F.coalesce(within, F.lit(0.0))).join(sums, "__block", "left")
+    return out.withColumn("start", (F.col(index) - 1) * F.lit(float(default)) + F.coalesce("__upto", F.lit(0.0)) + F.col("__within")).drop("__block", "__within", "__upto")
 
 
 def axis_total(items: DataFrame, size: str, default: float) -> DataFrame:
     return items.agg((F.count("*") * F.lit(float(default)) + F.coalesce(F.sum(F.col(size) - default), F.lit(0.0))).alias("total"))
 
 
-def axis_index_at(offsets: DataFrame, starts: DataFrame, offset: str, index: str, size: Column) -> DataFrame:
-    """The last item with a size whose start is at most the offset. starts: the items of an axis, fewer than the grid's limit, so they are broadcast."""
-    some = starts.where(size > 0).select(F.col(index).alias("__i"), F.col("start").alias("__s"), (F.col("start") + size).alias("__e"))
-    return offsets.join(F.broadcast(some), (F.col(offset) >= F.col("__s")) & (F.col(offset) < F.col("__e")), "left").withColumnRenamed("__i", "index").drop("__s", "__e")
+def axis_index_at(offsets: DataFrame, starts: DataFrame, offset: str, index: str, size: Column, step: float = 1280.0) -> DataFrame:
+    """index: the item that covers the offset; items without size are never hit; past the end, the last item. starts: the items of an axis with start.
+
+    Items and offsets meet in stretches of step pixels, so that the join has an equality and an offset meets only the items of its own stretch."""
+    some = starts.where(size > 0).select(F.col(index).alias("index"), F.col("start").alias("__s"), (F.col("start") + size).alias("__e"))
+    some = some.withColumn("__at", F.explode(F.sequence(F.floor(F.col("__s") / step), F.ceil(F.col("__e") / step) - 1)))
+    hit = (F.col("__at") == F.floor(F.col(offset) / step)) & (F.col(offset) >= F.col("__s")) & (F.col(offset) < F.col("__e"))
+    end = starts.agg(F.struct(F.max(F.col("start") + size).alias("total"), F.max(index).alias("last")).alias("v")).scalar()
+    found = offsets.join(some, hit, "left").drop("__s", "__e", "__at")
+    return found.withColumn("index", F.when(F.col(offset) >= end["total"], end["last"]).otherwise(F.col("index")))
+
+
+#: Starts up to this many are broadcast to anchors (two numbers each).
+BROADCAST_STARTS = 200_000
+
+
+def anchor_bounds(anchors: DataFrame, starts: DataFrame, item: str, emu: str, index: str = "i") -> DataFrame:
+    """anchors with x, in pixels: the start of the item that holds the anchor, and its offset (in EMU) into it."""
+    known = starts.select(F.col(index).alias(item), F.col("start").alias("__start"))
+    few = known.limit(BROADCAST_STARTS + 1).count() <= BROADCAST_STARTS
+    return anchors.join(F.broadcast(known) if few else known, item).withColumn("x", F.col("__start") + emu_px(F.col(emu))).drop("__start")
 
 
 def column_width_px(width: Column, digit: int = 7) -> Column:
@@ -171,3 +203,9 @@ def edit_coercion(draft: str, tag: str) -> object:
         return draft
     x = text_number(draft)
     return draft if x is None else x
+
+
+def edit_tag(draft: Column, tag: Column) -> Column:
+    """The type of the value that a typed text stands for, given the type of what the cell holds; null clears the cell. As edit_coercion, on columns."""
+    boolean = (tag == "boolean") & F.upper(F.btrim(draft)).isin("TRUE", "FALSE")
+    return F.when(draft == "", None).when(boolean, "boolean").when(tag == "string", "string").when(text_number_column(draft).isNotNull(), "number").otherwise("string")

@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.functions.refs import Box
+from quillgrid.functions.refs import Address, Box
+
+
+def cell(df: DataFrame, key: str, first_row: int, at: Address) -> DataFrame:
+    """The row of df that the address lies in, where key numbers the rows and key 0 lies in first_row; a filter on key that scans can push down."""
+    return df.where(F.col(key) == at.row - first_row)
+
+
+def cross_sheet(cells: DataFrame, sheets: dict[str, DataFrame], sheet: str, key: str, target_key: str, value: str, default: Column) -> DataFrame:
+    """value of the row with an equal key in the sheet that each cell names; a missing cell gives default, a sheet that isn't there #REF!."""
+    targets = [df.select(F.lit(name).alias("__sheet"), F.col(target_key).alias("__key"), F.col(value).cast("string").alias("__value")) for name, df in sheets.items()]
+    found = reduce(DataFrame.union, targets)
+    name = F.lower(F.col(sheet))
+    met = cells.join(found, (name == F.lower(F.col("__sheet"))) & (F.col(key) == F.col("__key")), "left")
+    known = name.isin(*[n.lower() for n in sheets])
+    return met.withColumn("value", F.when(known, F.coalesce("__value", default)).otherwise("#REF!")).drop("__sheet", "__key", "__value")
 
 
-def cross_sheet(cells: DataFrame, target: DataFrame, key: str, target_key: str, value: str, default: Column) -> DataFrame:
-    """Left equi-join to another sheet; a missing cell gives default."""
-    found = target.select(F.col(target_key).alias(key), F.col(value).alias("__value"))
-    return cells.join(found, key, "left").withColumn("value", F.coalesce("__value", default)).drop("__value")
+def used_range(cells: DataFrame) -> DataFrame:
+    """One row: the smallest box (row1, col1, row2, col2) that holds all cells (row, col); nulls without cells."""
+    return cells.agg(F.min("row").alias("row1"), F.min("col").alias("col1"), F.max("row").alias("row2"), F.max("col").alias("col2"))
 
 
 def shared_strings(cells: DataFrame, strings: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import numfmt
+from quillgrid.functions.refs import Box
 from quillgrid.functions.scalars import text_number
 from quillgrid.functions.text import matches_wildcard, natural_key
 from quillgrid.functions.text import text_number as text_number_column
@@ -170,18 +171,24 @@ class TableView:
         """Row numbers that the filters hide, in source order."""
         return self.df.where(~self.predicate(state)).select(self.row).orderBy(self.row)
 
-    def visual(self, state: ViewState, spread: bool = False) -> DataFrame:
+    def visual(self, state: ViewState, spread: bool = True) -> DataFrame:
         """row and slot: the k-th body slot shows the k-th projected row.
 
-        A sheet has at most 1 048 576 rows, which one window numbers; spread numbers any number of rows, each task its own range of the order."""
+        Each task numbers its own range of the order, so tables have no limit; without spread one window numbers them all, which suits a few rows."""
         kept = self.df.where(self.predicate(state))
-        if spread:
-            return numbered(kept, self.order(state), "slot").select(self.row, "slot")
-        return kept.select(self.row, F.row_number().over(Window.orderBy(*self.order(state))).alias("slot"))
+        if not spread:
+            return kept.select(self.row, F.row_number().over(Window.orderBy(*self.order(state))).alias("slot"))
+        return numbered(kept, self.order(state), "slot").select(self.row, F.col("slot").cast("int").alias("slot"))
 
     def distinct(self, i: int) -> DataFrame:
-        """Distinct display texts, exact, with a key in whose order they are listed."""
-        return self.df.select(self.text(i).alias("text")).distinct().withColumn("key", natural_key(F.col("text")))
+        """Distinct display texts, exact, with a key in whose order they are listed, and pos, their place (1, 2, ...) in it."""
+        found = self.df.select(self.text(i).alias("text")).distinct().withColumn("key", natural_key(F.col("text")))
+        return numbered(found, [F.col("key"), F.col("text")], "pos").select("text", "key", F.col("pos").cast("int").alias("pos"))
+
+
+def body(df: DataFrame, row: str, box: Box, header_rows: int = 1, totals_rows: int = 0) -> DataFrame:
+    """The rows of a table's body: those of its box but for header and totals rows. row is the column with each row's number in the sheet."""
+    return df.where(F.col(row).between(box.first.row + header_rows, box.last.row - totals_rows))
 
 
 def _swapped(text: Column) -> Column:
@@ -191,13 +198,21 @@ def _swapped(text: Column) -> Column:
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with 1, 2, ... in the given order. The sorted ranges are checkpointed in spark.checkpoint.dir; only a row for each task is summed up in one place."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillgrid-')}")
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark))
     ranges = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
     task = F.shiftright("__at", 33)
     counts = ranges.groupBy(task.alias("__task")).agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("__task", before.alias("__before"))
     within = F.col("__at") - F.shiftleft(F.col("__task"), 33)
+    # a row for each task that sorted a range
     return ranges.withColumn("__task", task).join(F.broadcast(starts), "__task").withColumn(name, within + F.col("__before") + 1).drop("__at", "__task", "__before")
+
+
+def own_folder(spark) -> str:
+    """A folder for checkpoints where the session names none: on one machine only."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='quillgrid-')}"

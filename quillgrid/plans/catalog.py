@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.functions import numfmt, refs
-from quillgrid.functions.text import natural_key, number_text
+from quillgrid.functions.text import number_text
 from quillgrid.operators import charts, geometry, lookups
-from quillgrid.operators.tableview import Condition, CustomFilter, Sort, TableView, ValueFilter, ViewState
-from quillgrid.plans.compile import Col, column, fill_down, summarise, to_logical, to_number
+from quillgrid.operators.tableview import Condition, CustomFilter, Sort, TableView, ValueFilter, ViewState, body
+from quillgrid.plans.compile import Col, Sheet, column, fill_down, summarise, to_logical, to_number, with_formula
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -17,7 +17,7 @@ ORACLES: dict = {}
 ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 PARTS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 #: The natural key of a text column in DuckDB.
-NATURAL = "list_aggregate(list_transform(regexp_extract_all(lower({0}), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(ltrim(x, '0'), 20, '0') ELSE x END), 'string_agg', '')"
+NATURAL = "list_aggregate(list_transform(regexp_extract_all(lower({0}), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 10, '0') || ltrim(x, '0') ELSE x END), 'string_agg', '')"
 
 
 def query(sql: str | None = None):
@@ -79,9 +79,12 @@ def shared_string_lookup(spark, d):
 
 # filters and views
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 2 AND 900")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > (SELECT min(o_orderkey) FROM orders) AND o_orderkey < (SELECT max(o_orderkey) FROM orders)")
 def table_body_scan(spark, d):
-    return read(spark, d, "orders").where(F.col("o_orderkey").between(2, 900)).select("o_orderkey", "o_totalprice")
+    """The table lies in the rows of all orders; the first one is its header, the last one its totals."""
+    o = read(spark, d, "orders")
+    first, last = o.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    return body(o, "o_orderkey", refs.Box(refs.Address(first, 1), refs.Address(last, 5)), 1, 1).select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT o_orderkey FROM orders WHERE lower(o_orderpriority) IN ('1-urgent', '5-low')")
@@ -129,9 +132,9 @@ def filter_range_blank(spark, d):
     return v.df.where(v.predicate(ViewState((CustomFilter(4, (Condition("lessThan", "3"),)),)))).select("p_partkey")
 
 
-@query("SELECT p_partkey FROM part WHERE p_retailprice > 1000 AND p_retailprice <= 1200")
+@query("SELECT p_partkey FROM part WHERE p_retailprice > 905 AND p_retailprice <= 912.5")
 def filter_custom_and(spark, d):
-    return custom(spark, d, 5, ("greaterThan", "1000"), ("lessThanOrEqual", "1200"), every=True)
+    return custom(spark, d, 5, ("greaterThan", "905"), ("lessThanOrEqual", "912.5"), every=True)
 
 
 @query("SELECT p_partkey FROM part WHERE p_size = 1 OR p_size > 45")
@@ -168,8 +171,7 @@ def filter_display_text(spark, d):
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7")
 def cell_lookup(spark, d):
-    at = refs.parse_cell("$B$9")
-    return read(spark, d, "nation").where(F.col("n_nationkey") + 2 == at.row).select("n_nationkey", "n_name")
+    return lookups.cell(read(spark, d, "nation"), "n_nationkey", 2, refs.parse_cell("$B$9")).select("n_nationkey", "n_name")
 
 
 @query("SELECT CAST(r.r AS INT) AS row, CAST(c.c AS INT) AS col, CAST((r.r - 2) * 3 + c.c - 1 AS BIGINT) AS index, CASE WHEN c.c = 1 THEN CAST(n.n_nationkey AS VARCHAR) WHEN c.c = 2 THEN n.n_name END AS value FROM range(2, 41) r(r) CROSS JOIN range(1, 4) c(c) LEFT JOIN nation n ON n.n_nationkey + 2 = r.r")
@@ -221,53 +223,52 @@ def sorted_parts(spark, d, df, columns, state):
     return TableView(df, "p_partkey", columns).visual(state).withColumnRenamed("slot", "pos")
 
 
-@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_type, p_size DESC, p_partkey) AS INT) AS pos FROM part WHERE p_size < 10")
+@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_type, p_size DESC, p_partkey) AS INT) AS pos FROM part")
 def sort_multi_key(spark, d):
-    df = read(spark, d, "part").where("p_size < 10").select(*PARTS)
+    df = read(spark, d, "part").select(*PARTS)
     return sorted_parts(spark, d, df, tuple(PARTS), ViewState(sorts=(Sort(3), Sort(4, True))))
 
 
-@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY v DESC NULLS FIRST, p_partkey) AS INT) AS pos FROM (SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN p_retailprice END AS v FROM part WHERE p_size < 5)")
+@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY v DESC NULLS FIRST, p_partkey) AS INT) AS pos FROM (SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN p_retailprice END AS v FROM part)")
 def sort_desc_blanks_first(spark, d):
-    df = read(spark, d, "part").where("p_size < 5").select("p_partkey", F.when(F.col("p_partkey") % 10 != 0, F.col("p_retailprice")).alias("v"))
+    df = read(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 != 0, F.col("p_retailprice")).alias("v"))
     return sorted_parts(spark, d, df, ("p_partkey", "v"), ViewState(sorts=(Sort(1, True),)))
 
 
-@query(f"SELECT p_partkey, CAST(row_number() OVER (ORDER BY {NATURAL.format('p_brand')}, p_partkey) AS INT) AS pos FROM part WHERE p_size < 8")
+@query(f"SELECT p_partkey, CAST(row_number() OVER (ORDER BY {NATURAL.format('p_brand')}, p_partkey) AS INT) AS pos FROM part")
 def sort_natural(spark, d):
-    df = read(spark, d, "part").where("p_size < 8").select(*PARTS)
+    df = read(spark, d, "part").select(*PARTS)
     return sorted_parts(spark, d, df, tuple(PARTS), ViewState(sorts=(Sort(2),)))
 
 
-@query(f"SELECT p_partkey, CAST(row_number() OVER (ORDER BY b, {NATURAL.format('t')}, n, p_partkey) AS INT) AS pos FROM (SELECT p_partkey, p_partkey % 5 = 4 AS b, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_brand WHEN 2 THEN CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END WHEN 3 THEN p_name ELSE '' END AS t, CASE WHEN p_partkey % 5 = 0 THEN p_size END AS n FROM part WHERE p_size < 8)")
+@query(f"SELECT p_partkey, CAST(row_number() OVER (ORDER BY b, {NATURAL.format('t')}, n, p_partkey) AS INT) AS pos FROM (SELECT p_partkey, p_partkey % 5 = 4 AS b, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_brand WHEN 2 THEN CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END WHEN 3 THEN p_name ELSE '' END AS t, CASE WHEN p_partkey % 5 = 0 THEN p_size END AS n FROM part)")
 def sort_mixed_types(spark, d):
     k = F.col("p_partkey") % 5
     mixed = Col(num=F.when(k == 0, F.col("p_size").cast("double")), str=F.when(k == 1, F.col("p_brand")).when(k == 3, F.col("p_name")), bool=F.when(k == 2, F.col("p_size") % 2 == 0))
-    df = read(spark, d, "part").where("p_size < 8").withColumn("v", mixed.struct()).select("p_partkey", "v")
+    df = read(spark, d, "part").withColumn("v", mixed.struct()).select("p_partkey", "v")
     return sorted_parts(spark, d, df, ("p_partkey", "v"), ViewState(sorts=(Sort(1),)))
 
 
 @query(f"SELECT text, CAST(row_number() OVER (ORDER BY {NATURAL.format('text')}, text) AS INT) AS pos FROM (SELECT DISTINCT p_brand AS text FROM part)")
 def distinct_values(spark, d):
-    found = parts_view(spark, d).distinct(2)
-    return found.select("text", F.row_number().over(Window.orderBy("key", "text")).alias("pos"))
+    return parts_view(spark, d).distinct(2).select("text", "pos")
 
 
 # lookups
 
 @query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 6 = 5 THEN '#REF!' ELSE coalesce(r_name, '') END AS value FROM nation LEFT JOIN region ON r_regionkey = n_regionkey")
 def cross_sheet_lookup(spark, d):
-    n, r = read(spark, d, "nation"), read(spark, d, "region")
-    found = lookups.cross_sheet(n, r, "n_regionkey", "r_regionkey", "r_name", F.lit(""))
     # every sixth formula names a sheet that isn't there
-    return found.select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 6 == 5, "#REF!").otherwise(F.col("value")).alias("value"))
+    n = read(spark, d, "nation").withColumn("sheet", F.when(F.col("n_nationkey") % 6 == 5, "Gone").otherwise("Region"))
+    found = lookups.cross_sheet(n, {"region": read(spark, d, "region")}, "sheet", "n_regionkey", "r_regionkey", "r_name", F.lit(""))
+    return found.select("n_nationkey", "n_name", "value")
 
 
-CELLS = "SELECT CAST(event_id % 500 + 1 AS INT) AS row, CAST(event_id // 500 % 40 + 1 AS INT) AS col FROM events WHERE event_id < 20000"
+CELLS = "SELECT CAST(event_id % 500 + 1 + event_id // 20000 * 500 AS INT) AS row, CAST(event_id // 500 % 40 + 1 AS INT) AS col FROM events"
 
 
 def event_cells(spark, d):
-    """A cell for each event: blocks of 500 rows and 40 columns, one below the other. CELLS has the first block only, so the two agree up to 20 000 events."""
+    """A cell for each event: blocks of 500 rows and 40 columns, one below the other."""
     e = read(spark, d, "events")
     row = F.col("event_id") % 500 + 1 + F.floor(F.col("event_id") / 20000) * 500
     return e.select(row.cast("int").alias("row"), (F.floor(F.col("event_id") / 500) % 40 + 1).cast("int").alias("col"))
@@ -309,16 +310,16 @@ def dependency_edges(spark, d):
     return lookups.dependency_edges(n, box(1, 5, 2, 4).union(box(3, 8, 4, 5)))
 
 
-@query("WITH e AS (SELECT o_custkey AS row, max_by(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END, o_orderkey) AS v, TRUE AS hit FROM (SELECT * FROM orders) GROUP BY o_custkey), e2 AS (SELECT o_custkey AS row, arg_max_null(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END, o_orderkey) AS v FROM orders GROUP BY o_custkey) SELECT coalesce(c.c_custkey, e2.row) AS row, 1 AS col, CASE WHEN e2.row IS NULL THEN c.c_acctbal ELSE e2.v END AS value FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN e2 ON e2.row = c.c_custkey WHERE c.c_custkey IS NOT NULL OR e2.v IS NOT NULL")
+@query("WITH e AS (SELECT o_custkey AS row, max_by(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END, o_orderkey) AS v, TRUE AS hit FROM (SELECT * FROM orders) GROUP BY o_custkey), e2 AS (SELECT o_custkey AS row, arg_max_null(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END, o_orderkey) AS v FROM orders GROUP BY o_custkey) SELECT coalesce(c.c_custkey + 3, e2.row) AS row, 1 AS col, CASE WHEN e2.row IS NULL THEN c.c_acctbal ELSE e2.v END AS value FROM (SELECT * FROM customer) c FULL JOIN e2 ON e2.row = c.c_custkey + 3 WHERE c.c_custkey IS NOT NULL OR e2.v IS NOT NULL")
 def edit_overlay(spark, d):
-    cells = read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("row"), F.lit(1).alias("col"), F.col("c_acctbal").alias("value"))
+    cells = read(spark, d, "customer").select((F.col("c_custkey") + 3).alias("row"), F.lit(1).alias("col"), F.col("c_acctbal").alias("value"))
     edits = read(spark, d, "orders").select(F.col("o_custkey").alias("row"), F.lit(1).alias("col"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("value"), F.col("o_orderkey").alias("seq"))
     return lookups.overlay(cells, edits)
 
 
 @query(f"WITH cells AS ({CELLS}) SELECT min(row) AS row1, min(col) AS col1, max(row) AS row2, max(col) AS col2 FROM cells")
 def used_range(spark, d):
-    return event_cells(spark, d).agg(F.min("row").alias("row1"), F.min("col").alias("col1"), F.max("row").alias("row2"), F.max("col").alias("col2"))
+    return lookups.used_range(event_cells(spark, d))
 
 
 # aggregates
@@ -484,6 +485,63 @@ def not_function(spark, d):
     return formula(spark, d, "NOT(AND(E2,E2>10))", table="part", columns=PARTS, key="p_partkey")
 
 
+def referring(spark, d, text: str, sheets=None, places: int = 4):
+    """The formula, written for row 2, in a table whose rows 2, 3, ... are the orders."""
+    df = read(spark, d, "orders").select(*ORDERS).withColumn("row", F.col("o_orderkey") + (2 - FIRST_ORDER))
+    out = with_formula(df, "v", text, ORDERS, "row", sheets=sheets)
+    return out.select("o_orderkey", F.round("v.num", places).alias("num"), F.col("v.err").alias("err"))
+
+
+#: The key of the first order.
+FIRST_ORDER = 0
+
+
+@query("SELECT o.o_orderkey, round(o.o_totalprice * 2 + coalesce(c.c_acctbal, 0), 4) AS num, CAST(NULL AS VARCHAR) AS err FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_orderkey + 2")
+def ref_other_sheet(spark, d):
+    c = read(spark, d, "customer").select("c_custkey", "c_acctbal", (F.col("c_custkey") + 1).alias("row"))
+    return referring(spark, d, "D2*2+Customers!B3", {"Customers": Sheet(c, ("c_custkey", "c_acctbal"), "row")})
+
+
+@query("SELECT o_orderkey, CAST(NULL AS DOUBLE) AS num, '#REF!' AS err FROM orders")
+def ref_missing_sheet(spark, d):
+    return referring(spark, d, "Nope!B2+D2").withColumn("num", F.col("num").cast("double"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice - (SELECT o_totalprice FROM orders WHERE o_orderkey = 3), 4) AS num, CAST(NULL AS VARCHAR) AS err FROM orders")
+def ref_fixed_row(spark, d):
+    return referring(spark, d, "D2-$D$5")
+
+
+@query("SELECT o.o_orderkey, round(o.o_totalprice - coalesce(p.o_totalprice, 0), 4) AS num, CAST(NULL AS VARCHAR) AS err FROM orders o LEFT JOIN orders p ON p.o_orderkey = o.o_orderkey - 1")
+def ref_row_before(spark, d):
+    return referring(spark, d, "D2-D1")
+
+
+@query("SELECT o_orderkey, round(sum(o_totalprice) OVER w + max(o_custkey) OVER w + count(*) OVER w, 2) AS num, CAST(NULL AS VARCHAR) AS err FROM orders WINDOW w AS (ORDER BY o_orderkey RANGE BETWEEN 2 PRECEDING AND 3 FOLLOWING)")
+def range_rows(spark, d):
+    shifted = read(spark, d, "orders").select(*ORDERS).withColumn("row", F.col("o_orderkey") + (2 - FIRST_ORDER))
+    # written for row 4, so that the range begins two rows above it
+    out = with_formula(shifted, "v", "SUM(D2:D7)+MAX(B2:B7)+COUNT(D2:D7)", ORDERS, "row", 4)
+    return out.select("o_orderkey", F.round("v.num", 2).alias("num"), F.col("v.err").alias("err"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice / (SELECT max(o_totalprice) FROM orders) + (SELECT sum(o_custkey) FROM orders WHERE o_orderkey BETWEEN 0 AND 7), 6) AS num, CAST(NULL AS VARCHAR) AS err FROM orders")
+def range_fixed(spark, d):
+    return referring(spark, d, "D2/MAX(D$2:D$1048576)+SUM($B$2:$B$9)", places=6)
+
+
+@query("SELECT round(sum(l_quantity) + 5, 2) AS total, CAST(count(l_quantity) + 2 AS DOUBLE) AS n, greatest(max(l_discount), 7.5) AS most FROM lineitem")
+def agg_mixed(spark, d):
+    q = whole("B")
+    out = summarise(read(spark, d, "lineitem"), {"s": f'SUM({q},5,"x")', "c": f'COUNT({q},TRUE,"3",{whole("E")})', "m": f"MAX({whole('D')},7.5)"}, LINES, ["l_orderkey"])
+    return out.select(F.round("s.num", 2).alias("total"), F.col("c.num").alias("n"), F.col("m.num").alias("most"))
+
+
+@query("SELECT 0.0::DOUBLE AS n FROM (SELECT count(*) FROM lineitem)")
+def agg_count_text(spark, d):
+    return summarise(read(spark, d, "lineitem"), {"c": f"COUNT({whole('E')})"}, LINES, ["l_orderkey"]).select(F.col("c.num").alias("n"))
+
+
 TEXTS = "CASE p_partkey % 8 WHEN 0 THEN ' 12 ' WHEN 1 THEN '1e3' WHEN 2 THEN '0x10' WHEN 3 THEN '5d' WHEN 4 THEN '' WHEN 5 THEN 'Infinity' WHEN 6 THEN 'true' ELSE NULL END"
 
 
@@ -612,13 +670,11 @@ def a1_parse(spark, d):
     return text.withColumn("at", refs.a1_parse(F.col("ref"))).select("event_id", "at.row", "at.col")
 
 
-@query(f"SELECT event_id, {LETTERS} || CAST(r AS VARCHAR) || ':' || {LETTERS.replace('c ', '(c + 2) ')} || CAST(r + 9 AS VARCHAR) AS ref, 30::BIGINT AS cells FROM ({A1}) WHERE c < 16000 AND r < 1000000")
+@query(f"SELECT event_id, {LETTERS} || CAST(r AS VARCHAR) || ':' || {LETTERS.replace('c ', 'least(c + 2, 16384) ')} || CAST(least(r + 9, 1048576) AS VARCHAR) AS ref, (least(r + 9, 1048576) - r + 1)::BIGINT * (least(c + 2, 16384) - c + 1) AS cells FROM ({A1})")
 def a1_range(spark, d):
-    a = addresses(spark, d).where("col < 16000 AND row < 1000000")
-    ref = F.concat_ws(":", refs.a1_format(F.col("row"), F.col("col")), refs.a1_format(F.col("row") + 9, F.col("col") + 2))
-    first, last = refs.a1_parse(F.substring_index("ref", ":", 1)), refs.a1_parse(F.substring_index("ref", ":", -1))
-    cells = ((last["row"] - first["row"] + 1) * (last["col"] - first["col"] + 1)).cast("bigint")
-    return a.select("event_id", ref.alias("ref")).select("event_id", "ref", cells.alias("cells"))
+    last = refs.a1_format(F.least(F.col("row") + 9, F.lit(refs.MAX_ROWS)), F.least(F.col("col") + 2, F.lit(refs.MAX_COLUMNS)))
+    a = addresses(spark, d).select("event_id", F.concat_ws(":", refs.a1_format(F.col("row"), F.col("col")), last).alias("ref"))
+    return a.select("event_id", "ref", refs.a1_range(F.col("ref"))["cells"].alias("cells"))
 
 
 @query("SELECT p_partkey, CAST(floor((256 * (p_retailprice / 100) + floor(128 / 7.0)) / 256 * 7) AS BIGINT) AS px FROM part")
@@ -631,11 +687,11 @@ def row_height_px(spark, d):
     return read(spark, d, "part").select("p_partkey", geometry.row_height_px(F.col("p_size")).alias("px"))
 
 
-@query(AXIS + "SELECT p_partkey, s.start + round(p_retailprice * 1000 / 9525, 4) AS x FROM part JOIN starts s ON s.i = p_partkey % 900 + 1")
+@query(AXIS + "SELECT p_partkey, round(s.start + p_retailprice * 1000 / 9525, 4) AS x FROM part JOIN starts s ON s.i = p_partkey % 900 + 1")
 def anchor_bounds(spark, d):
     starts = geometry.axis_starts(axis_items(spark), "i", "size", 20).select("i", "start")
-    p = read(spark, d, "part").select("p_partkey", "p_retailprice", (F.col("p_partkey") % 900 + 1).alias("i"))
-    return p.join(F.broadcast(starts), "i").select("p_partkey", (F.col("start") + F.round(geometry.emu_px(F.col("p_retailprice") * 1000), 4)).alias("x"))
+    p = read(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 1000).alias("emu"), (F.col("p_partkey") % 900 + 1).alias("at"))
+    return geometry.anchor_bounds(p, starts, "at", "emu").select("p_partkey", F.round("x", 4).alias("x"))
 
 
 @query("SELECT p_size, CAST(max((10 + p_partkey % 5 + 2) * (CASE WHEN p_partkey % 2 = 0 THEN 1 + p_partkey % 3 ELSE 1 END)) AS DOUBLE) AS height FROM part GROUP BY p_size")
@@ -666,15 +722,12 @@ def color_tint(spark, d):
     return p.select("p_partkey", geometry.tint_column(F.col("r"), F.col("g"), F.col("b"), F.col("amount")).alias("rgb"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL WHEN p_partkey % 4 = 2 THEN 'boolean' WHEN p_partkey % 4 = 1 THEN 'number' ELSE 'string' END AS tag FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 3 THEN NULL WHEN p_partkey % 5 = 2 THEN 'boolean' WHEN p_partkey % 5 = 1 THEN 'number' ELSE 'string' END AS tag FROM part")
 def edit_coercion(spark, d):
-    from quillgrid.functions.text import text_number
-
-    k = F.col("p_partkey") % 4
-    draft = F.when(k == 0, F.col("p_name")).when(k == 1, F.col("p_size").cast("string")).when(k == 2, "true").otherwise("")
-    boolean = F.upper(F.btrim("draft")).isin("TRUE", "FALSE") & (F.col("k") == 2)
-    tag = F.when(F.col("draft") == "", None).when(boolean, "boolean").when(text_number(F.col("draft")).isNotNull(), "number").otherwise("string")
-    return read(spark, d, "part").select("p_partkey", k.alias("k"), draft.alias("draft")).select("p_partkey", tag.alias("tag"))
+    k = F.col("p_partkey") % 5
+    draft = F.when(k == 0, F.col("p_name")).when(k.isin(1, 4), F.col("p_size").cast("string")).when(k == 2, " true ").otherwise("")
+    held = F.when(k == 2, "boolean").when(k == 4, "string").otherwise("number")
+    return read(spark, d, "part").select("p_partkey", geometry.edit_tag(draft, held).alias("tag"))
 
 
 # charts
@@ -723,13 +776,6 @@ def chart_series_binding(spark, d):
     return charts.series_points(read(spark, d, "events").withColumn("index", F.col("event_id")), cell, "index", True)
 
 
-@query("SELECT o_orderkey, o_orderpriority AS key FROM orders")
-def natural_identity(spark, d):
-    """The natural key of text without digits to pad, letters in lower case, is the text: a check that it changes nothing else."""
-    o = read(spark, d, "orders")
-    return o.select("o_orderkey", F.when(natural_key(F.col("o_orderpriority")) == F.concat(F.lpad(F.substring("o_orderpriority", 1, 1), 20, "0"), F.lower(F.substring("o_orderpriority", 2, 50))), F.col("o_orderpriority")).alias("key"))
-
-
 @query(None)
 def workbook_calculation(spark, d):
     """A workbook is written, read through the data source, and calculated in cell mode."""

@@ -11,9 +11,9 @@ from quillgrid.functions.refs import MAX_COLUMNS, MAX_ROWS, Address, Box, column
 #: Fixed values of the format.
 ERRORS = ("#DIV/0!", "#VALUE!", "#NULL!", "#REF!", "#NAME?", "#NUM!", "#N/A")
 FUNCTIONS = ("IF", "SUM", "COUNT", "AVERAGE", "MIN", "MAX", "AND", "OR", "NOT")
-#: How strongly operators bind; all of them group to the left.
-INFIX = {"=": 10, "<>": 10, "<": 10, "<=": 10, ">": 10, ">=": 10, "&": 20, "+": 30, "-": 30, "*": 40, "/": 40, "^": 50}
-PREFIX, POSTFIX = 60, 70
+#: Binary operators from the loosest to the tightest; those of a line group to the left. Signs bind tighter, the percent sign tightest.
+LEVELS = (("=", "<>", "<", "<=", ">", ">="), ("&",), ("+", "-"), ("*", "/"), ("^",))
+RANK = {op: i for i, line in enumerate(LEVELS) for op in line}
 
 
 @dataclass(frozen=True)
@@ -26,12 +26,14 @@ class Literal:
 class Ref:
     sheet: str | None
     at: Address
+    fixed: bool = False  # a dollar sign before the row
 
 
 @dataclass(frozen=True)
 class Range:
     sheet: str | None
     box: Box
+    fixed: tuple[bool, bool] = (False, False)
 
 
 @dataclass(frozen=True)
@@ -68,7 +70,7 @@ TOKEN = re.compile(
     |(?P<symbol><>|<=|>=|[-+*/^&=<>%(),:!])""",
     re.VERBOSE,
 )
-CELL = re.compile(r"\$?([A-Za-z]{1,3})\$?([1-9][0-9]*)\Z")
+CELL = re.compile(r"\$?([A-Za-z]{1,3})(\$?)([1-9][0-9]*)\Z")
 
 
 def tokens(text: str) -> list[tuple[str, str, int]]:
@@ -98,36 +100,45 @@ class Parser:
         self.i += 1
         return t
 
-    def expression(self, least: int = 0):
-        left = self.operand()
-        while True:
-            kind, text, _ = self.peek()
-            if kind != "symbol":
-                return left
-            if text == "%":
-                if least > POSTFIX:
-                    return left
-                self.take()
-                left = Percent(left)
-            elif INFIX.get(text, -1) > least:
-                self.take()
-                left = Binary(text, left, self.expression(INFIX[text]))
-            else:
-                return left
+    def expression(self):
+        """Operands and operators in a row; an operator is applied as soon as a looser one, or one of its own line, follows."""
+        values, waiting = [self.signed()], []
+
+        def apply():
+            right, left = values.pop(), values.pop()
+            values.append(Binary(waiting.pop(), left, right))
+
+        while self.peek()[0] == "symbol" and self.peek()[1] in RANK:
+            op = self.take()[1]
+            while waiting and RANK[waiting[-1]] >= RANK[op]:
+                apply()
+            waiting.append(op)
+            values.append(self.signed())
+        while waiting:
+            apply()
+        return values[0]
+
+    def signed(self):
+        signs = []
+        while self.peek()[0] == "symbol" and self.peek()[1] in ("+", "-"):
+            signs.append(self.take()[1])
+        out = self.operand()
+        while self.peek()[1] == "%" and self.peek()[0] == "symbol":
+            self.take()
+            out = Percent(out)
+        for op in reversed(signs):
+            out = Prefix(op, out)
+        return out
 
     def operand(self):
         kind, text, at = self.take()
         if kind == "number":
             value = float(text)
-            if value in (float("inf"),):
+            if value == float("inf"):
                 raise FormulaParseError("a number is too large", at)
             return Literal("number", value)
-        if kind == "string":
-            return Literal("string", text[1:-1].replace('""', '"'))
-        if kind == "error":
-            return Literal("error", text)
-        if kind == "symbol" and text in "+-":
-            return Prefix(text, self.expression(PREFIX))
+        if kind in ("string", "error"):
+            return Literal(kind, text[1:-1].replace('""', '"') if kind == "string" else text)
         if kind == "symbol" and text == "(":
             inner = self.expression()
             self.take(")")
@@ -135,17 +146,18 @@ class Parser:
         if kind == "sheet":
             self.take("!")
             return self.reference(text[1:-1].replace("''", "'"))
-        if kind == "name":
-            if self.peek()[1] == "(":
-                return self.call(text)
-            if self.peek()[1] == "!":
-                self.take()
-                return self.reference(text)
-            if text.upper() in ("TRUE", "FALSE"):
-                return Literal("boolean", text.upper() == "TRUE")
-            self.i -= 1
-            return self.reference(None)
-        raise FormulaParseError(f"unexpected {text or 'end'!r}", at)
+        if kind != "name":
+            raise FormulaParseError(f"unexpected {text or 'end'!r}", at)
+        after = self.peek()[1]
+        if after == "(":
+            return self.call(text)
+        if after == "!":
+            self.take()
+            return self.reference(text)
+        if text.upper() in ("TRUE", "FALSE"):
+            return Literal("boolean", text.upper() == "TRUE")
+        self.i -= 1
+        return self.reference(None)
 
     def call(self, name: str):
         self.take("(")
@@ -158,29 +170,35 @@ class Parser:
         self.take(")")
         return Call(name.upper(), tuple(args))
 
-    def cell(self) -> Address:
+    def cell(self) -> tuple[Address, bool]:
+        """An address, and whether its row is fixed."""
         kind, text, at = self.take()
         m = CELL.match(text) if kind == "name" else None
         if not m:
             raise FormulaParseError(f"{text or 'the end'!r} is no reference", at)
-        out = Address(int(m[2]), column_number(m[1]))
+        out = Address(int(m[3]), column_number(m[1]))
         if out.row > MAX_ROWS or out.col > MAX_COLUMNS:
             raise FormulaParseError(f"{text!r} lies outside the grid", at)
-        return out
+        return out, bool(m[2])
 
     def reference(self, sheet: str | None):
-        first = self.cell()
+        first, fixed = self.cell()
         if self.peek()[1] != ":":
-            return Ref(sheet, first)
+            return Ref(sheet, first, fixed)
         self.take()
-        last = self.cell()
-        return Range(sheet, Box(Address(min(first.row, last.row), min(first.col, last.col)), Address(max(first.row, last.row), max(first.col, last.col))))
+        last, also = self.cell()
+        if first.row > last.row:
+            fixed, also = also, fixed
+        return Range(sheet, Box(Address(min(first.row, last.row), min(first.col, last.col)), Address(max(first.row, last.row), max(first.col, last.col))), (fixed, also))
 
 
 def parse(text: str):
     """The syntax tree of a formula, written without the leading equals sign."""
     p = Parser(text)
-    out = p.expression()
+    try:
+        out = p.expression()
+    except RecursionError:
+        raise FormulaParseError("brackets are nested too deeply", p.peek()[2]) from None
     kind, found, at = p.peek()
     if kind != "end":
         raise FormulaParseError(f"unexpected {found!r}", at)

@@ -15,11 +15,11 @@ from quillgrid.sources.workbook import Workbook
 
 def test_sample_calculation():
     a = Artifact(demo.sample())
-    assert [a.display(c) for c in ("D5", "D6", "D7", "C10")] == ["OK", "OK", "OK", "18"]
-    assert a.edit_cell("B5", 20.0).display("C10") == "25"
-    other = Artifact(demo.sample(), "other")
-    assert other.value("A1") == Value("number", 36.0) and other.value("C1") == Value("number", 43.0)
-    assert other.calculation.diagnostics[2, 2, 1] == "circular-reference"
+    assert [a.display(c) for c in ("F3", "F4", "F6", "E9")] == ["many", "few", "few", "69.5"]
+    assert a.edit_cell("C3", 20.0).display("E9") == "49.5"
+    other = Artifact(demo.sample(), "ledger")
+    assert other.value("A2") == Value("number", 34.75) and other.value("C2") == Value("number", 43.0)
+    assert other.calculation.diagnostics[2, 3, 1] == "circular-reference"
 
 
 def test_every_cell_type():
@@ -57,21 +57,21 @@ def test_bad_packages():
 def test_editing():
     data = demo.sample()
     e = Editor(data)
-    e.set_value("sample data", "B5", 13.0)
+    e.set_value("orchard 7", "C3", 40.0)
     assert e.commit() is data  # nothing changes
     e = Editor(data)
-    for ref, v in (("B5", 1.5), ("A1", "<x> & y"), ("Z99", True), ("B6", None), ("Q1", None)):
-        e.set_value("Sample Data", ref, v)
-    e.set_formula("Sample Data", "C10", "SUM(B5:B7)*2")
+    for ref, v in (("C3", 1.5), ("A1", "<x> & y"), ("Z99", True), ("C4", None), ("Q1", None)):
+        e.set_value("Orchard 7", ref, v)
+    e.set_formula("Orchard 7", "E9", "SUM(C3:C6)*2")
     new = e.commit()
     w = Workbook(new).worksheet(Workbook(new).sheet())
-    assert [w.cell(c).value for c in ("B5", "A1", "Z99", "B6")] == [Value("number", 1.5), Value("string", "<x> & y"), Value("boolean", True), Value("blank")]
-    assert w.cell("Q1") is None and w.cell("C10").formula == "SUM(B5:B7)*2" and w.cell("B7").value == Value("number", 1.0)
+    assert [w.cell(c).value for c in ("C3", "A1", "Z99", "C4")] == [Value("number", 1.5), Value("string", "<x> & y"), Value("boolean", True), Value("blank")]
+    assert w.cell("Q1") is None and w.cell("E9").formula == "SUM(C3:C6)*2" and w.cell("C6").value == Value("number", 8.0)
     assert b"fullCalcOnLoad" in Package(new).part("/xl/workbook.xml")
     assert Package(new).raw("/xl/worksheets/sheet2.xml") == Package(data).raw("/xl/worksheets/sheet2.xml")
     with pytest.raises(SheetError):
-        e.set_value("Sample Data", "A1", 1)
-    for bad in (lambda e: e.set_value("S", "A1", 1), lambda e: e.set_value("Other", "A1", float("nan")), lambda e: e.set_formula("Other", "A1", "1" * 9000), lambda e: e.set_formula("Other", "A1", "=1")):
+        e.set_value("Orchard 7", "A1", 1)
+    for bad in (lambda e: e.set_value("S", "A1", 1), lambda e: e.set_value("Ledger", "A1", float("nan")), lambda e: e.set_formula("Ledger", "A1", "1" * 9000), lambda e: e.set_formula("Ledger", "A1", "=1")):
         with pytest.raises(SheetError):
             bad(Editor(data))
 
@@ -100,14 +100,14 @@ def test_spark_reading_and_calculation(spark, tmp_path):
     assert cells.count() == 12
     calculated = xlsx.calculate_cells(cells)
     merged = {(r.sheet, r.ref): r for r in xlsx.with_calculated(cells, calculated).collect()}
-    assert merged["Sample Data", "C10"].num == 18 and merged["Other", "C1"].num == 43 and merged["Other", "B1"].num == 42
+    assert merged["Orchard 7", "E9"].num == 69.5 and merged["Ledger", "C2"].num == 43 and merged["Ledger", "B2"].num == 42
     spark.dataSource.register(xlsx.XlsxDataSource)
     assert spark.read.format("xlsx").load(str(path)).count() == 12
     files = spark.read.format("binaryFile").load(str(path)).select("path", "content")
-    edits = files.selectExpr("path", "'Other' AS sheet", "'D4' AS ref", "1 AS seq", "2.5D AS num", "CAST(NULL AS STRING) AS str", "CAST(NULL AS BOOLEAN) AS bool", "CAST(NULL AS STRING) AS formula")
+    edits = files.selectExpr("path", "'Ledger' AS sheet", "'D4' AS ref", "1 AS seq", "2.5D AS num", "CAST(NULL AS STRING) AS str", "CAST(NULL AS BOOLEAN) AS bool", "CAST(NULL AS STRING) AS formula")
     new = xlsx.write_edits(files, edits).first()
     book = Workbook(bytes(new.content))
-    assert book.worksheet(book.sheet("other")).cell("D4").value == Value("number", 2.5)
+    assert book.worksheet(book.sheet("ledger")).cell("D4").value == Value("number", 2.5)
 
 
 def test_geometry(spark):
