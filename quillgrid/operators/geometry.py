@@ -110,6 +110,14 @@ def row_height_px(points: Column) -> Column:
     return F.floor(points * 4 / 3 + 0.5).cast("long")
 
 
+def width_px(width: float, digit: int = 7) -> int:
+    return math.floor((256 * width + math.floor(128 / digit)) / 256 * digit)
+
+
+def height_px(points: float) -> int:
+    return math.floor(points * 4 / 3 + 0.5)
+
+
 def emu_px(emu: Column) -> Column:
     return emu / EMU_PER_PIXEL
 
@@ -156,6 +164,74 @@ class Selection:
         return Selection(self.row, self.col, r, c) if extend else Selection(r, c, r, c)
 
 
+@dataclass(frozen=True)
+class Pane:
+    """Frozen rows and columns of a grid with headers, and how far its body is scrolled."""
+
+    rows: SparseAxis
+    columns: SparseAxis
+    frozen_rows: int = 0
+    frozen_columns: int = 0
+    top: float = 0.0
+    left: float = 0.0
+
+    def translation(self, row: int, col: int) -> tuple[float, float]:
+        """How a cell moves against the scrolled body so that frozen ones stand still: x, y."""
+        return self.left if col <= self.frozen_columns else 0.0, self.top if row <= self.frozen_rows else 0.0
+
+    def layer(self, row: int, col: int) -> int:
+        """Frozen cells lie above the others."""
+        return 2 if row <= self.frozen_rows or col <= self.frozen_columns else 1
+
+    def region(self, anchor: dict) -> str:
+        """Which part of the grid a drawing belongs to; markers count from 0."""
+        if anchor["kind"] == "absoluteAnchor":
+            return "body"
+        first = anchor["from"]
+        return "frozen-row" if first["row"] < self.frozen_rows else "frozen-column" if first["col"] < self.frozen_columns else "body"
+
+    def place(self, anchor: dict, bounds: tuple[float, float, float, float], view: tuple[float, float], headers: tuple[float, float]) -> dict:
+        """Left and top of a drawing (x, y, width, height) in the container that owns its region, and whether any of it shows in a view of this width and height."""
+        (x, y, width, height), (head_x, head_y), region = bounds, headers, self.region(anchor)
+        stop_x, stop_y = frozen_extent(self.columns, self.frozen_columns), frozen_extent(self.rows, self.frozen_rows)
+        # along each axis: place in the container, place on the screen, and the stretch of the screen that the region has
+        if region == "body":
+            across = (head_x + x, head_x + x - self.left, head_x + stop_x, view[0])
+            down = (head_y + y, head_y + y - self.top, head_y + stop_y, view[1])
+        elif region == "frozen-row":
+            at = x if anchor["from"]["col"] < self.frozen_columns else x - self.left
+            across, down = (at, head_x + at, head_x, view[0]), (y, head_y + y, head_y, head_y + stop_y)
+        else:
+            at = y - self.top - stop_y
+            across, down = (x, head_x + x, head_x, head_x + stop_x), (at, head_y + stop_y + at, head_y + stop_y, view[1])
+        shows = all(low < at + size and at < high for (_, at, low, high), size in ((across, width), (down, height)))
+        return {"region": region, "left": across[0], "top": down[0], "visible": shows}
+
+    def items(self, axis: SparseAxis, frozen: int, seen: list[int]) -> list[int]:
+        """The items that are drawn: those in view, and all frozen ones that have a size."""
+        return sorted({*seen, *(i for i in range(1, min(frozen, axis.count) + 1) if axis.size(i) > 0)})
+
+    def layout(self, rows: list[int], cols: list[int], merges: list) -> dict:
+        """Rows and columns to draw for those in view, and the merged boxes that reach into them with left, top, width and height."""
+        rows, cols = self.items(self.rows, self.frozen_rows, rows), self.items(self.columns, self.frozen_columns, cols)
+        inside = lambda items, a, b: bisect_right(items, b) > bisect_right(items, a - 1)
+        span = lambda axis, a, b: axis.start(b) + axis.size(b) - axis.start(a)
+        drawn = [
+            {"box": m, "left": self.columns.start(m.first.col), "top": self.rows.start(m.first.row), "width": span(self.columns, m.first.col, m.last.col), "height": span(self.rows, m.first.row, m.last.row)}
+            for m in merges
+            if inside(rows, m.first.row, m.last.row) and inside(cols, m.first.col, m.last.col)
+        ]
+        return {"rows": rows, "columns": cols, "merges": drawn}
+
+
+def frozen_extent(axis: SparseAxis, frozen: int) -> float:
+    """Pixels that the first items of an axis take."""
+    if frozen < 0:
+        raise ValueError("the number of frozen items is negative")
+    last = min(frozen, axis.count)
+    return axis.start(last) + axis.size(last) if last else 0.0
+
+
 def tint(rgb: str, amount: float) -> str:
     """A colour made lighter (amount > 0) or darker, by its lightness."""
     r, g, b = (int(rgb[i : i + 2], 16) / 255 for i in (0, 2, 4))

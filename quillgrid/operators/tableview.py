@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid.errors import SheetError
 from quillgrid.functions import numfmt
 from quillgrid.functions.refs import Box
 from quillgrid.functions.scalars import text_number
@@ -81,6 +82,12 @@ def saved_state(filters: list[dict], sorts: list[dict], sort_columns: bool = Fal
     return ViewState(tuple(kept), tuple(order), tuple(dict.fromkeys(warnings)))
 
 
+def check_editable(state: ViewState) -> None:
+    """Raises while a filter or sort is active: rows of the view are not rows of the sheet then."""
+    if state.filters or state.sorts:
+        raise SheetError("view-active", "cells can't be edited while a filter or sort is active")
+
+
 ORDERED = {"lessThan": lambda a, b: a < b, "lessThanOrEqual": lambda a, b: a <= b, "greaterThan": lambda a, b: a > b, "greaterThanOrEqual": lambda a, b: a >= b}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import numfmt, refs
@@ -10,6 +10,8 @@ from quillgrid.functions.text import number_text
 from quillgrid.operators import charts, geometry, lookups
 from quillgrid.operators.tableview import Condition, CustomFilter, Sort, TableView, ValueFilter, ViewState, body
 from quillgrid.plans.compile import Col, Sheet, column, fill_down, summarise, to_logical, to_number, with_formula
+from quillgrid.sources import xlsx
+from quillgrid.sources.build import MAIN
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -715,10 +717,22 @@ def value_alignment(spark, d):
     return read(spark, d, "orders").select("o_orderkey", geometry.alignment(cell.tag).alias("align"))
 
 
-@query(None)
+TINT = """
+WITH c AS (SELECT p_partkey, p_partkey * 37 % 256 / 255.0::DOUBLE AS r, p_partkey * 91 % 256 / 255.0::DOUBLE AS g, p_partkey * 17 % 256 / 255.0::DOUBLE AS b, (p_partkey % 9 - 4) / 7.0::DOUBLE AS t FROM part),
+d AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM c),
+e AS (SELECT *, (hi + lo) / 2 AS l, hi - lo AS w FROM d),
+f AS (SELECT *, CASE WHEN w = 0 THEN 0.0 ELSE w / (1 - abs(2 * l - 1)) END AS s, CASE WHEN w = 0 THEN 0.0 WHEN hi = r THEN ((g - b) / w + 6) % 6 WHEN hi = g THEN (b - r) / w + 2 ELSE (r - g) / w + 4 END AS h,
+  CASE WHEN t < 0 THEN l * (1 + t) ELSE l * (1 - t) + t END AS n FROM e),
+k AS (SELECT *, (1 - abs(2 * n - 1)) * s AS ch FROM f),
+x AS (SELECT *, ch * (1 - abs(h % 2 - 1)) AS xx, n - ch / 2 AS m, CAST(floor(h) AS INT) AS z FROM k),
+y AS (SELECT p_partkey, m, CASE WHEN z IN (0, 5) THEN ch WHEN z IN (1, 4) THEN xx ELSE 0 END AS rr, CASE WHEN z IN (1, 2) THEN ch WHEN z IN (0, 3) THEN xx ELSE 0 END AS gg, CASE WHEN z IN (3, 4) THEN ch WHEN z IN (2, 5) THEN xx ELSE 0 END AS bb FROM x)
+SELECT p_partkey, format('{:02X}{:02X}{:02X}', CAST(floor((rr + m) * 255 + 0.5) AS BIGINT), CAST(floor((gg + m) * 255 + 0.5) AS BIGINT), CAST(floor((bb + m) * 255 + 0.5) AS BIGINT)) AS rgb FROM y"""
+
+
+@query(TINT)
 def color_tint(spark, d):
     k = F.col("p_partkey")
-    p = read(spark, d, "part").select("p_partkey", (k * 37 % 256).alias("r"), (k * 91 % 256).alias("g"), (k * 17 % 256).alias("b"), ((k % 9 - 4) / 4.0).alias("amount"))
+    p = read(spark, d, "part").select("p_partkey", (k * 37 % 256).alias("r"), (k * 91 % 256).alias("g"), (k * 17 % 256).alias("b"), ((k % 9 - 4) / 7.0).alias("amount"))
     return p.select("p_partkey", geometry.tint_column(F.col("r"), F.col("g"), F.col("b"), F.col("amount")).alias("rgb"))
 
 
@@ -776,6 +790,98 @@ def chart_series_binding(spark, d):
     return charts.series_points(read(spark, d, "events").withColumn("index", F.col("event_id")), cell, "index", True)
 
 
+# workbooks: one for each nation, with a row for each of its customers below a row of names
+
+ROWS = "SELECT 'n' || c_nationkey AS path, c_custkey, c_name, c_acctbal, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 1 AS INT) AS row FROM customer"
+
+
+def customers(spark, d) -> DataFrame:
+    row = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) + 1
+    return read(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("path"), "c_custkey", "c_name", "c_acctbal", row.cast("int").alias("row"))
+
+
+def cell(col: int, num=None, str=None, bool=None, formula=None):
+    null = lambda x, kind: F.lit(None).cast(kind) if x is None else x
+    return F.struct(F.lit(col).alias("col"), null(num, "double").alias("num"), null(str, "string").alias("str"), null(bool, "boolean").alias("bool"), null(formula, "string").alias("formula"))
+
+
+def books(spark, d, *more, tables=None, styles=None, **columns) -> DataFrame:
+    """Workbooks of customers: key, name and balance, and the cells in more."""
+    c = customers(spark, d)
+    body = F.array(cell(1, num=F.col("c_custkey").cast("double")), cell(2, str=F.col("c_name")), cell(3, num=F.col("c_acctbal")), *more)
+    named = F.array(*[cell(i, str=F.lit(x)) for i, x in enumerate(("key", "name", "balance"), 1)])
+    rows = c.select("path", "row", F.explode(body).alias("c"), *[x.alias(n) for n, x in columns.items()])
+    head = c.select("path").distinct().select("path", F.lit(1).alias("row"), F.explode(named).alias("c"), *[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in columns])
+    cells = rows.union(head).select("path", F.lit("Customers").alias("sheet"), "row", "c.*", *columns)
+    return xlsx.to_workbooks(cells, tables, styles)
+
+
+@query(f"WITH r AS ({ROWS}) SELECT path, row, 1 AS col, 'number' AS tag, CAST(c_custkey AS DOUBLE) AS num, NULL AS str FROM r UNION ALL SELECT path, row, 2, 'string', NULL, c_name FROM r UNION ALL SELECT path, row, 3, 'number', c_acctbal, NULL FROM r UNION ALL SELECT path, 1, i, 'string', NULL, n FROM (SELECT DISTINCT path FROM r), (VALUES (1, 'key'), (2, 'name'), (3, 'balance')) t(i, n)")
+def workbook_cells(spark, d):
+    """Cells written to workbooks and read from them."""
+    return xlsx.cells_of(books(spark, d)).select("path", "row", "col", "tag", "num", "str")
+
+
+@query(f"WITH p AS (SELECT DISTINCT path FROM ({ROWS})) SELECT path, part, type AS content_type FROM p, (VALUES ('/_rels/.rels', 'application/vnd.openxmlformats-package.relationships+xml'), ('/xl/_rels/workbook.xml.rels', 'application/vnd.openxmlformats-package.relationships+xml'), ('/xl/workbook.xml', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml'), ('/xl/worksheets/sheet1.xml', 'application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml')) t(part, type)")
+def workbook_parts(spark, d):
+    return xlsx.parts_of(books(spark, d)).select("path", "part", "content_type")
+
+
+@query(f"WITH r AS ({ROWS}) SELECT path, row, 4 AS col, round(c_acctbal * 2, 4) AS num, CAST(NULL AS VARCHAR) AS str, CAST(NULL AS VARCHAR) AS err FROM r UNION ALL SELECT path, row, 5, NULL, CASE WHEN c_acctbal > 500 THEN 'rich' ELSE 'poor' END, NULL FROM r UNION ALL SELECT path, row, 6, round(sum(c_acctbal) OVER (PARTITION BY path ORDER BY row), 4), NULL, NULL FROM r UNION ALL SELECT path, row, 7, NULL, NULL, '#REF!' FROM r")
+def workbook_formulas(spark, d):
+    """Formulas of workbooks calculated cell by cell."""
+    r = F.col("row").cast("string")
+    f = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    # the running total goes on from the cell above; the first row's cell above holds a text, which a range skips
+    found = books(spark, d, cell(4, formula=f("C", r, "*2")), cell(5, formula=f("IF(C", r, '>500,"rich","poor")')), cell(6, formula=f("SUM(F", (F.col("row") - 1).cast("string"), ":F", (F.col("row") - 1).cast("string"), ",C", r, ")")), cell(7, formula=F.lit("Nowhere!A1")))
+    out = xlsx.calculate_cells(xlsx.cells_of(found))
+    return out.select("path", "row", "col", F.round("num", 4).alias("num"), "str", "err")
+
+
+@query(f"WITH r AS ({ROWS}), n AS (SELECT path, row, 3 AS col, CASE WHEN c_custkey % 2 = 0 THEN round(c_acctbal + 1, 4) ELSE c_acctbal END AS num FROM r WHERE c_custkey % 5 <> 0 UNION ALL SELECT path, row, 9, CAST(c_custkey AS DOUBLE) FROM r WHERE c_custkey % 3 = 0) SELECT * FROM n")
+def workbook_edits(spark, d):
+    """Values set, cleared and added in workbooks, read from the new files; the last edit of a cell wins."""
+    c = customers(spark, d)
+    edit = lambda rows, col, seq, num: rows.select("path", F.lit("customers").alias("sheet"), F.concat(F.lit(col), F.col("row").cast("string")).alias("ref"), F.lit(seq).alias("seq"), num.cast("double").alias("num"), F.lit(None).cast("string").alias("str"), F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("string").alias("formula"))
+    edits = edit(c.where("c_custkey % 2 = 0"), "C", 1, F.round(F.col("c_acctbal") + 1, 4)).union(edit(c.where("c_custkey % 5 = 0"), "C", 2, F.lit(None))).union(edit(c.where("c_custkey % 3 = 0"), "I", 3, F.col("c_custkey")))
+    new = xlsx.write_edits(books(spark, d), edits)
+    return xlsx.cells_of(new).where("col IN (3, 9) AND row > 1 AND tag = 'number'").select("path", "row", "col", "num")
+
+
+@query(f"WITH r AS ({ROWS}) SELECT path, 1 AS row1, 1 AS col1, CAST(max(row) + 5 AS INT) AS row2, 11 AS col2 FROM r GROUP BY path")
+def workbook_dimension(spark, d):
+    """An edit outside a sheet's dimension makes it grow."""
+    last = customers(spark, d).groupBy("path").agg(F.max("row").alias("row"))
+    edits = last.select("path", F.lit("Customers").alias("sheet"), F.concat(F.lit("K"), (F.col("row") + 5).cast("string")).alias("ref"), F.lit(1).alias("seq"), F.lit(1.0).alias("num"), F.lit(None).cast("string").alias("str"), F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("string").alias("formula"))
+    found = xlsx.boxes_of(xlsx.write_edits(books(spark, d), edits))
+    return found.where("kind = 'dimension'").select("path", "row1", "col1", "row2", "col2")
+
+
+@query(f"WITH r AS ({ROWS}) SELECT path, row, CAST(row_number() OVER (PARTITION BY path ORDER BY c_acctbal DESC, row) AS INT) AS slot FROM r WHERE c_acctbal > 300 AND c_acctbal <= 4000 AND NOT ends_with(c_name, '1')")
+def workbook_table_view(spark, d):
+    """The filters and the sort that a table's part holds, applied to its rows."""
+    view = '<autoFilter ref="A1:C9"><filterColumn colId="2"><customFilters and="1"><customFilter operator="greaterThan" val="300"/><customFilter operator="lessThanOrEqual" val="4000"/></customFilters></filterColumn><filterColumn colId="1"><customFilters><customFilter operator="notEqual" val="*1"/></customFilters></filterColumn></autoFilter><sortState ref="A2:C9"><sortCondition descending="1" ref="C2:C9"/></sortState>'
+    return xlsx.shown_of(books(spark, d, tables={"Customers": ("People", ["key", "name", "balance"], view)})).select("path", "row", "slot")
+
+
+@query(f"WITH r AS ({ROWS}), h AS (SELECT path, row, CASE WHEN c_custkey % 7 = 0 THEN 0.0::DOUBLE WHEN c_custkey % 3 = 0 THEN floor((10 + c_custkey % 40) * 4 / 3.0 + 0.5)::DOUBLE ELSE 20.0::DOUBLE END AS height FROM r) SELECT path, row, height, 20 + coalesce(sum(height) OVER (PARTITION BY path ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM h")
+def workbook_row_axis(spark, d):
+    """Heights and starts of rows as sheets have them, hidden ones without any."""
+    k = F.col("c_custkey")
+    found = books(spark, d, height=F.when(k % 3 == 0, (10 + k % 40).cast("double")), hidden=k % 7 == 0)
+    return xlsx.rows_of(found).where("row > 1").select("path", "row", "height", "start")
+
+
+STYLES = f'<styleSheet xmlns="{MAIN}"><numFmts count="1"><numFmt numFmtId="164" formatCode="0.000"/></numFmts><fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="solid"><fgColor indexed="10"/></patternFill></fill><fill><patternFill patternType="solid"><fgColor rgb="00ABCDEF"/></patternFill></fill></fills><cellStyleXfs count="2"><xf numFmtId="0" fillId="0"/><xf numFmtId="4" fillId="2"/></cellStyleXfs><cellXfs count="4"><xf xfId="0"/><xf numFmtId="164" fillId="1" xfId="0"/><xf xfId="1" numFmtId="10" applyNumberFormat="0" fillId="1"/><xf xfId="1"/></cellXfs></styleSheet>'
+
+
+@query(f"WITH r AS ({ROWS}) SELECT path, row, CASE c_custkey % 4 WHEN 0 THEN 'General' WHEN 1 THEN '0.000' ELSE '#,##0.00' END AS format, CASE c_custkey % 4 WHEN 1 THEN 'FFFF0000' WHEN 2 THEN 'FFFF0000' WHEN 3 THEN 'FFABCDEF' END AS fill FROM r")
+def workbook_styles(spark, d):
+    """Number formats and fills through the cascade of cell styles and their bases."""
+    found = books(spark, d, styles=STYLES, style=(F.col("c_custkey") % 4).cast("int"))
+    return xlsx.styles_of(found).where("col = 3 AND row > 1").select("path", "row", "format", "fill")
+
+
 @query(None)
 def workbook_calculation(spark, d):
     """A workbook is written, read through the data source, and calculated in cell mode."""

@@ -27,17 +27,55 @@ class ZipLimits:
 TYPES, RELS = "[Content_Types].xml", "application/vnd.openxmlformats-package.relationships+xml"
 
 
-def xml(data: bytes) -> ET.Element:
-    """The root element; document type declarations are refused."""
-    parser = ET.XMLPullParser(["start"])
-    head = data[:4]
-    text = data.decode("utf-16") if head[:2] in (b"\xff\xfe", b"\xfe\xff") else None
-    if re.search("<!DOCTYPE" if text else b"<!DOCTYPE", text or data):
+@dataclass(frozen=True)
+class XmlLimits:
+    chars: int = 64 << 20
+    depth: int = 256
+    elements: int = 1_000_000
+    attributes: int = 512
+    text: int = 32 << 20
+
+
+#: Content types and relationships are small.
+PACKAGE_XML = XmlLimits(64 << 20, 128, 100_000, 256, 8 << 20)
+
+
+class Bounded(ET.TreeBuilder):
+    """Builds a tree within limits."""
+
+    def __init__(self, limits: XmlLimits):
+        super().__init__()
+        self.limits, self.depth, self.elements, self.text = limits, 0, 0, 0
+
+    def start(self, tag, attrs):
+        self.depth += 1
+        self.elements += 1
+        if self.depth > self.limits.depth or self.elements > self.limits.elements or len(attrs) > self.limits.attributes:
+            raise LimitError("the XML is too deep or has too many elements or attributes")
+        return super().start(tag, attrs)
+
+    def end(self, tag):
+        self.depth -= 1
+        return super().end(tag)
+
+    def data(self, data):
+        self.text += len(data)
+        if self.text > self.limits.text:
+            raise LimitError("the XML has too much text")
+        return super().data(data)
+
+    def doctype(self, name, pubid, system):
         raise SheetError("xml-doctype", "a document type declaration is not allowed")
+
+
+def xml(data: bytes, limits: XmlLimits = XmlLimits()) -> ET.Element:
+    """The root element; document type declarations are refused, and what goes beyond the limits."""
+    if len(data) > limits.chars:
+        raise LimitError("the XML is too long")
     try:
+        parser = ET.XMLParser(target=Bounded(limits))
         parser.feed(data)
-        parser.close()
-        return ET.fromstring(data)
+        return parser.close()
     except (ET.ParseError, UnicodeDecodeError, ValueError) as e:
         raise SheetError("xml", str(e)) from None
 
@@ -99,6 +137,10 @@ class Package:
             self.zip = zipfile.ZipFile(io.BytesIO(data))
         except (zipfile.BadZipFile, ValueError, struct.error, OSError) as e:
             raise SheetError("zip", str(e)) from None
+        # one disk, and nothing after the end record but the comment that it tells of
+        end = data.rfind(b"PK\5\6")
+        if end < 0 or len(data) < end + 22 or data[end + 4 : end + 8] != bytes(4) or end + 22 + struct.unpack_from("<H", data, end + 20)[0] != len(data):
+            raise SheetError("zip", "the archive has several disks or data after its end")
         infos = self.zip.infolist()
         if len(infos) > limits.entries:
             raise LimitError("too many ZIP entries")
@@ -109,7 +151,7 @@ class Package:
                 raise SheetError("zip-encrypted", f"{i.filename} is encrypted")
             if i.compress_type not in (0, 8):
                 raise SheetError("zip-method", f"{i.filename} has method {i.compress_type}")
-            if i.file_size > limits.entry_bytes or total > limits.total_bytes or i.file_size > limits.ratio * max(1, i.compress_size) and i.file_size > 1 << 16:
+            if i.file_size > limits.entry_bytes or total > limits.total_bytes or i.file_size > limits.ratio * max(1, i.compress_size):
                 raise LimitError(f"{i.filename} is too large")
             spans.append((i.header_offset, i.header_offset + 30 + i.compress_size))
         spans.sort()
@@ -127,7 +169,7 @@ class Package:
             self.infos[name] = i
         if TYPES not in self.infos:
             raise SheetError("content-types", "there is no [Content_Types].xml")
-        root = xml(self.read(TYPES))
+        root = xml(self.read(TYPES), PACKAGE_XML)
         self.defaults = {attribute(e, "Extension", "").lower(): attribute(e, "ContentType") for e in children(root, "Default")}
         self.overrides = {key_of(attribute(e, "PartName", "")): attribute(e, "ContentType") for e in children(root, "Override")}
         self.by_key = {key_of(n): n for n in self.infos}
@@ -156,7 +198,7 @@ class Package:
 
     def _relationships(self, source: str, name: str) -> list[Relationship]:
         out, ids = [], set()
-        for e in children(xml(self.read(name)), "Relationship"):
+        for e in children(xml(self.read(name), PACKAGE_XML), "Relationship"):
             r = Relationship(attribute(e, "Id", ""), attribute(e, "Type", ""), attribute(e, "Target", ""), attribute(e, "TargetMode", "Internal") == "External")
             if not r.id or r.id in ids:
                 raise SheetError("relationship-id", f"{name} has a missing or repeated id")

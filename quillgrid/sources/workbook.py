@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from xml.etree import ElementTree as ET
 
@@ -10,6 +11,7 @@ from quillgrid.errors import SheetError
 from quillgrid.functions import refs
 from quillgrid.functions.numfmt import BUILT_IN
 from quillgrid.functions.scalars import BLANK, Value, text_number
+from quillgrid.operators.geometry import SparseAxis, height_px, tint, width_px
 from quillgrid.plans.interpret import Cell
 from quillgrid.sources.package import Package, attribute, child, children, local, xml
 
@@ -75,6 +77,20 @@ class Worksheet:
     default_height: float = 15.0
     default_width: float = 8.43
     tab_color: str | None = None
+    tab: dict | None = None
+
+    def row_axis(self, count: int = refs.MAX_ROWS) -> SparseAxis:
+        """Row heights in pixels; hidden rows have none."""
+        own = {r: 0.0 if x["hidden"] else float(height_px(x["height"] if x["height"] is not None else self.default_height)) for r, x in self.rows.items() if x["hidden"] or x["height"] is not None}
+        return SparseAxis(count, float(height_px(self.default_height)), own)
+
+    def column_axis(self, count: int = refs.MAX_COLUMNS) -> SparseAxis:
+        """Column widths in pixels; hidden columns have none."""
+        own = {}
+        for c in self.columns:
+            px = 0.0 if c["hidden"] else float(width_px(c["width"] if c["width"] is not None else self.default_width))
+            own |= dict.fromkeys(range(c["min"], min(c["max"], count) + 1), px)
+        return SparseAxis(count, float(width_px(self.default_width)), own)
 
     def cell(self, ref) -> SheetCell | None:
         return self.cells.get(tuple(refs.parse_cell(ref) if isinstance(ref, str) else ref))
@@ -94,7 +110,9 @@ class Workbook:
         self.sheets: list[Sheet] = []
         for e in children(child(root, "sheets"), "sheet") if child(root, "sheets") is not None else []:
             rid = next((v for k, v in e.attrib.items() if k.endswith("}id")), None)
-            if rid in targets:
+            if rid not in targets:
+                raise SheetError("sheet-part", f"{attribute(e, 'name')!r} has no part")
+            else:
                 self.sheets.append(Sheet(int(attribute(e, "sheetId")), attribute(e, "name"), targets[rid], attribute(e, "state", "visible")))
         for values, what in (([s.id for s in self.sheets], "sheetId"), ([s.name.lower() for s in self.sheets], "name")):
             if len(set(values)) < len(values):
@@ -153,6 +171,7 @@ class Workbook:
             elif name == "sheetPr":
                 color = child(e, "tabColor")
                 out.tab_color = None if color is None else attribute(color, "rgb")
+                out.tab = read_color(color)
             elif name == "hyperlinks":
                 external = {r.id: r.target for r in self.package.rels.get(sheet.part, []) if r.external}
                 for h in e:
@@ -228,8 +247,58 @@ class Workbook:
 
 
 def _overlap(boxes: list) -> bool:
-    done = sorted(boxes)
-    return any(b.first.row <= a.last.row and a.first.col <= b.last.col and b.first.col <= a.last.col for i, a in enumerate(done) for b in done[i + 1 :] if b.first.row <= a.last.row)
+    """A sweep over the rows; the boxes that are open lie side by side in the order of columns."""
+    events = sorted([(b.first.row, 1, b.first.col, b.last.col) for b in boxes] + [(b.last.row + 1, 0, b.first.col, b.last.col) for b in boxes])
+    open_: list[tuple[int, int]] = []
+    for _, begins, first, last in events:
+        i = bisect_left(open_, (first, last))
+        if not begins:
+            open_.pop(i)
+        elif i < len(open_) and open_[i][0] <= last or i and open_[i - 1][1] >= first:
+            return True
+        else:
+            open_.insert(i, (first, last))
+    return False
+
+
+#: Fixed values of the format: theme slots by index, and the colours of the indexed palette.
+SLOTS = ("lt1", "dk1", "lt2", "dk2", "accent1", "accent2", "accent3", "accent4", "accent5", "accent6", "hlink", "folHlink")
+CHART_SLOTS = {"bg1": "lt1", "tx1": "dk1", "bg2": "lt2", "tx2": "dk2"}
+PALETTE = (
+    "000000", "FFFFFF", "FF0000", "00FF00", "0000FF", "FFFF00", "FF00FF", "00FFFF", "000000", "FFFFFF", "FF0000", "00FF00", "0000FF", "FFFF00", "FF00FF", "00FFFF",
+    "800000", "008000", "000080", "808000", "800080", "008080", "C0C0C0", "808080", "9999FF", "993366", "FFFFCC", "CCFFFF", "660066", "FF8080", "0066CC", "CCCCFF",
+    "000080", "FF00FF", "FFFF00", "00FFFF", "800080", "800000", "008080", "0000FF", "00CCFF", "CCFFFF", "CCFFCC", "FFFF99", "99CCFF", "FF99CC", "CC99FF", "FFCC99",
+    "3366FF", "33CCCC", "99CC00", "FFCC00", "FF9900", "FF6600", "666699", "969696", "003366", "339966", "003300", "333300", "993300", "993366", "333399", "333333",
+)
+
+
+def read_color(e: ET.Element | None) -> dict | None:
+    """A colour as the file names it: rgb, theme or indexed with a tint; None for an automatic one."""
+    if e is None or flag(e, "auto"):
+        return None
+    known = {k: attribute(e, k) for k in ("rgb", "theme", "indexed") if attribute(e, k) is not None}
+    return {"rgb": known.get("rgb"), "theme": integer(e, "theme"), "indexed": integer(e, "indexed"), "tint": real(e, "tint", 0.0)} if known else None
+
+
+def resolve_color(color: dict | None, theme: dict[str, str], palette: tuple[str, ...] = PALETTE) -> str | None:
+    """The opaque ARGB of a colour, with its tint; None where it is automatic or its slot isn't there."""
+    if color is None:
+        return None
+    if color["rgb"] is not None:
+        rgb = color["rgb"][-6:]
+    elif color["theme"] is not None:
+        rgb = theme.get(SLOTS[color["theme"]]) if 0 <= color["theme"] < len(SLOTS) else None
+    else:
+        rgb = palette[color["indexed"]] if 0 <= color["indexed"] < len(palette) else None
+    return None if rgb is None else "FF" + (tint(rgb, color["tint"]) if color["tint"] else rgb.upper())
+
+
+def chart_color(kind: str, value: str, theme: dict[str, str]) -> str | None:
+    """A chart's colour as #RRGGBB: an rgb value as it is, a scheme colour by its slot."""
+    if kind == "rgb":
+        return value
+    slot = CHART_SLOTS.get(value, value if value in SLOTS else None)
+    return f"#{theme[slot]}" if slot in theme else None
 
 
 class Styles:
@@ -237,6 +306,7 @@ class Styles:
 
     def __init__(self, package: Package, main: str):
         self.formats, self.fonts, self.fills, self.borders, self.cells, self.bases = dict(BUILT_IN), [], [], [], [], []
+        self.theme, self.palette = theme_colors(package, main), PALETTE
         found = package.related(main, "styles")
         if not found:
             return
@@ -246,11 +316,13 @@ class Styles:
             if name == "numFmts":
                 self.formats |= {integer(n, "numFmtId"): attribute(n, "formatCode") for n in e}
             elif name == "fonts":
-                self.fonts = [{local(p): attribute(p, "val") or attribute(p, "rgb") or True for p in f} for f in e]
+                self.fonts = [{local(p): read_color(p) if local(p) == "color" else attribute(p, "val") or True for p in f} for f in e]
             elif name == "fills":
-                self.fills = [{"pattern": attribute(p, "patternType"), "color": attribute(child(p, "fgColor"), "rgb") if child(p, "fgColor") is not None else None} for f in e for p in f]
+                self.fills = [{"pattern": attribute(p, "patternType"), "color": read_color(child(p, "fgColor"))} for f in e for p in f]
             elif name == "borders":
                 self.borders = [{local(p): attribute(p, "style") for p in b} for b in e]
+            elif name == "colors" and child(e, "indexedColors") is not None:
+                self.palette = tuple(attribute(c, "rgb", "FF000000")[-6:] for c in child(e, "indexedColors"))
             elif name == "cellStyleXfs":
                 self.bases = [self._xf(x) for x in e]
             elif name == "cellXfs":
@@ -274,6 +346,14 @@ class Styles:
             out[k] = own if use_own and own is not None else base.get(k, own) or 0
         return out
 
+    def color(self, color: dict | None) -> str | None:
+        return resolve_color(color, self.theme, self.palette)
+
+    def fill(self, style: int) -> str | None:
+        """The colour that a cell of this style is filled with."""
+        i = self.resolved(style)["fill"]
+        return self.color(self.fills[i]["color"]) if i < len(self.fills) and self.fills[i]["pattern"] == "solid" else None
+
     def format_code(self, style: int) -> str:
         return self.formats.get(self.resolved(style)["numFmt"], "General") or "General"
 
@@ -292,7 +372,9 @@ def read_table(root: ET.Element) -> dict:
             if inner is not None and local(inner) == "filters":
                 filters.append({"kind": "values", "column": at, "values": [attribute(v, "val") for v in children(inner, "filter")], "blank": flag(inner, "blank")})
             elif inner is not None and local(inner) == "customFilters":
-                filters.append({"kind": "custom", "column": at, "all": flag(inner, "and"), "conditions": [(attribute(v, "operator", "equal"), attribute(v, "val")) for v in children(inner, "customFilter")][:2]})
+                filters.append({"kind": "custom", "column": at, "all": flag(inner, "and"), "conditions": [(attribute(v, "operator", "equal"), attribute(v, "val")) for v in children(inner, "customFilter")]})
+                if not 1 <= len(filters[-1]["conditions"]) <= 2:
+                    raise SheetError("table-filter", "a custom filter has one condition or two")
             else:
                 filters.append({"kind": "unsupported", "column": at})
     state = child(root, "sortState")
@@ -380,6 +462,17 @@ def core_properties(package: Package) -> dict[str, str]:
     return out
 
 
+def theme_fonts(package: Package, main: str) -> dict[str, dict[str, str]]:
+    """Typefaces of the theme's major and minor fonts: latin, ea, cs, and by script."""
+    found = package.related(main, "theme")
+    scheme = next((e for e in xml(package.part(found[0][1])).iter() if local(e) == "fontScheme"), None) if found else None
+    out = {}
+    for kind in ("major", "minor") if scheme is not None else ():
+        fonts = child(scheme, f"{kind}Font")
+        out[kind] = {attribute(f, "script") or local(f): attribute(f, "typeface") for f in fonts if attribute(f, "typeface")} if fonts is not None else {}
+    return out
+
+
 def theme_colors(package: Package, main: str) -> dict[str, str]:
     found = package.related(main, "theme")
     if not found:

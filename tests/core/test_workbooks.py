@@ -122,3 +122,20 @@ def test_geometry(spark):
     df = spark.createDataFrame([(*(int(c[i : i + 2], 16) for i in (0, 2, 4)), t) for c, t in colors], "r int, g int, b int, t double")
     assert [r[0] for r in df.select(geometry.tint_column(F.col("r"), F.col("g"), F.col("b"), F.col("t"))).collect()] == [geometry.tint(c, t) for c, t in colors]
     assert [geometry.edit_coercion(*x) for x in (("", "number"), ("12", "number"), ("12", "string"), ("true", "boolean"), ("abc", "number"))] == [None, 12.0, "12", True, "abc"]
+
+
+def test_sink(spark, tmp_path):
+    path = str(tmp_path / "out")
+    spark.dataSource.register(xlsx.XlsxDataSource)
+    df = spark.range(10).selectExpr("CAST(id AS DOUBLE) AS n", "concat('<', id, '>') AS t", "id % 2 = 0 AS even", "CAST(NULL AS STRING) AS none").repartition(2)
+    df.write.format("xlsx").option("sheet", "Data").mode("append").save(path)
+    cells = spark.read.format("xlsx").load(path)
+    got = {(r.path, r.row): {} for r in cells.collect()}
+    for r in cells.collect():
+        got[r.path, r.row][r.col] = r.num if r.tag == "number" else r.str if r.tag == "string" else r.bool
+    assert {r.sheet for r in cells.collect()} == {"Data"} and all(v == {1: "n", 2: "t", 3: "even", 4: "none"} for (_, row), v in got.items() if row == 1)
+    assert sorted((v[1], v[2], v[3]) for (_, row), v in got.items() if row > 1) == [(float(i), f"<{i}>", i % 2 == 0) for i in range(10)]
+    with pytest.raises(Exception, match="workbooks already"):
+        df.write.format("xlsx").mode("append").save(path)
+    df.where("n < 0").write.format("xlsx").mode("overwrite").save(path)
+    assert not list((tmp_path / "out").glob("*.xlsx"))
