@@ -182,10 +182,14 @@ class TableView:
         """row and slot: the k-th body slot shows the k-th projected row.
 
         Each task numbers its own range of the order, so tables have no limit; without spread one window numbers them all, which suits a few rows."""
-        kept = self.df.where(self.predicate(state))
         if not spread:
-            return kept.select(self.row, F.row_number().over(Window.orderBy(*self.order(state))).alias("slot"))
-        return numbered(kept, self.order(state), "slot").select(self.row, F.col("slot").cast("int").alias("slot"))
+            return self.df.where(self.predicate(state)).select(self.row, F.row_number().over(Window.orderBy(*self.order(state))).alias("slot"))
+        return self.shown(state).select(self.row, "slot")
+
+    def shown(self, state: ViewState) -> DataFrame:
+        """The projected rows with their slot, in no order of their own."""
+        kept = self.df.where(self.predicate(state))
+        return numbered(kept, self.order(state), "slot").withColumn("slot", F.col("slot").cast("int"))
 
     def distinct(self, i: int) -> DataFrame:
         """Distinct display texts, exact, with a key in whose order they are listed, and pos, their place (1, 2, ...) in it."""

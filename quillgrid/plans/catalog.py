@@ -51,7 +51,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     df = df.withColumn("size", size.str)
     view = TableView(df, "o_orderkey", (*ORDERS, "size"))
     state = ViewState((ValueFilter(5, ("large",)), CustomFilter(4, (Condition("equal", "1-*"),))), (Sort(3, True),))
-    return view.visual(state).join(df, "o_orderkey").select("o_orderkey", "o_totalprice", "size", "slot")
+    return view.shown(state).select("o_orderkey", "o_totalprice", "size", "slot")
 
 
 QUERIES["flagship"] = flagship
