@@ -281,6 +281,11 @@ def edit_coercion(draft: str, tag: str) -> object:
     return draft if x is None else x
 
 
+def formula_bar(draft: str, tag: str) -> tuple[str, object]:
+    """What a text in the formula bar sets: a formula after an equals sign, else the value it stands for. Only the formula bar knows formulas."""
+    return ("formula", draft[1:]) if draft.startswith("=") else ("value", edit_coercion(draft, tag))
+
+
 def edit_tag(draft: Column, tag: Column) -> Column:
     """The type of the value that a typed text stands for, given the type of what the cell holds; null clears the cell. As edit_coercion, on columns."""
     boolean = (tag == "boolean") & F.upper(F.btrim(draft)).isin("TRUE", "FALSE")

@@ -16,6 +16,8 @@ from quillgrid.plans.interpret import Cell
 from quillgrid.sources.package import Package, attribute, child, children, local, xml
 
 TRUE = ("1", "true")
+#: Fixed values of the format.
+TABLE = "application/vnd.openxmlformats-officedocument.spreadsheetml.table+xml"
 STRICT = "http://purl.oclc.org/ooxml"
 
 
@@ -177,11 +179,25 @@ class Workbook:
                 for h in e:
                     rid = next((v for k, v in h.attrib.items() if k.endswith("}id")), None)
                     out.links.append({"box": refs.parse_range(attribute(h, "ref")), "location": attribute(h, "location"), "target": external.get(rid)})
-        out.tables = [read_table(xml(self.package.part(p))) for _, p in self.package.related(sheet.part, "table")]
+        out.tables = self._tables(root, sheet)
         for _, p in self.package.related(sheet.part, "drawing"):
             out.anchors += read_anchors(xml(self.package.part(p)))
         return out
 
+    def _tables(self, root: ET.Element, sheet: Sheet) -> list[dict]:
+        """The tables that a sheet lists, each by a relationship of its own to a table part."""
+        listed = [t for e in children(root, "tableParts") for t in children(e, "tablePart")]
+        for e in children(root, "tableParts"):
+            if integer(e, "count", len(listed)) != len(listed):
+                raise SheetError("table-count", "the sheet lists another number of tables than it says")
+        known = {r.id: p for r, p in self.package.related(sheet.part, "table")}
+        ids = [next((v for k, v in t.attrib.items() if k.endswith("}id")), None) for t in listed]
+        if len(set(ids)) < len(ids) or any(i not in known for i in ids) or len({known[i] for i in ids}) < len(ids):
+            raise SheetError("table-relationship", "a table is listed twice or has no part")
+        if any(self.package.content_type(known[i]) != TABLE for i in ids):
+            raise SheetError("table-type", "a table's part has another content type")
+        return [read_table(xml(self.package.part(known[i]))) for i in ids]
+
     def _rows(self, data: ET.Element, out: Worksheet) -> None:
         row = 0
         for r in children(data, "row"):
@@ -405,44 +421,6 @@ def read_anchors(root: ET.Element) -> list[dict]:
     return out
 
 
-CHARTS = {"barChart": "bar", "lineChart": "line", "pieChart": "pie", "doughnutChart": "doughnut"}
-
-
-def read_chart(root: ET.Element) -> dict:
-    """A chart of one kind with its series; other kinds, stacks and mixes are marked unsupported."""
-    area = next((e for e in root.iter() if local(e) == "plotArea"), None)
-    plots = [e for e in area if local(e).endswith("Chart")] if area is not None else []
-    title = next((e for e in root.iter() if local(e) == "chart"), root)
-    title = child(title, "title")
-    text = "" if title is None else "".join(t.text or "" for t in title.iter() if local(t) in ("t", "v"))
-    if len(plots) != 1 or local(plots[0]) not in CHARTS:
-        return {"kind": "unsupported", "title": text, "series": []}
-    plot, kind = plots[0], CHARTS[local(plots[0])]
-    grouping = child(plot, "grouping")
-    if grouping is not None and "tacked" in attribute(grouping, "val", ""):
-        return {"kind": "unsupported", "title": text, "series": []}
-    direction = child(plot, "barDir")
-    if kind == "bar" and (direction is None or attribute(direction, "val") == "col"):
-        kind = "column"
-    series = []
-    for s in children(plot, "ser"):
-        role = lambda name, s=s: _points(child(s, name))
-        series.append({"title": _points(child(s, "tx")), "categories": role("cat"), "values": role("val")})
-    if kind in ("pie", "doughnut") and len(series) > 1 and kind == "pie":
-        return {"kind": "unsupported", "title": text, "series": []}
-    return {"kind": kind, "title": text, "series": series}
-
-
-def _points(e: ET.Element | None) -> dict:
-    if e is None:
-        return {"formula": None, "points": {}}
-    formula = next((f.text for f in e.iter() if local(f) == "f"), None)
-    points = {int(attribute(p, "idx")): (child(p, "v").text or "") for p in e.iter() if local(p) == "pt"}
-    if not points and next((v for v in e if local(v) == "v"), None) is not None:
-        points = {0: child(e, "v").text or ""}
-    return {"formula": formula, "points": points}
-
-
 PROPERTIES = ("category", "contentStatus", "created", "creator", "description", "identifier", "keywords", "language", "lastModifiedBy", "lastPrinted", "modified", "revision", "subject", "title", "version")
 W3CDTF = re.compile(r"\d{4}(-\d\d(-\d\d(T\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d))?)?)?\Z")
 

@@ -5,12 +5,14 @@ import pytest
 
 from quillgrid.errors import LimitError, SheetError
 from quillgrid.functions.refs import parse_range
-from quillgrid.operators.geometry import Pane, SparseAxis, frozen_extent
+from quillgrid.operators.geometry import Pane, SparseAxis, formula_bar, frozen_extent
 from quillgrid.operators.tableview import ViewState, check_editable
 from quillgrid.sources import demo
+from quillgrid.sources.build import table_xml
+from quillgrid.sources.chartparts import read_chart, refreshed
 from quillgrid.sources.markup import CompatibilityView, XmlEdit, edit_core_properties
 from quillgrid.sources.package import Package, XmlLimits, xml
-from quillgrid.sources.workbook import Workbook, chart_color, core_properties, resolve_color, theme_colors, theme_fonts
+from quillgrid.sources.workbook import TABLE, Workbook, chart_color, core_properties, resolve_color, theme_colors, theme_fonts
 
 
 def test_span_edits():
@@ -136,3 +138,47 @@ def test_edits_wait_for_plain_views():
     check_editable(ViewState())
     with pytest.raises(SheetError):
         check_editable(ViewState().sorted_by(1))
+
+
+C = "http://schemas.openxmlformats.org/drawingml/2006/chart"
+
+
+def chart_xml(plot, rest="", title=""):
+    return f'<c:chartSpace xmlns:c="{C}" xmlns:a="urn:a"><c:chart>{title}<c:plotArea>{plot}{rest}</c:plotArea><c:legend><c:legendPos val="tr"/><c:overlay val="1"/></c:legend></c:chart></c:chartSpace>'.encode()
+
+
+SERIES = """<c:ser><c:idx val="0"/><c:order val="1"/><c:tx><c:strRef><c:f>'Orchard 7'!F3</c:f><c:strCache><c:pt idx="0"><c:v>old</c:v></c:pt></c:strCache></c:strRef></c:tx><c:spPr><a:solidFill><a:srgbClr val="ab12cd"/></a:solidFill></c:spPr>
+<c:cat><c:strRef><c:f>'Orchard 7'!F3:F6</c:f></c:strRef></c:cat><c:val><c:numRef><c:f>'orchard 7'!$C$3:$C$6</c:f><c:numCache><c:formatCode>0.0</c:formatCode><c:ptCount val="2"/><c:pt idx="1"><c:v>7</c:v></c:pt></c:numCache></c:numRef></c:val></c:ser>"""
+
+
+def test_charts():
+    axes = '<c:valAx><c:axId val="5"/><c:scaling><c:min val="-1"/><c:max val="9.5"/></c:scaling><c:delete val="0"/><c:axPos val="b"/><c:majorGridlines/><c:title><c:tx><c:rich><a:t>A</a:t><a:t>xis</a:t></c:rich></c:tx></c:title></c:valAx>'
+    c = read_chart(xml(chart_xml(f'<c:barChart><c:barDir val="col"/><c:grouping val="clustered"/>{SERIES}</c:barChart>', axes)))
+    assert (c["kind"], c["grouping"], c["legend"]) == ("column", "clustered", {"position": "top-right", "overlay": True})
+    assert c["axes"] == [{"id": 5, "kind": "value", "position": "bottom", "title": "Axis", "gridlines": True, "min": -1.0, "max": 9.5, "deleted": False}]
+    s = c["series"][0]
+    assert (s["title"], s["fill"], s["values"]["points"], s["values"]["format"], s["line"]) == ("old", ("rgb", "#AB12CD"), {1: 7.0}, "0.0", None)
+    live = refreshed(Workbook(demo.sample()), [c])[0]["series"][0]
+    assert live["title"] == "many" and live["values"]["points"] == {0: 40.0, 1: 21.5, 3: 8.0} and live["categories"]["points"] == {0: "many", 1: "few", 2: "", 3: "few"}
+    for plot, reason in (("<c:areaChart/>", "areaChart"), ("<c:barChart/><c:lineChart/>", "several kinds in one chart"), ('<c:lineChart><c:grouping val="percentStacked"/></c:lineChart>', "percentStacked"), (f"<c:pieChart>{SERIES}{SERIES}</c:pieChart>", "several series in a pie"), ("", "no kind of chart")):
+        found = read_chart(xml(chart_xml(plot)))
+        assert (found["kind"], found["reason"]) == ("unsupported", reason) and refreshed(Workbook(demo.sample()), [found]) == [found]
+    assert read_chart(xml(chart_xml("<c:doughnutChart/>")))["hole"] == 50
+    for bad in (SERIES.replace('idx="1"', 'idx="2"'), SERIES.replace(">7<", ">x<"), SERIES.replace("ab12cd", "ab"), SERIES.replace('<c:idx val="0"/>', "")):
+        with pytest.raises(SheetError):
+            read_chart(xml(chart_xml(f"<c:lineChart>{bad}</c:lineChart>")))
+
+
+def test_formula_bar():
+    assert formula_bar("=A1+1", "number") == ("formula", "A1+1") and formula_bar("12", "number") == ("value", 12.0) and formula_bar("", "string") == ("value", None)
+
+
+def test_table_parts():
+    sheet = f'<worksheet xmlns="{demo.MAIN}" xmlns:r="{demo.REL}"><sheetData/><tableParts count="1"><tablePart r:id="t"/></tableParts></worksheet>'
+    make = lambda kind, xml_, rel="t": demo.workbook({"S": xml_}, {"/xl/tables/t.xml": (kind, table_xml(1, "T", "A1:B3", ["a", "b"]))}, {"S": f'<Relationship Id="{rel}" Type="{demo.REL}/table" Target="../tables/t.xml"/>'})
+    book = Workbook(make(TABLE, sheet))
+    assert [t["name"] for t in book.worksheet(book.sheet()).tables] == ["T"]
+    for data in (make("application/x", sheet), make(TABLE, sheet, "u"), make(TABLE, sheet.replace('count="1"', 'count="2"'))):
+        with pytest.raises(SheetError):
+            book = Workbook(data)
+            book.worksheet(book.sheet())
