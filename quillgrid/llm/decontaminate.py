@@ -6,8 +6,10 @@ a second pass every document that holds a seed is aligned with the item around i
 (match 2, other words and gaps -1) over twice the item's length is 1 for a copy and falls with edits. Both passes only map: documents are never
 shuffled. Test items are taken in blocks of BLOCK_ITEMS, so what the tasks get has a bound.
 
-Defined results: null texts and items of fewer than SEED words match nothing; equal ids give rows of their own; equal items all match;
-a document has at most one row for an item and window of it (best first); empty tables give an empty result; other columns are ignored.
+An item of fewer than SEED words is its own seed. Where a window holds several copies of an item, what lies before and after the best one is aligned again, so each gives a row.
+
+Defined results: null texts and items without words match nothing; equal ids give rows of their own; equal items all match; of alignments that score alike the first one counts;
+texts of any length are searched whole; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,9 +54,10 @@ class Seeds:
         h, _, _, doc = words(np.frombuffer(raw, np.uint8), offsets, wordy=True)
         self.ids, self.items = ids, [h[doc == i] for i in range(len(texts))] if len(texts) < 50 else np.split(h, np.searchsorted(doc, np.arange(1, len(texts))))
         grams, item, at = [], [], []
+        self.widths = sorted({SEED} | {min(len(w), SEED) for w in self.items if len(w)})
         for i, w in enumerate(self.items):
-            if len(w) >= SEED:
-                g, _ = shingles(w, np.zeros(len(w), np.int64), 1, SEED)
+            if len(w):
+                g, _ = shingles(w, np.zeros(len(w), np.int64), 1, min(len(w), SEED))
                 grams.append(g)
                 item.append(np.full(len(g), i))
                 at.append(np.arange(len(g)))
@@ -89,32 +92,49 @@ class Seeds:
         return where[ok], i[ok]
 
 
-def documents(batches):
-    """Ids, words' hashes, and n-grams of slices of documents, with offsets of both."""
+def documents(batches, seeds: Seeds):
+    """Ids, words' hashes and their offsets of slices of documents, and for each n-gram that is a seed: document, place in it, and which seed."""
     for batch in batches:
         ids = batch.column(0).to_pylist()
         raw, offsets, _ = texts_of(batch.column(1))
         for a, b in slices(offsets, SLICE):
             h, _, _, doc = words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], wordy=True)
-            s, s_at = shingles(h, doc, b - a, SEED)
-            yield ids[a:b], h, np.searchsorted(doc, np.arange(b - a + 1)), s, s_at
-
-
-def leaks_of(seeds: Seeds, h, h_at, s, s_at, threshold: float):
+            found = []
+            for width in seeds.widths:
+                s, s_at = shingles(h, doc, b - a, width)
+                where, gram = seeds.hits(s)
+                of = np.searchsorted(s_at, where, "right") - 1
+                found.append((of, where - s_at[of], gram))
+            yield ids[a:b], h, np.searchsorted(doc, np.arange(b - a + 1)), *(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def passages(item: np.ndarray, text: np.ndarray, threshold: float):
+    """Score, begin and end of the copies of an item in a text, the best one of each stretch first."""
+    stretches = [(0, len(text))]
+    while stretches:
+        lo, hi = stretches.pop()
+        if hi <= lo:
+            continue
+        score, end = align(item, text[lo:hi])
+        if score >= threshold * 2 * len(item):
+            _, back = align(item[::-1], text[lo : lo + end][::-1])
+            yield score / (2 * len(item)), lo + end - back, lo + end
+            stretches += [(lo, lo + end - back), (lo + end, hi)]
+
+
+def leaks_of(seeds: Seeds, h, h_at, of, place, gram, threshold: float):
     """document, item, score, begin and end of every leak in a slice."""
-    where, gram = seeds.hits(s)
-    if not len(where):
+    if not len(gram):
         return
     n = seeds.last[gram] - seeds.first[gram]
     post = np.repeat(seeds.first[gram], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    doc = np.repeat(np.searchsorted(s_at, where, "right") - 1, n)
-    item = seeds.item[post]
-    diagonal = np.repeat(where, n) - s_at[doc] - seeds.at[post]
+    doc, item = np.repeat(of, n), seeds.item[post]
+    diagonal = np.repeat(place, n) - seeds.at[post]
     order = np.lexsort((diagonal, item, doc))
     doc, item, diagonal = doc[order], item[order], diagonal[order]
     new = np.ones(len(doc), bool)
-    pads = np.array([len(w) // 2 + 4 for w in seeds.items])
     sizes = np.array([len(w) for w in seeds.items])
+    pads = sizes // 2 + 4
     same = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1])
     new[1:] = ~(same & (diagonal[1:] - diagonal[:-1] <= (sizes + 2 * pads)[item[1:]]))
     begin = np.flatnonzero(new)
@@ -123,10 +143,8 @@ def leaks_of(seeds: Seeds, h, h_at, s, s_at, threshold: float):
         mine = h[h_at[d] : h_at[d + 1]]
         lo = max(0, int(diagonal[i]) - pads[k])
         hi = min(len(mine), int(diagonal[j]) + sizes[k] + pads[k])
-        score, end = align(seeds.items[k], mine[lo:hi])
-        if score >= threshold * 2 * sizes[k]:
-            _, back = align(seeds.items[k][::-1], mine[lo : lo + end][::-1])
-            yield d, seeds.ids[k], score / (2 * sizes[k]), lo + end - back, lo + end
+        for score, first, end in passages(seeds.items[k], mine[lo:hi], threshold):
+            yield d, seeds.ids[k], score, lo + first, lo + end
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -146,9 +164,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         def count(batches, load=load):
             known = load()
             total = np.zeros(len(known.grams), np.int64)
-            for ids, _, _, s, s_at in documents(batches):
-                where, gram = known.hits(s)
-                pairs = np.unique(gram * np.int64(len(ids)) + np.searchsorted(s_at, where, "right") - 1)
+            for ids, _, _, of, _, gram in documents(batches, known):
+                pairs = np.unique(gram * np.int64(len(ids)) + of)
                 total += np.bincount(pairs // len(ids), minlength=len(total))
             full = np.flatnonzero(total)
             yield table({"gram": pa.int64(), "n": pa.int64()}, [full, total[full]])
@@ -161,8 +178,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
         def search(batches, load=load):
             chosen = load()
-            for ids, h, h_at, s, s_at in documents(batches):
-                found = [(ids[d], item, score, int(b), int(e)) for d, item, score, b, e in leaks_of(chosen, h, h_at, s, s_at, threshold)]
+            for ids, *found in documents(batches, chosen):
+                found = [(ids[d], item, score, int(b), int(e)) for d, item, score, b, e in leaks_of(chosen, *found, threshold)]
                 if found:
                     yield table(LEAK_ARROW, list(zip(*found, strict=True)))
 

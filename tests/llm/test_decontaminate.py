@@ -55,3 +55,10 @@ def test_blocks_and_empty(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()) == [(i, i) for i in range(7)]
     assert decontaminate.find_leaks(df, bench.limit(0)).collect() == []
     assert decontaminate.find_leaks(df.limit(0), bench).collect() == []
+
+
+def test_short_items_and_several_copies(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six"), (2, "Zebra"), (3, "green moon")], "item_id long, text string")
+    rows = [(1, "one two three four five six one two three four five six and more"), (2, "a zebra, here"), (3, "a green moon"), (4, "green and moon and no such thing"), (5, "zebras"), (None, "zebra"), (6, "w " * 30000 + "one two three four five six")]
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.begin_word, r.end_word) for r in got if r.score == 1) == [("1", 1, 0, 6), ("1", 1, 6, 12), ("2", 2, 1, 2), ("3", 3, 1, 3), ("6", 1, 30000, 30006), ("None", 2, 0, 1)]
