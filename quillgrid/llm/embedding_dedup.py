@@ -5,16 +5,20 @@ least, so codes are balanced; ROTATIONS of them start from different random rota
 some chunk their codes differ in at most one bit: every vector is posted once under each chunk and looked up under the chunk and all its one-bit neighbours.
 Candidates within MOST_BITS of each other's whole code are compared by cosine in double precision. Equal vectors of a label are one class before all this.
 
-Chunks get longer with the number of vectors (at least 8 bits), so that lists stay short.
+Chunks get longer with the number of vectors (at least 8 bits), so that lists stay short; bits that don't make a whole chunk make no table. There are as many rotations
+as it takes for a pair just at the threshold to meet in some chunk with a chance of RECALL, whatever the length of chunks, if each of its bits differs with the chance that a random plane parts it.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors with a null label, link with nothing; vectors of different length do not link; rows with
-an equal id are a row each, and one vertex; a null id is linked with nothing and kept; an empty table gives an empty result; other columns are ignored.
+an equal id are a row each, and one vertex; a null id is linked with nothing and kept; vectors of any length are compared whole; ties go to the smallest id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,18 +27,30 @@ from quillgrid.llm.graph import components
 from quillgrid.llm.store import table
 
 SAMPLE, ROTATIONS, ROUNDS, MOST_BITS = 4096, 2, 30, 22
+LEAST_WIDTH, MOST_WIDTH, RECALL = 8, 30, 0.97
+
+
+def vectors_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Each list as the bytes of doubles, null where it can't be compared, and its length."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks)
+    n = len(column)
+    offsets = np.asarray(column.offsets.to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = np.ascontiguousarray(column.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).astype(np.float64))
+    offsets = offsets - offsets[0]
+    count = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags)))[offsets])
+    ok = (count(~np.isfinite(flat)) == 0) & (count(flat != 0) > 0) & ~np.asarray(column.is_null().to_numpy(zero_copy_only=False), bool)
+    whole = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets * 8), pa.py_buffer(flat)])
+    return pc.if_else(pa.array(ok), whole, pa.scalar(None, pa.large_binary())).cast(pa.binary()), np.diff(offsets)
 
 
-def vectors_of(column: pa.Array) -> list[np.ndarray | None]:
-    """Each list as doubles, or None where it can't be compared."""
-    out = []
-    for x in column:
-        if not x.is_valid or not len(x) or x.values.null_count:
-            out.append(None)
-            continue
-        v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        out.append(v if np.isfinite(v).all() and (v != 0).any() else None)
-    return out
+def tables_of(width: int, bits: int, cosine: float) -> list[tuple[int, int, int]]:
+    """Rotation, first bit and width of each table."""
+    cuts = [(a, width) for a in range(0, bits - width + 1, width)] or [(0, bits)]
+    p, w = math.acos(cosine) / math.pi, cuts[0][1]
+    met = (1 - p) ** w + w * p * (1 - p) ** (w - 1)
+    rotations = max(ROTATIONS, math.ceil(math.log(1 - RECALL) / math.log(1 - min(met, 1 - 1e-9)) / len(cuts)))
+    return [(r, a, w) for r in range(rotations) for a, w in cuts]
 
 
 class Quantiser:
@@ -75,8 +91,8 @@ def similar_vectors(embeddings: DataFrame, vec_id: str = "vec_id", embedding: st
 
     def encode(batches):
         for batch in batches:
-            v = vectors_of(batch.column(1))
-            yield table({"vec_id": pa.int64(), "label": pa.string(), "v": pa.binary(), "dim": pa.int32()}, [batch.column(0), batch.column(2), [None if x is None else x.astype("<f8").tobytes() for x in v], [None if x is None else len(x) for x in v]])
+            v, dim = vectors_of(batch.column(1))
+            yield table({"vec_id": pa.int64(), "label": pa.string(), "v": pa.binary(), "dim": pa.int32()}, [batch.column(0), batch.column(2), v, dim])
 
     every = work.save(rows.mapInArrow(encode, "vec_id long, label string, v binary, dim int"))
     usable = every.where("v IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL")
@@ -101,22 +117,23 @@ def similar_vectors(embeddings: DataFrame, vec_id: str = "vec_id", embedding: st
 def _pairs(spark, classes: DataFrame, count: int, cosine: float, work) -> DataFrame:
     """Pairs (a, b), a < b, of class representatives that the tables find and whose cosine is large enough."""
     sample = classes.orderBy(F.xxhash64("v", "label")).limit(SAMPLE).select("v").collect()
-    quantiser = Quantiser(np.stack([unit(np.frombuffer(r["v"], "<f8")) for r in sample]))
-    load = store.ship(spark, quantiser)
-    width = int(np.clip(np.ceil(np.log2(max(2, count))), 8, 21))
-    cuts = [(a, min(width, quantiser.bits - a)) for a in range(0, quantiser.bits, width)]
+    sample = np.stack([unit(np.frombuffer(r["v"], "<f8")) for r in sample])
+    width = int(np.clip(np.ceil(np.log2(max(2, count))), LEAST_WIDTH, MOST_WIDTH))
+    tables = tables_of(width, min(64, sample.shape[1]), cosine)
+    rotations = tables[-1][0] + 1
+    load = store.ship(spark, Quantiser(sample, rotations))
 
     def code(batches):
         learned = load()
         for batch in batches:
             if batch.num_rows:
-                x = np.stack([unit(np.frombuffer(v.as_buffer(), "<f8")) for v in batch.column(2)])
-                codes = learned.codes(x)
+                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(batch.num_rows, -1)
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                codes = learned.codes(x / np.sqrt((x * x).sum(axis=1, keepdims=True)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(codes), pa.list_(pa.int64()))], names=["rep", "label", "codes"])
 
     coded = work.save(classes.select("rep", "label", "v").mapInArrow(code, "rep long, label string, codes array<long>"))
     key = lambda r, a, w: F.shiftrightunsigned(F.element_at("codes", r + 1), a).bitwiseAND(F.lit((1 << w) - 1))
-    tables = [(r, a, w) for r in range(ROTATIONS) for a, w in cuts]
     posted = F.explode(F.array(*[F.struct(F.lit(i).alias("table"), key(*t).alias("key")) for i, t in enumerate(tables)])).alias("p")
 
     def near_keys(i, r, a, w):
@@ -126,7 +143,7 @@ def _pairs(spark, classes: DataFrame, count: int, cosine: float, work) -> DataFr
     probes = F.explode(F.concat(*[near_keys(i, *t) for i, t in enumerate(tables)])).alias("p")
     left = coded.select(F.col("rep").alias("a"), "label", F.col("codes").alias("codes_a"), posted).select("a", "label", "codes_a", "p.*")
     right = coded.select(F.col("rep").alias("b"), "label", F.col("codes").alias("codes_b"), probes).select("b", "label", "codes_b", "p.*")
-    bits = F.least(*[F.bit_count(F.element_at("codes_a", r + 1).bitwiseXOR(F.element_at("codes_b", r + 1))) for r in range(ROTATIONS)])
+    bits = F.least(*[F.bit_count(F.element_at("codes_a", r + 1).bitwiseXOR(F.element_at("codes_b", r + 1))) for r in range(rotations)])
     near = left.join(right, ["label", "table", "key"]).where(F.col("a") < F.col("b")).where(bits <= MOST_BITS).select("a", "b").distinct()
     v = classes.select("rep", "v")
 

@@ -51,3 +51,24 @@ def test_repeated_null_and_empty(spark):
     assert embedding_dedup.similar_vectors(spark.createDataFrame([], schema)).collect() == []
     got = embedding_dedup.similar_vectors(spark.createDataFrame([(1, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [2.0, 4.0], 1), (3, [1.0, 2.0, 3.0], 1), (None, [1.0, 2.0], 1)], schema)).collect()
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == [("1", 1, "1", True), ("1", 1, "1", True), ("2", 1, "1", False), ("3", 0, "3", True), ("None", 0, "None", True)]
+
+
+def test_recall_at_every_width():
+    """Pairs just at the threshold meet in some table, for chunks as long as 100 to a thousand million vectors make them."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(100_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(2000, 64))
+    y -= (y * x[:2000]).sum(axis=1, keepdims=True) * x[:2000]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = 0.93 * x[:2000] + np.sqrt(1 - 0.93**2) * y
+    for width in (8, 13, 16, 17, 20, 24, 30):
+        tables = embedding_dedup.tables_of(width, 64, 0.93)
+        assert all(w == width for _, _, w in tables)
+        quantiser = embedding_dedup.Quantiser(x[: embedding_dedup.SAMPLE], tables[-1][0] + 1)
+        differ = (quantiser.codes(x[:2000]) ^ quantiser.codes(y)).view(np.uint64)
+        met = np.zeros(2000, bool)
+        for r, a, w in tables:
+            met |= np.bitwise_count((differ[:, r] >> np.uint64(a)) & np.uint64((1 << w) - 1)) <= 1
+        met &= np.bitwise_count(differ).min(axis=1) <= embedding_dedup.MOST_BITS
+        assert met.mean() > 0.93, width
