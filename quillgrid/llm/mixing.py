@@ -8,7 +8,7 @@ period is scheduled, in one row of bounded size, and every block finds its slot
 The stream ends when every source has been through once: no row is lost, and sources that run out before go round again (epochs 1, 2, ...).
 
 Defined results: null sources are a source of their own; a null id sorts first; rows with an equal id or equal rows are rows of their own; sources without a given weight
-have weight 1; an empty table gives an empty result; columns of the input are kept, also those called like a column of the result.
+have weight 1; an empty table gives an empty result; texts of any length go as they are; columns of the input are kept, but for those called like a column of the result, which the result has anew (a caller that needs them packs them into a struct).
 """
 
 from __future__ import annotations
@@ -17,22 +17,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, SLOTS, POWER = 16, 1000, 0.8
+RESULT = ("epoch", "block", "slot", "position")
 #: Rows of the source table up to which it is broadcast.
 BROADCAST_SOURCES = 20_000
 
 
+#: Sources that a number in the schedule has room for.
+MOST_SOURCES = 1 << 20
+
+
 def schedule(weights: Column) -> Column:
-    """For an array of integer weights, the index of the source that each slot of a period goes to, by earliest deadline first."""
+    """For an array of integer weights, the index of the source that each slot of a period goes to, by earliest deadline first.
+
+    Releases and slots are sorted into one list of events; a fold over it keeps the released blocks that wait, as numbers in the order of deadline and source."""
+    slot = F.lit((1 << 63) - 1)
+    start = F.struct(F.array().cast("array<long>").alias("waiting"), F.array().cast("array<int>").alias("out"))
+
+    def step(state, event):
+        served = lambda w: F.struct(F.slice(w, 2, F.size(w)).alias("waiting"), F.concat(state["out"], F.array((w[0] % MOST_SOURCES).cast("int"))).alias("out"))
+        released = F.struct(F.concat(state["waiting"], F.array(event["key"])).alias("waiting"), state["out"].alias("out"))
+        return F.when(event["key"] == slot, once(F.sort_array(state["waiting"]), served)).otherwise(released)
+
+    def fold(known):
+        period = known["period"]
+
+        def blocks(a, i):
+            due = lambda k: F.ceil((k + 1) * period / a).cast("long") * MOST_SOURCES + i
+            return F.transform(F.sequence(F.lit(0).cast("long"), a - 1), lambda k: F.struct(F.floor(k * period / a).cast("long").alias("t"), due(k).alias("key")))
+
+        slots = F.transform(F.sequence(F.lit(0).cast("long"), period - 1), lambda t: F.struct(t.alias("t"), slot.alias("key")))
+        events = F.sort_array(F.concat(F.flatten(F.transform(known["weights"], blocks)), slots))
+        return F.aggregate(events, start, step, lambda s: s["out"])
+
     period = F.aggregate(weights, F.lit(0).cast("long"), lambda s, x: s + x)
-    zero = F.struct(F.transform(weights, lambda _: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("out"))
+    return once(F.struct(weights.alias("weights"), period.alias("period")), fold)
 
-    def step(state, t):
-        ready = F.transform(F.arrays_zip(state["done"].alias("k"), weights.alias("a")), lambda x, i: F.struct(
-            F.when(x["k"] * period < (t + 1) * x["a"], F.ceil((x["k"] + 1) * period / x["a"])).alias("due"), i.alias("i")))
-        pick = F.array_min(F.filter(ready, lambda x: x["due"].isNotNull()))["i"]
-        return F.transform(F.array(pick), lambda p: F.struct(F.transform(state["done"], lambda k, i: k + F.when(i == p, 1).otherwise(0)).alias("done"), F.concat(state["out"], F.array(p)).alias("out")))[0]
 
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), period - 1), zero, step, lambda s: s["out"])
+def once(value: Column, f) -> Column:
+    """f(value), with value computed once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def plan(docs: DataFrame, source: str, weights: dict[str | None, int] | None = None, block: int = BLOCK, slots: int = SLOTS, power: float = POWER) -> DataFrame:
@@ -49,10 +72,11 @@ def plan(docs: DataFrame, source: str, weights: dict[str | None, int] | None = N
         a = F.coalesce(*known, F.lit(1)).cast("long")
     counts = counts.withColumn("__a", a).withColumn("__blocks", F.ceil(F.col("__rows") / block).cast("long"))
     listed = counts.groupBy().agg(F.sort_array(F.collect_list(F.struct("__source", "__a", "__blocks"))).alias("list")).where(F.size("list") > 0)
-    listed = listed.withColumn("slot_of", schedule(F.transform("list", lambda x: x["__a"])))
-    each = listed.select(F.posexplode("list").alias("i", "s"), "slot_of")
-    at = F.transform(F.filter(F.transform("slot_of", lambda x, t: F.struct(x.alias("x"), t.cast("long").alias("t"))), lambda y: y["x"] == F.col("i")), lambda y: y["t"])
-    each = each.select("s.*", F.size("slot_of").cast("long").alias("__period"), at.alias("__slots"))
+    # exploded, as a projection would be merged with the next one and compute the schedule for every slot again
+    listed = listed.select("list", F.explode(F.array(schedule(F.transform("list", lambda x: x["__a"])))).alias("slot_of"))
+    named = F.transform("slot_of", lambda x, t: F.struct(t.cast("long").alias("t"), F.size("slot_of").cast("long").alias("__period"), F.element_at("list", x + 1).alias("s")))
+    taken = listed.select(named.alias("named")).select(F.explode("named").alias("e")).select("e.*")
+    each = taken.groupBy("s", "__period").agg(F.sort_array(F.collect_list("t")).alias("__slots")).select("s.*", "__period", "__slots")
     last = slot_of_block(F.col("__blocks") - 1)
     end = F.max(last).over(Window.partitionBy())
     within = F.size(F.filter("__slots", lambda t: t <= F.col("end") % F.col("__period")))
@@ -66,16 +90,17 @@ def slot_of_block(q: Column) -> Column:
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights: dict[str | None, int] | None = None, block: int = BLOCK, slots: int = SLOTS, power: float = POWER) -> DataFrame:
     """The rows of docs, each as often as the schedule takes its block, with columns epoch, block, slot and position (of the row in the mixed stream)."""
     sources = plan(docs, source, weights, block, slots, power)
+    # the input travels in a struct, so that its names can't clash with those in use here;
     # a key that is never null, so that numbering and both joins share one shuffle
     name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+    others = F.xxhash64(*[F.col(c) for c in docs.columns])
     # a source's order is that of the hash, so its rows are numbered in small groups of equal hash prefix
-    keyed = docs.withColumns({"__source": name(F.col(source).cast("string")), "__key": key, "__part": F.substring(key, 1, 3)})
-    parts = keyed.groupBy("__source", "__part").agg(F.count("*").alias("__n"))
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), name(F.col(source).cast("string")).alias("__source"), key.alias("__key"), F.substring(key, 1, 3).alias("__part"), F.col(doc_id).alias("__id"), others.alias("__others"))
+    parts = docs.select(name(F.col(source).cast("string")).alias("__source"), F.substring(key, 1, 3).alias("__part")).groupBy("__source", "__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("__source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("__source", "__part", before.alias("__before"))
-    others = [F.xxhash64(*[F.col(c) for c in docs.columns])]
-    nth = F.row_number().over(Window.partitionBy("__source", "__part").orderBy("__key", doc_id, *others)) - 1
+    nth = F.row_number().over(Window.partitionBy("__source", "__part").orderBy("__key", "__id", "__others")) - 1
     rows = keyed.withColumn("__nth", nth).join(parts, ["__source", "__part"])
     sources = sources.withColumn("__source", name(F.col("__source")))
     rows = rows.join(F.broadcast(sources) if sources_bounded(docs, source) else sources, "__source")
@@ -84,7 +109,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights
     epochs = F.floor((F.col("__total") - 1 - F.col("__block")) / F.col("__blocks"))
     rows = rows.withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs)))
     rows = rows.withColumn("__slot", slot_of_block(F.col("__block") + F.col("__epoch") * F.col("__blocks")))
-    return rows.select(*docs.columns, F.col("__epoch").alias("epoch"), F.col("__block").alias("block"), F.col("__slot").alias("slot"), (F.col("__slot") * block + F.col("__rank") % block).alias("position"))
+    kept = [F.col("__row")[c].alias(c) for c in docs.columns if c not in RESULT]
+    return rows.select(*kept, F.col("__epoch").alias("epoch"), F.col("__block").alias("block"), F.col("__slot").alias("slot"), (F.col("__slot") * block + F.col("__rank") % block).alias("position"))
 
 
 def sources_bounded(docs: DataFrame, source: str) -> bool:

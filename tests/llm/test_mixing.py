@@ -49,3 +49,11 @@ def test_mix(spark):
 
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string")).collect() == []
+
+
+def test_many_sources(spark):
+    n = 3000
+    df = spark.range(4 * n).selectExpr("id AS doc_id", f"CAST(id % {n} AS STRING) AS source", "'x' AS slot", "1 AS __row")
+    got = mixing.mix(df, block=1).collect()
+    assert len({r.position for r in got}) == len(got) >= 4 * n and {r.doc_id for r in got} == set(range(4 * n))
+    assert got[0].asDict().keys() == {"doc_id", "source", "__row", "epoch", "block", "slot", "position"}
