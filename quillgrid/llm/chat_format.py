@@ -7,7 +7,7 @@ their running sum gives each segment's place, and numpy scatters headers and con
 The loss mask covers the text of assistant turns.
 
 Turns of a conversation are ordered by turn, role and text (nulls first). Defined results: a null text or role is empty; a null id is
-one conversation; repeated rows are repeated turns; an empty table gives an empty result; other columns are ignored.
+one conversation; repeated rows are repeated turns; texts of any length are whole, and turns that tie in all three go in any order, as they are equal; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ that a sample holds; phrases times log2 of the sample's size, over the text's le
 with the least wins. Texts are parsed in lanes of LANE bytes side by side, a numpy step for a byte of all lanes.
 
 The automata come from a bounded sample (parameters SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES, TOTAL_BYTES) of the labelled
-training rows, picked by a hash; every text is parsed whole.
+training rows, picked by a hash; every text is parsed whole, however long.
 
 Defined results: a null text or one without a letter is `und` with score 0; ties go to the first language in byte order; without any labelled
 training row every text is `und`; an empty table gives an empty result; other columns are ignored. A null id is never held out, and trains nothing.
@@ -68,6 +68,7 @@ class CrossParser:
     def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
         folded = {lang: FOLD[np.frombuffer(samples[lang], np.uint8)] for lang in self.languages}
+        self.samples = {lang: x.tobytes() for lang, x in folded.items()}
         seen = np.unique(np.concatenate([*folded.values(), np.zeros(0, np.uint8)]))
         self.width = len(seen) + 1
         self.codes = np.zeros(256, np.int32)
@@ -149,11 +150,12 @@ def fit(docs: DataFrame, doc_id: str, text: str, lang: str, folds: int, fold: in
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, fold: int = 0, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row, after the columns named in carry."""
+    """doc_id, held_out, lang_pred and score of every row, after the columns named in carry; those called like a column of the result are left out (pack them into a struct to keep them)."""
     spark = docs.sparkSession
     load = ship(spark, fit(docs, doc_id, text, lang, folds, fold))
-    carry = carry or []
-    kept = docs.select(F.col(text).cast("string").alias("__text"), F.col(doc_id).cast("long").alias("__id"), *carry)
+    carry = [c for c in carry or [] if c not in ("held_out", "lang_pred", "score")]
+    # the carried columns travel in a struct, so that their names can't clash
+    kept = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("id"), F.struct(F.lit(0).alias("_0"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("carry"))
 
     def run(batches):
         parser = load()
@@ -162,9 +164,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
             for a, b in slices(offsets, SLICE):
                 pred, score = parser.predict(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], null[a:b])
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(1, part.num_columns)] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names[1:], "__lang", "__score"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["id", "carry", "lang_pred", "score"])
 
-    schema = kept.drop("__text").schema.add("__lang", "string").add("__score", "double")
-    out = kept.mapInArrow(run, schema)
-    held = F.coalesce(fold_of(F.col("__id"), folds) == fold, F.lit(False))
-    return out.select(*carry, *([] if doc_id in carry else [F.col("__id").alias(doc_id)]), held.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    out = kept.mapInArrow(run, kept.drop("text").schema.add("lang_pred", "string").add("score", "double"))
+    held = F.coalesce(fold_of(F.col("id"), folds) == fold, F.lit(False))
+    return out.select(*[F.col("carry")[f"c{i}"].alias(c) for i, c in enumerate(carry)], *([] if doc_id in carry else [F.col("id").alias(doc_id)]), held.alias("held_out"), "lang_pred", "score")

@@ -7,7 +7,7 @@ without a payload. The reader groups continuation records by origin identifier,
 missing and that they make up the total length, and decodes the chunks. Archives are rows of about ARCHIVE bytes, each a whole .warc.gz stream of one member per record.
 
 Defined results: a null payload is empty; a null url is an empty target; rows with an equal id are records of their own; a null id is a response that no
-revisit refers to unless it is alone; an empty table gives no archive; other columns are ignored.
+revisit refers to unless it is alone; payloads of any length are whole; of equal payloads under one id any row may be the response; an empty table gives no archive; other columns are ignored.
 """
 
 from __future__ import annotations
