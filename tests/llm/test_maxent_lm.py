@@ -65,3 +65,55 @@ def test_table_grows_with_distinct_features():
     assert sizes[0] == sizes[1] == maxent_lm.TABLE and sizes[2] < sizes[3] < sizes[4]
     hashes = np.random.default_rng(1).integers(0, 1 << 64, 50_000, np.uint64)
     assert abs(maxent_lm.distinct_of(maxent_lm.least(np.concatenate([hashes, hashes]))) / 50_000 - 1) < 0.25
+
+
+def some_text():
+    rng = random.Random(9)
+    follow = {"the": ["cat", "dog", "bird"], "a": ["house", "tree"], "cat": ["sleeps", "eats"], "dog": ["barks", "eats"], "bird": ["sings"], "house": ["stands"], "tree": ["stands", "grows"]}
+    rows = []
+    for d in range(400):
+        words = []
+        while len(words) < 60:
+            w = rng.choice(["the", "a"])
+            while w:
+                words.append(w)
+                w = rng.choice(follow[w]) if w in follow else None
+        rows.append((d, " ".join(words)))
+    return rows
+
+
+def test_scores_depend_on_the_rows_alone(spark):
+    rows = some_text() + [(5, "the cat"), (None, "the dog"), (None, None)]
+    score = lambda df: sorted((str(r.doc_id), r.n_tokens, r.score) for r in maxent_lm.score(df).collect())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    random.Random(1).shuffle(rows)
+    assert score(df.repartition(2)) == score(spark.createDataFrame(rows, "doc_id long, text string").repartition(9))
+
+
+def test_words_are_learned_within_classes(spark):
+    # words of one class follow different words: shares of a class alone can't tell them apart
+    got = [r for r in maxent_lm.score(spark.createDataFrame(some_text(), "doc_id long, text string")).collect() if r.held_out]
+    text = dict(some_text())
+    count = Counter(w for d, t in some_text() if zlib.crc32(str(d).encode()) % 7 != 2 for w in tokens(t))
+    of = {w: int(maxent_lm.class_of(np.array([n]))[0]) for w, n in count.items()}
+    mass = Counter()
+    for w, n in count.items():
+        mass[of[w]] += n
+    # a model that knew each token's class for certain, but only shares of words within it
+    share = sum(math.log10(count[w] / mass[of[w]]) for r in got for w in tokens(text[r.doc_id]))
+    assert sum(r.score for r in got) > share
+    assert sum(r.score for r in got) > 0.75 * sum(r.base_score for r in got)
+
+
+def test_subclasses_share_all_of_a_class():
+    mass = np.array([[0.0, 5, 0, 3], [0, 0, 0, 0]])
+    share = np.where(mass > 0, maxent_lm.log_share(mass, 0), np.float32(-1e4))
+    assert np.allclose(np.exp(share[0]), [0, 5 / 8, 0, 3 / 8])
+
+
+def test_null_ids_and_long_texts(spark):
+    rows = [(None, "a b"), (None, None), (1, "word " * 400_000), (2, "x" * 3_000_000), (3, "a b")]
+    got = maxent_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == [("1", 400_001), ("2", 2), ("3", 3), ("None", 1), ("None", 3)]
+    held = {str(r.doc_id): r.held_out for r in got}
+    assert held["None"] == (zlib.crc32(b"") % 7 == 2) and all(np.isfinite([r.score, r.base_score]).all() for r in got)
