@@ -233,12 +233,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     postings = shared.select("rep", "n_shingles", (N_HASHES - F.size("shared")).alias("alone"), F.explode(rarest).alias("t"))
     postings = work.save(postings.select("rep", "n_shingles", "alone", F.col("t.token").alias("token")))
     work.drop(frequent)
+    work.clean()
 
     def linked(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
         items = work.save(sets_table(docs, reps, ends, width, rows), compression="none")
         found = confirm(pairs, items, similarity, work)
         work.drop(items)
+        work.clean()
         return found
 
     def apart(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -270,6 +272,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not members.isEmpty():
         label = components(settle(members, left, similarity, work), work, label)
     work.drop(left)
+    work.clean()
 
     named = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(*key, "doc", F.coalesce("component", "rep").alias("component"))
     named = work.save(named)

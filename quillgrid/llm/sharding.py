@@ -105,9 +105,12 @@ def hashed_shard(doc_id: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("old")), F.lit(shards)).cast("int")
 
 
-def numbered(docs: DataFrame, old_shard: Column, doc_id: str, text: str, work) -> tuple[DataFrame, DataFrame]:
+def numbered(docs: DataFrame, old_shard: Column, doc_id: str, text: str, work, copy: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows with a number of their own (__row) and the input in a struct, and the facts that place them."""
-    rows = work.save(docs.select(F.monotonically_increasing_id().alias("__row"), old_shard.cast("int").alias("old_shard"), F.struct(*docs.columns).alias("doc")))
+    saved = store.numbered(docs, work, old_shard.cast("int").alias("old_shard"), copy=copy)
+    rows = saved.select(F.col("n").alias("__row"), "old_shard", F.col("row").alias("doc"))
+    if hasattr(saved, "saved_path"):
+        rows.saved_path = saved.saved_path
     text = F.col("doc")[text].cast("string")
     return rows, rows.select(
         "__row",
@@ -173,7 +176,7 @@ def old_shards(doc_id: str, old_shard: Column | None) -> Column:
 def reshard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", old_shard: Column | None = None, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, old_shard, shard and slot (0, 1, ... within the shard) of every row. old_shard is where rows lie now; without it, a hash over OLD_SHARDS."""
     work = store.Work(docs.sparkSession, "reshard")
-    rows, facts = numbered(docs.select(doc_id, text), old_shards(doc_id, old_shard), doc_id, text, work) if old_shard is None else numbered(docs, old_shard, doc_id, text, work)
+    rows, facts = numbered(docs, old_shards(doc_id, old_shard), doc_id, text, work)
     facts = work.save(facts)
     work.drop(rows)
     return Placement(facts, shards, work).place(facts).select(*COLUMNS)
@@ -214,7 +217,8 @@ def reshard_files(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", o
     """Assigns rows as reshard does, writes the changed shards (under path, else in the shared folder) and gives the columns of reshard as the files have them; rows of unchanged shards stay as they are."""
     spark = docs.sparkSession
     work = store.Work(spark, "shards")
-    rows, facts = numbered(docs, old_shards(doc_id, old_shard), doc_id, text, work)
+    # the files under path may be those that docs is read from
+    rows, facts = numbered(docs, old_shards(doc_id, old_shard), doc_id, text, work, copy=path is not None)
     facts = work.save(facts)
     where = Placement(facts, shards, work)
     if not where.changed:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Raw text bytes of a chunk; a longer document is a chunk of its own.
@@ -49,7 +49,7 @@ class Work:
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables of save() that no later step reads."""
         jvm = self.spark._jvm
-        for t in tables:
+        for t in (t for t in tables if hasattr(t, "saved_path")):
             p = jvm.org.apache.hadoop.fs.Path(t.saved_path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -62,6 +62,25 @@ class Work:
             time.sleep(0.05)
 
 
+#: Bits of a row's number that tell its place in its file.
+FILE_ROWS = 40
+
+
+def numbered(docs: DataFrame, work: Work, *more, copy: bool = False) -> DataFrame:
+    """Every row in a struct column row, with a number of its own in n (and the columns in more): ids may be null or come again.
+
+    A table that is read from files as it is has its rows numbered by file and place, in the order of the files' names; anything else is written once with numbers, and with copy a table of files too (as its files may be replaced)."""
+    row = F.struct(*docs.columns).alias("row")
+    if copy or docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not docs.inputFiles():
+        return work.save(docs.select(F.monotonically_increasing_id().alias("n"), row, *more))
+    path = F.col("_metadata.file_path").alias("path")
+    files = docs.select(path).distinct()
+    # a row for each file
+    files = work.save(files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("file")))
+    rows = docs.select(path, F.col("_metadata.row_index").alias("at"), row, *more)
+    return rows.join(F.broadcast(files), "path").select((F.shiftleft("file", FILE_ROWS) + F.col("at")).alias("n"), "row", *[F.col(name) for name in rows.columns[3:]])
+
+
 def lean() -> None:
     """Makes this worker give large arrays back to the system as soon as they are free, and what Arrow holds unused."""
     libc = ctypes.CDLL(None)

@@ -2,7 +2,7 @@ import itertools
 import random
 import zlib
 
-from quillgrid.llm import sharding
+from quillgrid.llm import sharding, store
 
 
 def test_reshard(spark):
@@ -91,3 +91,25 @@ def test_files_hold_every_row_once(spark, tmp_path):
     assert sorted(r.text for r in files) == sorted(t for _, t, _ in rows[10:])
     where = {(r.shard, r.slot): r.text_crc32 for r in got}
     assert all(where[r.shard, r.slot] == zlib.crc32(r.text.encode()) for r in files)
+
+
+def test_long_and_equal_rows(spark):
+    rows = [(i, "x" * 2_000_000 if i == 3 else "same") for i in range(100)] + [(7, "same")] * 50
+    got = sharding.reshard_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r["size"]) for r in got) == sorted((d, len(t) + 1) for d, t in rows)
+    count = [sum(r.shard == s for r in got) for s in range(16)]
+    assert max(count) - min(count) <= 1 and {(r.shard, r.slot) for r in got} == {(s, i) for s, n in enumerate(count) for i in range(n)}
+
+
+def test_files_are_numbered_in_place(spark, tmp_path):
+    """A table of files is dealt without a copy of its texts, and may be rewritten where it lies."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "shards")
+    spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), (F.col("id") % 2).alias("shard")).write.partitionBy("shard").parquet(path)
+    docs = spark.read.parquet(path)
+    rows = store.numbered(docs, store.Work(spark, "x"))
+    assert not hasattr(rows, "saved_path") and rows.select("n").distinct().count() == 60
+    got = sharding.reshard_files(docs, old_shard=F.col("shard"), shards=3, path=path).collect()
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(3) for i in range(20)]
+    assert {(r.doc_id, r.text) for r in spark.read.parquet(path).collect()} == {(i, f"t{i}") for i in range(60)}
