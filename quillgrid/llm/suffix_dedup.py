@@ -381,14 +381,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             lens = more.astype(np.int64) + WIDTH
             begin = np.cumsum(lens) - lens
             at, of = expand(begin, begin + more)
-            batches.append((ids.view(np.int64)[of], at + base, np.full(len(at), src), run[of], at - begin[of]))
+            batches.append((ids.view(np.int64)[of], at + base, np.full(len(at), src), run[of], at - begin[of], windows(body, WIDTH)[at]))
             bodies.append(body.tobytes())
             base += len(body)
-        ids, at, src, run, offset = (np.concatenate(x) for x in zip(*batches, strict=True))
+        ids, at, src, run, offset, hashes = (np.concatenate(x) for x in zip(*batches, strict=True))
         body = b"".join(bodies)
         del batches, bodies
         # a suffix that only one document has by its hash needs no place in the arrays
-        keep = np.flatnonzero(in_several(windows(np.frombuffer(body, np.uint8), WIDTH)[at], ids))
+        keep = np.flatnonzero(in_several(hashes, ids))
         keep = keep[np.argsort(ids[keep], kind="stable")]
         ids, at, src, run, offset = (x[keep] for x in (ids, at, src, run, offset))
         text, family, hit = suffixes(body), SuffixLevels(), np.zeros(len(ids), bool)
