@@ -276,8 +276,45 @@ def _decimal_column(x: Column, n: Numeric, locale: str) -> Column:
     return text if (point, group) == (".", ",") else F.translate(text, ".,", point + group)
 
 
-def _scientific_column(x: Column, n: Numeric, locale: str) -> Column:
-    text = F.upper(F.format_string(f"%.{n.most}e", F.abs(x)))
+def _let(x: Column, f) -> Column:
+    """f of a value that is worked out once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _above(a: Column, digits: Column, power: Column) -> Column:
+    """Over 0, 0 or below as a, the double nearest to digits * 10 ** power, is larger than that, equal or smaller: the product is exact in two doubles up to 10 ** 22; null beyond."""
+    high = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+
+    def rest(s: Column) -> Column:
+        xl, tl = s["x"] - s["xh"], s["t"] - s["th"]
+        low = ((s["xh"] * s["th"] - s["x"] * s["t"]) + s["xh"] * tl + xl * s["th"]) + xl * tl
+        return (s["x"] * s["t"] - s["y"]) + low
+
+    inverse = power < 0
+    parts = F.struct(F.when(inverse, a).otherwise(digits).alias("x"), F.when(inverse, digits).otherwise(a).alias("y"), F.pow(F.lit(10.0), F.abs(power)).alias("t"))
+    found = _let(parts, lambda s: _let(F.struct(s["x"].alias("x"), s["y"].alias("y"), s["t"].alias("t"), high(s["x"]).alias("xh"), high(s["t"]).alias("th")), rest))
+    return F.when(F.abs(power) <= 22, F.when(inverse, found).otherwise(-found))
+
+
+def _scientific_column(x: Column, n: Numeric, locale: str, ties: str) -> Column:
+    a = F.abs(x)
+    text = F.format_string(f"%.{n.most}e", a)
+    if ties == "even":
+        # format_string rounds the shortest digits up where they end in the middle; these are told by one digit more
+        more = F.format_string(f"%.{n.most + 1}e", a)
+
+        def down(s: Column) -> Column:
+            above = _above(s["a"], s["digits"], s["power"])
+            return _let(above, lambda v: (v < 0) | ((v == 0) & (F.floor(s["digits"] / 10) % 2 == 0)))
+
+        parts = F.struct(a.alias("a"), F.translate(F.substring_index(more, "e", 1), ".", "").try_cast("double").alias("digits"), (F.substring_index(more, "e", -1).try_cast("int") - (n.most + 1)).alias("power"))
+        middle = more.contains("5e") & (more.try_cast("double") == a)
+        text = F.when(middle & _let(parts, down), F.regexp_replace(more, r"\.?5e", "e")).otherwise(text)
+        return _let(F.upper(text), lambda t: _scientific_parts(t, n, locale))
+    return _scientific_parts(F.upper(text), n, locale)
+
+
+def _scientific_parts(text: Column, n: Numeric, locale: str) -> Column:
     mantissa, sign, digits = F.substring_index(text, "E", 1), F.regexp_extract(text, "E([+-])", 1), F.regexp_extract(text, "E[+-]0*([0-9]+)$", 1)
     digits = F.when(F.length(digits) < n.exponent, F.lpad(digits, n.exponent, "0")).otherwise(digits)
     return F.concat(F.translate(mantissa, ".", LOCALES[locale][0]), F.lit("E"), sign, digits)
@@ -338,25 +375,27 @@ def _date_column(x: Column, section: str, date1904: bool) -> Column:
     return F.when((x < 0) | (x >= 2_958_466), INVALID).otherwise(F.concat(*out) if len(out) > 1 else out[0])
 
 
-def _section_column(x: Column, section: str, first: bool, locale: str, date1904: bool) -> Column:
+def _section_column(x: Column, section: str, first: bool, locale: str, date1904: bool, ties: str) -> Column:
     if is_date(section):
         return _date_column(x, section, date1904)
     n = numeric(section)
     if n is None:
         return F.lit("".join(s for _, s in pieces(section)))
-    text = _fraction_column(x, n) if n.kind == "fraction" else _scientific_column(x, n, locale) if n.kind == "scientific" else _decimal_column(x, n, locale)
+    text = _fraction_column(x, n) if n.kind == "fraction" else _scientific_column(x, n, locale, ties) if n.kind == "scientific" else _decimal_column(x, n, locale)
     sign = F.when(x < 0, "-").otherwise("") if first else F.lit("")
     return F.concat(sign, F.lit(n.prefix), text, F.lit(n.suffix))
 
 
-def format_number_column(x: Column, code: str | int = "General", locale: str = "en-US", date1904: bool = False) -> Column:
-    """The display text of a number column; blank stays empty."""
+def format_number_column(x: Column, code: str | int = "General", locale: str = "en-US", date1904: bool = False, ties: str = "up") -> Column:
+    """The display text of a number column; blank stays empty.
+
+    ties: scientific formats round a number whose digits end in the middle up, as cells do, or with "even" as printf does: by its exact binary value, and to an even digit where that is the middle itself."""
     code = BUILT_IN.get(code, "General") if isinstance(code, int) else code
     if code.lower() == "general" or code == "@":
         text = F.translate(number_text_column(x), ".", LOCALES[locale][0])
     else:
         parts = sections(code)
-        of = lambda k: _section_column(x, parts[k], k == 0, locale, date1904)
+        of = lambda k: _section_column(x, parts[k], k == 0, locale, date1904, ties)
         n = len(parts)
         text = of(0) if n == 1 else F.when(x > 0, of(0)).when(x < 0, of(1)).otherwise(of(section_of(n, 0)))
     return F.when(x.isNull(), "").otherwise(text)

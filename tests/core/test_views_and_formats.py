@@ -26,6 +26,17 @@ def test_column_formats(spark):
     assert list(row) == [numfmt.format_value(Value("number", x), c) for x, c in codes]
 
 
+def test_scientific_ties(spark):
+    xs = [198500.0, 65450.0, 9725.0, 199500.0, 12.35, 12.45, 1.005, 1.015, 0.125, 0.0, 5.0, 9995.0, 99950.0, 1.235e-9, 1.245e-9, 1.235e20, 6.5, 7.5, 123.0, 4.35e-15, 1.5, 2.5, 0.25, 9.5]
+    df = spark.createDataFrame([(x * s,) for x in xs for s in (1.0, -1.0)], "x double")
+    for places, code in ((0, "0E+00"), (1, "0.0E+00"), (2, 11), (3, "0.000E+00")):
+        got = df.select("x", numfmt.format_number_column(F.col("x"), code, ties="even").alias("t")).collect()
+        # printf drops no minus of zero
+        assert [r.t for r in got] == [f"{r.x + 0.0:.{places}E}" for r in got], code
+    # cells round up
+    assert df.where("x = 198500").select(numfmt.format_number_column(F.col("x"), 11)).first()[0] == numfmt.format_value(Value("number", 198500.0), 11) == "1.99E+05"
+
+
 def test_other_values_and_systems():
     assert [numfmt.format_value(v) for v in (Value("string", "001"), Value("boolean", False), Value("error", "#N/A"), BLANK)] == ["001", "FALSE", "#N/A", ""]
     assert numfmt.format_value(Value("number", 0.0), "yyyy-mm-dd", date1904=True) == "1904-01-01"
