@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from quillgrid.errors import LimitError, SheetError
 from quillgrid.functions import refs
 from quillgrid.functions.scalars import Value
-from quillgrid.plans.interpret import Cell, calculate
+from quillgrid.plans.interpret import Cell, Limits, calculate
 from quillgrid.sources import build
 from quillgrid.sources.editor import Editor
 from quillgrid.sources.package import TYPES, Package
@@ -168,7 +168,7 @@ def to_workbooks(cells: DataFrame, tables: dict[str, tuple[str, list[str], str]]
     return cells.select("path", "sheet", "row", "col", "num", "str", "bool", "formula", *more).groupBy("path").applyInPandas(run, "path string, content binary")
 
 
-def calculate_cells(cells: DataFrame) -> DataFrame:
+def calculate_cells(cells: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Calculated values and diagnostics of every formula; a workbook is one group, within the calculation's limits."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -178,7 +178,7 @@ def calculate_cells(cells: DataFrame) -> DataFrame:
             value = {"number": lambda r=r: r.num, "boolean": lambda r=r: bool(r.bool), "error": lambda r=r: r.err, "blank": lambda: None}.get(r.tag, lambda r=r: r.str)()
             table[r.sheet_id, r.row, r.col] = Cell(Value(r.tag, value), r.formula)
             sheets[r.sheet] = r.sheet_id
-        out = calculate(table, sheets)
+        out = calculate(table, sheets, limits=limits)
         rows = [(path, *at, *fields(v), None) for at, v in out.values.items()]
         rows += [(path, *at, *fields(None), code) for at, code in out.diagnostics.items() if at not in out.values]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in CALCULATED.split(", ")])
