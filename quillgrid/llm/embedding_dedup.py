@@ -2,8 +2,8 @@
 
 Iterative quantisation learns, on a bounded sample (SAMPLE vectors picked by hash), a rotation of the principal axes whose signs lose
 least, so codes are balanced; ROTATIONS of them start from different random rotations. A code is cut into chunks; two vectors are candidates if in
-some chunk their codes differ in at most one bit: every vector is posted once under each chunk and looked up under the chunk and all its one-bit neighbours.
-Candidates within MOST_BITS of each other's whole code are compared by cosine in double precision. Equal vectors of a label are one class before all this.
+some chunk their codes differ in at most one bit. One half of the chunk is equal then, so every vector is posted twice for a chunk, under each of its halves, and the partition that
+holds a half looks the vectors up under the one-bit neighbours of the other half in a sorted array. Candidates within MOST_BITS of each other's whole code are compared by cosine in double precision. Equal vectors of a label are one class before all this.
 
 Chunks get longer with the number of vectors (at least 8 bits), so that lists stay short; bits that don't make a whole chunk make no table. There are as many rotations
 as it takes for a pair just at the threshold to meet in some chunk with a chance of RECALL, whatever the length of chunks, if each of its bits differs with the chance that a random plane parts it.
@@ -28,6 +28,8 @@ from quillgrid.llm.store import table
 
 SAMPLE, ROTATIONS, ROUNDS, MOST_BITS = 4096, 2, 30, 22
 LEAST_WIDTH, MOST_WIDTH, RECALL = 8, 30, 0.97
+#: Postings of a partition, and pairs of codes that are compared at once.
+POSTED, AT_ONCE = 400_000, 1 << 20
 
 
 def vectors_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -60,7 +62,8 @@ class Quantiser:
         self.mean = sample.mean(axis=0)
         x = sample - self.mean
         bits = min(64, sample.shape[1])
-        _, _, axes = np.linalg.svd(x, full_matrices=True)
+        # the whole basis of the vectors' space, but not that of the sample, which is larger
+        _, _, axes = np.linalg.svd(x, full_matrices=len(x) < x.shape[1])
         axes = axes[:bits].T
         self.maps = []
         for k in range(rotations):
@@ -78,6 +81,25 @@ class Quantiser:
         return np.stack([(((x - self.mean) @ m >= 0) * place).sum(axis=1, dtype=np.uint64).view(np.int64) for m in self.maps], axis=1)
 
 
+def flips_of(width: int, side: int) -> list[int]:
+    """Differences that a posting looks up: those in the lower half of the chunk and none where the upper half is equal (side 0), and those in the upper half."""
+    return [0, *(1 << j for j in range(width // 2))] if side == 0 else [1 << j for j in range(width // 2, width)]
+
+
+def meetings(keys: np.ndarray, flips: list[int]):
+    """Places (i, j) of pairs of sorted keys that differ by one of flips, each pair once, at most AT_ONCE or one key's pairs at a time."""
+    for flip in flips:
+        at = np.flatnonzero(keys & np.uint64(flip) == 0) if flip else np.arange(len(keys))
+        want = keys[at] | np.uint64(flip)
+        first = np.searchsorted(keys, want, "left") if flip else at + 1
+        n = np.searchsorted(keys, want, "right") - first
+        at, first, n = at[n > 0], first[n > 0], n[n > 0]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        for a, b in store.slices(ends, AT_ONCE):
+            inside = np.arange(ends[b] - ends[a]) - np.repeat(ends[a:b] - ends[a], n[a:b])
+            yield np.repeat(at[a:b], n[a:b]), np.repeat(first[a:b], n[a:b]) + inside
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     v = v / np.abs(v).max()
     return v / np.sqrt((v * v).sum())
@@ -116,7 +138,9 @@ def similar_vectors(embeddings: DataFrame, vec_id: str = "vec_id", embedding: st
 
 def _pairs(spark, classes: DataFrame, count: int, cosine: float, work) -> DataFrame:
     """Pairs (a, b), a < b, of class representatives that the tables find and whose cosine is large enough."""
-    sample = classes.orderBy(F.xxhash64("v", "label")).limit(SAMPLE).select("v").collect()
+    # the least hashes: only about as many rows as are wanted are sent, not as many from each task
+    order, share = F.xxhash64("v", "label"), min(1.0, (SAMPLE + 10 * math.sqrt(SAMPLE)) / max(count, 1))
+    sample = classes.where(order <= min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))).orderBy(order).limit(SAMPLE).select("v").collect()
     sample = np.stack([unit(np.frombuffer(r["v"], "<f8")) for r in sample])
     width = int(np.clip(np.ceil(np.log2(max(2, count))), LEAST_WIDTH, MOST_WIDTH))
     tables = tables_of(width, min(64, sample.shape[1]), cosine)
@@ -133,18 +157,37 @@ def _pairs(spark, classes: DataFrame, count: int, cosine: float, work) -> DataFr
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(codes), pa.list_(pa.int64()))], names=["rep", "label", "codes"])
 
     coded = work.save(classes.select("rep", "label", "v").mapInArrow(code, "rep long, label string, codes array<long>"))
-    key = lambda r, a, w: F.shiftrightunsigned(F.element_at("codes", r + 1), a).bitwiseAND(F.lit((1 << w) - 1))
-    posted = F.explode(F.array(*[F.struct(F.lit(i).alias("table"), key(*t).alias("key")) for i, t in enumerate(tables)])).alias("p")
-
-    def near_keys(i, r, a, w):
-        flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << j).cast("long") for j in range(w)])
-        return F.transform(flips, lambda m: F.struct(F.lit(i).alias("table"), key(r, a, w).bitwiseXOR(m).alias("key")))
-
-    probes = F.explode(F.concat(*[near_keys(i, *t) for i, t in enumerate(tables)])).alias("p")
-    left = coded.select(F.col("rep").alias("a"), "label", F.col("codes").alias("codes_a"), posted).select("a", "label", "codes_a", "p.*")
-    right = coded.select(F.col("rep").alias("b"), "label", F.col("codes").alias("codes_b"), probes).select("b", "label", "codes_b", "p.*")
-    bits = F.least(*[F.bit_count(F.element_at("codes_a", r + 1).bitwiseXOR(F.element_at("codes_b", r + 1))) for r in range(rotations)])
-    near = left.join(right, ["label", "table", "key"]).where(F.col("a") < F.col("b")).where(bits <= MOST_BITS).select("a", "b").distinct()
+    chunk = lambda r, a, w: F.shiftrightunsigned(F.element_at("codes", r + 1), a).bitwiseAND(F.lit((1 << w) - 1))
+    halves = [(chunk(r, a + w // 2, w - w // 2), chunk(r, a, w // 2)) for r, a, w in tables]
+    posted = F.explode(F.array(*[F.struct(F.lit(2 * i + side).alias("slot"), k.alias("half")) for i, both in enumerate(halves) for side, k in enumerate(both)])).alias("p")
+    parts = max(store.partitions(spark), math.ceil(2 * len(tables) * count / POSTED))
+    posted = coded.select("rep", "label", "codes", posted).select("rep", "label", "codes", "p.*").repartition(parts, "label", "slot", "half").drop("half")
+
+    def meet(batches):
+        store.lean()
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        got = pa.Table.from_batches(batches)
+        rep, slot = got["rep"].to_numpy(), got["slot"].to_numpy()
+        label = got["label"].combine_chunks().dictionary_encode()
+        label = (label.combine_chunks() if isinstance(label, pa.ChunkedArray) else label).indices.to_numpy().astype(np.uint64)
+        codes = got["codes"].combine_chunks().flatten().to_numpy().reshape(-1, rotations).view(np.uint64)
+        del got, batches
+        for s in np.unique(slot):
+            r, first, w = tables[s // 2]
+            at = np.flatnonzero(slot == s)
+            keys = (label[at] << np.uint64(w)) | (codes[at, r] >> np.uint64(first)) & np.uint64((1 << w) - 1)
+            order = np.argsort(keys)
+            at, keys = at[order], keys[order]
+            for i, j in meetings(keys, flips_of(w, s % 2)):
+                i, j = at[i], at[j]
+                near = np.bitwise_count(codes[i] ^ codes[j]).min(axis=1) <= MOST_BITS
+                a, b = rep[i[near]], rep[j[near]]
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b])], names=["a", "b"])
+
+    near = posted.mapInArrow(meet, "a long, b long").distinct()
     v = classes.select("rep", "v")
 
     def compare(batches):

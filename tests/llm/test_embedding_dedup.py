@@ -72,3 +72,37 @@ def test_recall_at_every_width():
             met |= np.bitwise_count((differ[:, r] >> np.uint64(a)) & np.uint64((1 << w) - 1)) <= 1
         met &= np.bitwise_count(differ).min(axis=1) <= embedding_dedup.MOST_BITS
         assert met.mean() > 0.93, width
+
+
+def test_meetings_are_the_one_bit_neighbours():
+    rng = np.random.default_rng(4)
+    for width in (1, 2, 5, 8):
+        codes = np.sort(rng.integers(0, 1 << width, 200).astype(np.uint64))
+        found = set()
+        for side, half in ((0, codes >> np.uint64(width // 2)), (1, codes & np.uint64((1 << width // 2) - 1))):
+            for h in np.unique(half):
+                at = np.flatnonzero(half == h)
+                for i, j in embedding_dedup.meetings(codes[at], embedding_dedup.flips_of(width, side)):
+                    pairs = [tuple(sorted(p)) for p in zip(at[i].tolist(), at[j].tolist(), strict=True)]
+                    assert not found & set(pairs) and len(set(pairs)) == len(pairs)
+                    found |= set(pairs)
+        assert found == {(i, j) for i in range(200) for j in range(i + 1, 200) if int(codes[i] ^ codes[j]).bit_count() <= 1}
+
+
+def test_sample_is_not_sent_by_every_task(spark):
+    """What comes to the driver doesn't grow with the number of tasks."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    rng = np.random.default_rng(5)
+    rows = [(i, x, 1) for i, x in enumerate(rng.normal(size=(16_000, 32)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    sc = spark.sparkContext
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    sc.setJobGroup("sample", "sample")
+    try:
+        assert embedding_dedup.similar_vectors(df).where("n_links > 0").count() == 0
+        stages = {k for j in sc.statusTracker().getJobIdsForGroup("sample") for k in sc.statusTracker().getJobInfo(j).stageIds}
+        stages = [store.lastStageAttempt(k) for k in stages]
+        assert 500_000 < max(x.resultSize() for x in stages if x.name().startswith("collect")) < 2_500_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        sc.setLocalProperty("spark.jobGroup.id", None)
