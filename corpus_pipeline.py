@@ -19,10 +19,10 @@ BROADCAST_ROWS = 1_000_000
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without any text in a language (null, blank, or without a letter). lang becomes the predicted language where none was declared or the prediction is sure."""
-    packed = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
-    found = language_id.identify(packed, carry=["row"]).where("lang_pred <> 'und'")
+    packed = docs.select("doc_id", "text", "lang", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+    found = language_id.identify(packed, carry=["row", "text"]).where("lang_pred <> 'und'")
     lang = F.when(F.col("row.lang").isNull() | (F.col("score") >= SURE), F.col("lang_pred")).otherwise(F.col("row.lang"))
-    return found.select(*[lang.alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
+    return found.select(*[lang.alias(c) if c == "lang" else F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def without(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:

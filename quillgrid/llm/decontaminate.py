@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm import kernels
 from quillgrid.llm.kernels import shingles, words
-from quillgrid.llm.store import ship, slices, table, texts_of
+from quillgrid.llm.store import leanly, ship, slices, table, texts_of
 
 SEED, THRESHOLD, BLOCK_ITEMS, SLICE, BITS = 3, 0.4, 20_000, 1 << 20, 20
 #: The part of an item's n-grams, the rarest ones, that are its seeds.
@@ -171,7 +171,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
             yield table({"gram": pa.int64(), "n": pa.int64()}, [full, total[full]])
 
         df = np.zeros(len(seeds.grams), np.int64)
-        for r in docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        for r in docs.mapInArrow(leanly(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
             df[r["gram"]] = r["n"]
         seeds.keep_rarest(df)
         load = ship(spark, seeds)
@@ -183,5 +183,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                 if found:
                     yield table(LEAK_ARROW, list(zip(*found, strict=True)))
 
-        out = out.union(docs.mapInArrow(search, LEAK)) if block else docs.mapInArrow(search, LEAK)
+        out = out.union(docs.mapInArrow(leanly(search), LEAK)) if block else docs.mapInArrow(leanly(search), LEAK)
     return out

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
-from quillgrid.llm.store import ship, slices, table, texts_of
+from quillgrid.llm.store import leanly, ship, slices, table, texts_of
 
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES, TOTAL_BYTES = 64, 600, 24_000, 400_000
 LANE, SLICE = 512, 2 << 20
@@ -150,12 +151,14 @@ def fit(docs: DataFrame, doc_id: str, text: str, lang: str, folds: int, fold: in
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, fold: int = 0, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row, after the columns named in carry; those called like a column of the result are left out (pack them into a struct to keep them)."""
+    """doc_id, held_out, lang_pred and score of every row, after the columns named in carry; those called like a column of the result are left out (pack them into a struct to keep them). The text goes to the workers once, even if it is carried."""
     spark = docs.sparkSession
     load = ship(spark, fit(docs, doc_id, text, lang, folds, fold))
     carry = [c for c in carry or [] if c not in ("held_out", "lang_pred", "score")]
+    own = text in carry and docs.schema[text].dataType == StringType()
+    places = {c: f"c{i}" for i, c in enumerate(carry) if not (own and c == text)}
     # the carried columns travel in a struct, so that their names can't clash
-    kept = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("id"), F.struct(F.lit(0).alias("_0"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("carry"))
+    kept = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("id"), F.struct(F.lit(0).alias("_0"), *[F.col(c).alias(at) for c, at in places.items()]).alias("carry"))
 
     def run(batches):
         parser = load()
@@ -164,8 +167,10 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
             for a, b in slices(offsets, SLICE):
                 pred, score = parser.predict(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], null[a:b])
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["id", "carry", "lang_pred", "score"])
+                columns = [part.column(i) for i in range(0 if own else 1, 3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=sent.names)
 
-    out = kept.mapInArrow(run, kept.drop("text").schema.add("lang_pred", "string").add("score", "double"))
+    sent = StructType(kept.schema.fields[0 if own else 1 :]).add("lang_pred", "string").add("score", "double")
+    out = kept.mapInArrow(leanly(run), sent)
     held = F.coalesce(fold_of(F.col("id"), folds) == fold, F.lit(False))
-    return out.select(*[F.col("carry")[f"c{i}"].alias(c) for i, c in enumerate(carry)], *([] if doc_id in carry else [F.col("id").alias(doc_id)]), held.alias("held_out"), "lang_pred", "score")
+    return out.select(*[(F.col("carry")[places[c]] if c in places else F.col("text")).alias(c) for c in carry], *([] if doc_id in carry else [F.col("id").alias(doc_id)]), held.alias("held_out"), "lang_pred", "score")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quillgrid.llm import store
 from quillgrid.llm.graph import components, small
 from quillgrid.llm.kernels import mix, shingles, words
-from quillgrid.llm.store import ids_of, slices, table, texts_of
+from quillgrid.llm.store import ids_of, lean, leanly, slices, table, texts_of
 
 N_HASHES = 48
 SLICE = 1 << 20
@@ -103,7 +103,7 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
                 np.cumsum(np.where(n > 0, N_HASHES, 0), out=offsets[1:])
                 yield table(arrow, [ids, n, h1, h2, pa.ListArray.from_arrays(offsets, pa.array(values))])
 
-    return docs.mapInArrow(run, SIGNED)
+    return docs.mapInArrow(leanly(run), SIGNED)
 
 
 ITEMS = "doc_id long, items binary, signature binary, set_hash long"
@@ -121,7 +121,7 @@ def sets_table(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int,
 
     few = F.broadcast if rows <= BROADCAST_IDS else (lambda x: x)
     ids = reps.select("rep", F.col("doc").alias("doc_id"), "set_hash").join(few(wanted.select("rep").distinct()), "rep", "left_semi")
-    out = docs.join(few(ids.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(collect, ITEMS)
+    out = docs.join(few(ids.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(leanly(collect), ITEMS)
     return out.join(few(ids), ["doc_id", "set_hash"]).dropDuplicates(["rep"]).select("rep", "items", "signature")
 
 
@@ -148,7 +148,7 @@ def confirm(pairs: DataFrame, items: DataFrame, similarity: float, work) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     side = lambda c: items.select(F.col("rep").alias(c), F.col("items").alias(f"items_{c}"), F.col("signature").alias(f"sig_{c}"))
-    return work.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "a long, b long"))
+    return work.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(leanly(compare), "a long, b long"))
 
 
 class Block:
@@ -202,6 +202,7 @@ def settle(members: DataFrame, items: DataFrame, similarity: float, work) -> Dat
     dealt = dealt.join(items.join(own, "rep"), "rep")
 
     def run(got: pa.Table) -> pa.Table:
+        lean()
         rows, known = got.to_pylist(), {}
         token, x, y = rows[0]["token"], rows[0]["x"], rows[0]["y"]
         one = Block(sorted((r for r in rows if r["mine"] == x), key=lambda r: r["rep"]), known)
@@ -302,7 +303,7 @@ def _common(items: DataFrame) -> DataFrame:
                 n = np.diff(offsets) // 8
                 yield table({"rep": pa.int64(), "shingle": pa.int64()}, [np.repeat(ids_of(part.column(0)), n), np.frombuffer(raw.tobytes(), "<i8")])
 
-    counted = items.select("rep", "items").mapInArrow(spread, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+    counted = items.select("rep", "items").mapInArrow(leanly(spread), "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
     alone = counted.where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
     sizes = items.select("rep", (F.octet_length("items") / 8).cast("long").alias("size"))
     return sizes.join(alone, "rep", "left").select("rep", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))

@@ -92,6 +92,19 @@ def lean() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def leanly(run):
+    """run over the batches of a task; its worker, which stays for later tasks of any query, gives back at the end what it holds."""
+
+    def wrapped(batches):
+        lean()
+        try:
+            yield from run(batches)
+        finally:
+            lean()
+
+    return wrapped
+
+
 def ship(spark: SparkSession, value):
     """Broadcasts a value whose class travels by value, as workers may not have this library; the result loads it."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))

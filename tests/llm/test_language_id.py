@@ -52,3 +52,22 @@ def test_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in language_id.identify(df).collect()] == ["und"]
     assert language_id.identify(df.limit(0)).collect() == []
+
+
+def test_a_carried_text_is_sent_once(spark):
+    df = spark.createDataFrame([(i, f"some words {i} of a text", "en", i * 2) for i in range(20)] + [(20, None, "en", 40)], "doc_id long, text string, lang string, v int")
+    found = language_id.identify(df, carry=["v", "text"])
+    assert {(r.doc_id, r.text, r.v) for r in found.collect()} == {(r.doc_id, r.text, r.v) for r in df.collect()}
+    plan = found._jdf.queryExecution().analyzed().toString()
+    sent = next(line for line in plan.split("\n") if "MapInArrow" in line)
+    assert "carry" in sent and "text" in sent
+
+
+def test_workers_give_memory_back(monkeypatch):
+    from quillgrid.llm import store
+
+    met = []
+    monkeypatch.setattr(store, "lean", lambda: met.append("lean"))
+    for x in store.leanly(lambda batches: (x + 1 for x in batches))([1, 2]):
+        met.append(x)
+    assert met == ["lean", 2, 3, "lean"]
