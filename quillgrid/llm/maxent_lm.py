@@ -64,6 +64,19 @@ def stream(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, at
 
 
+def numbered_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list]:
+    """The distinct words of a chunk, and for each slice its first and last document, tokens, their offsets, and the tokens as numbers of distinct words: every token is hashed and sorted once."""
+    parts, own = [], []
+    for a, b in slices(offsets, SLICE):
+        t, at = stream(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        u, inverse = np.unique(t, return_inverse=True)
+        parts.append((a, b, t, at, inverse))
+        own.append(u)
+    u, inverse = np.unique(np.concatenate(own), return_inverse=True)
+    ends = np.cumsum([len(x) for x in own])
+    return u, [(a, b, t, at, inverse[end - len(x) : end][mine]) for (a, b, t, at, mine), x, end in zip(parts, own, ends.tolist(), strict=True)]
+
+
 def class_of(count: np.ndarray) -> np.ndarray:
     """0 for words that were not counted, else 1 and up by the octave of the count."""
     return np.where(count > 0, np.minimum(CLASSES - 1, 1 + np.floor(np.log2(np.maximum(count, 1)))), 0).astype(np.int64)
@@ -179,21 +192,12 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     work.clean()
     bits = int(np.log2(store.n_buckets(spark, chunks, 32)))
 
-    def distinct(ids, offsets, raw):
-        tokens, counted = [], []
-        for a, b in slices(offsets, SLICE):
-            t, at = stream(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            u, inverse = np.unique(t, return_inverse=True)
-            tokens.append(u)
-            counted.append(np.bincount(inverse, np.repeat(~held_out(ids[a:b], folds, fold), np.diff(at)), len(u)))
-        u, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
-        return u, np.bincount(inverse, np.concatenate(counted), len(u)).astype(np.int64)
-
     def send_counts(batches):
         for batch in batches:
             for chunk, ids, lens, data in zip(*batch.to_pydict().values(), strict=True):
                 ids, offsets, _, raw = read_chunk(ids, lens, data)
-                u, n = distinct(ids, offsets, raw)
+                u, parts = numbered_words(raw, offsets)
+                n = sum(np.bincount(word, np.repeat(~held_out(ids[a:b], folds, fold), np.diff(at)), len(u)) for a, b, _, at, word in parts).astype(np.int64)
                 at = bounds(u, bits)
                 full = np.flatnonzero(np.diff(at))
                 yield table(MESSAGE_ARROW, [full, np.full(len(full), chunk), [pack(u[at[i] : at[i + 1]].tobytes() + n[at[i] : at[i + 1]].astype("<u8").tobytes()) for i in full]])
@@ -234,35 +238,34 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     whole = chunks.select(F.col("chunk").alias("dst"), F.lit(-1).cast("long").alias("src"), F.col("text").alias("data"), "ids", "lens")
 
     def looked_up(got: pa.Table):
-        """For each slice of a chunk: ids, tokens, offsets and the tokens' counts."""
+        """The distinct words of a chunk with their counts, and for each slice ids, tokens, offsets and the tokens as numbers of words."""
         rows = got.to_pylist()
         own = next(r for r in rows if r["src"] == -1)
         ids, offsets, _, raw = read_chunk(own["ids"], own["lens"], own["data"])
-        u, _ = distinct(ids, offsets, raw)
+        u, parts = numbered_words(raw, offsets)
         total = np.concatenate([np.frombuffer(unpack(r["data"]), "<u8") for r in sorted(rows, key=lambda r: r["src"]) if r["src"] >= 0]).astype(np.int64)
-        for a, b in slices(offsets, SLICE):
-            t, at = stream(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            mine, inverse = np.unique(t, return_inverse=True)
-            yield ids[a:b], t, at, total[np.searchsorted(u, mine)][inverse]
+        return u, total, [(ids[a:b], t, at, word) for a, b, t, at, word in parts]
 
     examples_arrow = {"chunk": pa.int64(), "words": pa.binary(), "kinds": pa.binary(), "tokens": pa.binary(), "lens": pa.binary(), "least": pa.binary()}
 
     def examples(got: pa.Table) -> pa.Table:
         """The training documents of a chunk: its words with their classes, the tokens as numbers of words (two lower bytes, then the upper ones), and the least hashes of pairs."""
-        tokens, counts, lens = [], [], []
-        for ids, t, at, count in looked_up(got):
+        u, total, parts = looked_up(got)
+        tokens, numbers, lens = [], [], []
+        for ids, t, at, word in parts:
             learn = ~held_out(ids, folds, fold)
             use = np.repeat(learn, np.diff(at))
             tokens.append(t[use])
-            counts.append(count[use])
+            numbers.append(word[use])
             lens.append(np.diff(at)[learn])
-        t, count, lens = np.concatenate(tokens), np.concatenate(counts), np.concatenate(lens)
+        t, number, lens = np.concatenate(tokens), np.concatenate(numbers), np.concatenate(lens)
         if not len(t):
             return as_table([], examples_arrow)
-        u, first, inverse = np.unique(t, return_index=True, return_inverse=True)
+        here = np.bincount(number, minlength=len(u)) > 0
+        u, inverse = u[here], (np.cumsum(here) - 1)[number]
         pairs = histories(t, np.concatenate(([0], np.cumsum(lens))))[2]
         planes = (inverse & 0xFFFF).astype("<u2").tobytes() + (inverse >> 16).astype("<u2").tobytes()
-        return as_table([(got["dst"][0].as_py(), u.tobytes(), class_of(count[first] - 1).astype("u1").tobytes(), pack(planes), lens.astype("<i8").tobytes(), least(pairs).tobytes())], examples_arrow)
+        return as_table([(got["dst"][0].as_py(), u.tobytes(), class_of(total[here] - 1).astype("u1").tobytes(), pack(planes), lens.astype("<i8").tobytes(), least(pairs).tobytes())], examples_arrow)
 
     sizes, sizes_within = (TABLE, TABLE, TABLE), (TABLE, TABLE)
     zeros = lambda n, width: np.zeros((sum(n) + 1, width), np.float32)
@@ -292,7 +295,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
 
     def score_chunk(got: pa.Table) -> pa.Table:
         out = []
-        for ids, t, at, count in looked_up(got):
+        _, total, parts = looked_up(got)
+        for ids, t, at, word in parts:
+            count = total[word]
             base = np.log10((count + 1) / (n_train + 1.0 * (n_types + 1)))
             kind, sub, known = np.minimum(class_of(count), classes - 1), sub_of(t), count > 0
             mine = np.zeros(len(t))

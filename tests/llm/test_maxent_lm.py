@@ -117,3 +117,17 @@ def test_null_ids_and_long_texts(spark):
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == [("1", 400_001), ("2", 2), ("3", 3), ("None", 1), ("None", 3)]
     held = {str(r.doc_id): r.held_out for r in got}
     assert held["None"] == (zlib.crc32(b"") % 7 == 2) and all(np.isfinite([r.score, r.base_score]).all() for r in got)
+
+
+def test_tokens_are_hashed_and_sorted_once(monkeypatch):
+    texts = [b"a b a", b"", b"B c", b"d " * 50, b"a d e"]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    monkeypatch.setattr(maxent_lm, "SLICE", 8)
+    met, stream = [], maxent_lm.stream
+    monkeypatch.setattr(maxent_lm, "stream", lambda *x: met.append(len(x[0])) or stream(*x))
+    u, parts = maxent_lm.numbered_words(raw, offsets)
+    assert sum(met) == len(raw) and len(parts) > 2
+    whole, at = stream(raw, offsets)
+    assert u.tolist() == sorted(set(whole.tolist()))
+    assert np.concatenate([t for _, _, t, _, _ in parts]).tolist() == whole.tolist() == u[np.concatenate([word for *_, word in parts])].tolist()
+    assert [at[a + 1 : b + 1].tolist() for a, b, *_ in parts] == [(at[a] + mine[1:]).tolist() for a, _, _, mine, _ in parts]
